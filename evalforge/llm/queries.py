@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, mixing, ngram_join
+from . import decontamination, exact_dedup, mixing, ngram_join, substring_dedup
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf_dir, "documents"), n=3, similarity=0.9)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -27,11 +31,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_ngram_join, op7_source_mix, op8_exact_dedup, op9_decontamination)
+    f.__name__: f for f in (op5_ngram_join, op6_substring_dedup, op7_source_mix, op8_exact_dedup, op9_decontamination)
 }
 
 ORACLES: dict[str, str] = {
     "op5_ngram_join": ngram_join.ORACLE,
+    "op6_substring_dedup": substring_dedup.ORACLE,
     "op7_source_mix": mixing.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
     "op9_decontamination": decontamination.ORACLE,
