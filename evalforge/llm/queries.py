@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, mixing, ngram_join, substring_dedup
+from . import decontamination, exact_dedup, mixing, ngram_join, substring_dedup, toxicity
 from .common import table
 
 
@@ -30,8 +30,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_ngram_join, op6_substring_dedup, op7_source_mix, op8_exact_dedup, op9_decontamination)
+    f.__name__: f for f in (op5_ngram_join, op6_substring_dedup, op7_source_mix, op8_exact_dedup, op9_decontamination, op10_toxicity)
 }
 
 ORACLES: dict[str, str] = {
