@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, mixing, ngram_join, substring_dedup, toxicity
+from . import decontamination, exact_dedup, html_extract, language_id, mixing, ngram_join, substring_dedup, toxicity
 from .common import table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict_languages(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf_dir, "documents"), n=3, similarity=0.9)
 
@@ -35,7 +43,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_ngram_join, op6_substring_dedup, op7_source_mix, op8_exact_dedup, op9_decontamination, op10_toxicity)
+    f.__name__: f for f in (op1_html_extraction, op4_language_id, op5_ngram_join, op6_substring_dedup, op7_source_mix, op8_exact_dedup, op9_decontamination, op10_toxicity)
 }
 
 ORACLES: dict[str, str] = {
