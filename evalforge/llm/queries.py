@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, html_extract, language_id, mixing, ngram_join, substring_dedup, toxicity
+from . import decontamination, exact_dedup, html_extract, language_id, mixing, ngram_join, pii, substring_dedup, toxicity, warc
 from .common import table
 
 
@@ -14,6 +14,14 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_languages(table(spark, sf_dir, "documents"))
 
@@ -43,10 +51,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_extraction, op4_language_id, op5_ngram_join, op6_substring_dedup, op7_source_mix, op8_exact_dedup, op9_decontamination, op10_toxicity)
+    f.__name__: f for f in (op1_html_extraction, op2_warc, op3_pii, op4_language_id, op5_ngram_join, op6_substring_dedup, op7_source_mix, op8_exact_dedup, op9_decontamination, op10_toxicity)
 }
 
 ORACLES: dict[str, str] = {
+    "op2_warc": warc.ORACLE,
     "op5_ngram_join": ngram_join.ORACLE,
     "op6_substring_dedup": substring_dedup.ORACLE,
     "op7_source_mix": mixing.ORACLE,
