@@ -121,8 +121,8 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """docs without all but one row of each group of equal texts; columns as given."""
     scratch = Scratch(docs.sparkSession, "exact-dedup")
     groups = scratch.save(exact_groups(docs, id_col, text_col), "groups")
-    gone = groups.filter(~F.col("kept"))
-    if not groups.filter(F.col(id_col).isNull()).isEmpty() or not gone.filter(F.col(id_col) == F.col("keep_id")).isEmpty() or not groups.groupBy(id_col).count().filter("count > 1").isEmpty():
+    rows, ids = groups.agg(F.count(F.lit(1)), F.countDistinct(id_col)).first()
+    if rows > ids:
         # Ids that repeat or are null do not name a row: the text's digest joins the key.
         key = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
         first = Window.partitionBy("__sha", "__id").orderBy(F.lit(1))
@@ -130,7 +130,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         marked = docs.withColumn("__sha", key).withColumn("__id", F.col(id_col)).join(kept, "__sha")
         marked = marked.filter(F.col("__id").eqNullSafe(F.col("__keep")))
         return marked.withColumn("__r", F.row_number().over(first)).filter("__r = 1").select(*docs.columns)
-    return drop_ids(docs, gone.select(id_col), id_col)
+    return drop_ids(docs, groups.filter("NOT kept").select(id_col), id_col)
 
 
 ORACLE = """
