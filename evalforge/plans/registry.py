@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from evalforge.plans import metric_queries, ranking_queries, shift_queries, summary_queries  # noqa: E402, F401
+from evalforge.plans import metric_queries, model_queries, ranking_queries, shift_queries, summary_queries  # noqa: E402, F401
