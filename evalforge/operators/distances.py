@@ -44,7 +44,7 @@ def k_nearest(queries: DataFrame, rows: DataFrame, k: int, metric: str = "euclid
         raise ValueError(f"{n} query rows; at most {MAX_QUERIES} are sent to the tasks at once")
     got = queries.select(key, vector).toPandas().sort_values(key)
     spark = rows.sparkSession
-    sent = spark.sparkContext.broadcast((got[key].to_numpy(), np.array(got[vector].tolist(), float).reshape(n, -1)))
+    sent = spark.sparkContext.broadcast((got[key].to_numpy(), np.array(got[vector].tolist(), float).reshape(n, -1 if n else 0)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, q = sent.value

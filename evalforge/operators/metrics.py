@@ -150,4 +150,5 @@ def kendall(pred: DataFrame, keys: Sequence[str]) -> DataFrame:
         return pdf.iloc[:1][list(keys)].assign(n=n, kendall=out)
 
     kinds = ", ".join(f"`{k}` {pred.schema[k].dataType.simpleString()}" for k in keys)
-    return pred.select(*keys, "y_true", "y_pred").groupBy(*keys).applyInPandas(tau, f"{kinds}, n long, kendall double")
+    out = pred.select(*keys, "y_true", "y_pred").groupBy(*keys).applyInPandas(tau, f"{kinds}, n long, kendall double")
+    return out.withColumn("kendall", F.coalesce("kendall", F.lit(NAN)))
