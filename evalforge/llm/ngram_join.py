@@ -14,9 +14,13 @@ Sets that share a signature are candidates and are verified exactly on their tex
 
 Scale: equal sets are collapsed before anything is indexed. A signature met by one set
 only is dropped in the stage that receives it. Groups are not expanded to all pairs: in
-each bucket every set is compared with one pivot, the member that shares most
-signatures with others; links merge components, and only pairs of a bucket that are
-still in different components are compared, so no link between components is lost.
+each bucket every set x is compared with one pivot p, the member that shares most
+signatures with others. Let dx be the number of elements in which x differs from p. Two
+sets x and y of the bucket differ in dx + dy - 2 o elements if these differences have o
+elements in common. So if dx + dy is small enough they link for sure, and else they link
+only if the differences overlap much: an exact prefix filter on the differences, those that
+p lacks first, finds such pairs, and among very many near copies of one text there are few.
+
 """
 
 from __future__ import annotations
@@ -34,7 +38,6 @@ from .graph import components
 
 #: A verified chance pair costs about as much as so many signature rows.
 VERIFY_COST = 50
-STAR_ROUNDS = 4
 
 
 def pieces(values: list, limit: int = 4 << 20) -> Iterator[tuple[int, list]]:
@@ -141,25 +144,39 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
     return batch.column("text").cast(pa.binary()).to_pylist()
 
 
-def _links(pairs: DataFrame, texts: DataFrame, n: int, per_cent: int) -> DataFrame:
-    """(u, v, linked) of the pairs (u, v), by comparing the sets of their texts."""
+def _compared(pairs: DataFrame, texts: DataFrame, n: int, per_cent: int) -> DataFrame:
+    """The pairs (u, v), with the sizes su and sv of their sets, the number d of elements in
+    which they differ, whether they link, and the first of these elements: those that v
+    lacks, then those that u lacks, by hash."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, pivot, of_pivot = WordHashes(), None, None
         for b in batches:
             us, vs = b.column("u").to_pylist(), b.column("v").to_pylist()
             tu, tv = (b.column(c).cast(pa.binary()) for c in ("tu", "tv"))
-            ok = []
+            su, sv, d, linked, first = [], [], [], [], []
             for i, v in enumerate(vs):
                 if v != pivot or of_pivot is None:
                     pivot, of_pivot = v, shingle_sets([tv[i].as_py()], n, cache)[0]
                 own = shingle_sets([tu[i].as_py()], n, cache)[0]
-                both = len(np.intersect1d(own, of_pivot, assume_unique=True))
-                ok.append(100 * both >= per_cent * (len(own) + len(of_pivot) - both))
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(ok, pa.bool_())], ["u", "v", "linked"])
+                both = np.intersect1d(own, of_pivot, assume_unique=True)
+                x, y, k = len(own), len(of_pivot), len(both)
+                reach = (x + x * 100 // per_cent) * (100 - per_cent) // (100 + per_cent) + 1
+                new = np.setdiff1d(own, both, assume_unique=True)[:reach]
+                old = np.setdiff1d(of_pivot, both, assume_unique=True)[: reach - len(new)]
+                su.append(x)
+                sv.append(y)
+                d.append(x + y - 2 * k)
+                linked.append(100 * k >= per_cent * (x + y - k))
+                first.append(np.concatenate([new, old]).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(c, pa.int64()) for c in (us, vs, su, sv, d)), pa.array(linked, pa.bool_()), pa.array(first, pa.list_(pa.int64()))],
+                ["u", "v", "su", "sv", "d", "linked", "first"],
+            )
 
     t = lambda k: texts.select(F.col("set").alias(k), F.col("text").alias("t" + k))
-    return pairs.join(t("u"), "u").join(t("v"), "v").select("u", "v", "tu", "tv").mapInArrow(compare, "u long, v long, linked boolean")
+    joined = pairs.join(t("u"), "u").join(t("v"), "v").select("u", "v", "tu", "tv")
+    return joined.mapInArrow(compare, "u long, v long, su long, sv long, d long, linked boolean, first array<long>")
 
 
 def similar_groups(
@@ -251,46 +268,32 @@ def similar_groups(
     # Pivots: in each bucket the set that shares most signatures with others.
     counts = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("c"))
     score = scratch.save(shared.join(counts, "sig").groupBy("set").agg(F.sum("c").alias("score")), "score")
-    scored = shared.join(score, "set")
-    best = F.struct("score", "set", "size")
-    near = (F.col("size") * 100 >= F.col("psize") * per_cent) & (F.col("psize") * 100 >= F.col("size") * per_cent)
-    tested = links = None
-    roots = None
-    for step in range(STAR_ROUNDS):
-        if step:
-            best = F.struct(F.xxhash64(F.lit(step), "set").alias("score"), "set", "size")
-            scored = open_buckets
-        pivot = scored.groupBy("sig").agg(F.max(best).alias("p")).select("sig", F.col("p.set").alias("pivot"), F.col("p.size").alias("psize"))
-        pairs = scored.join(pivot, "sig").filter((F.col("set") != F.col("pivot")) & near)
-        if step:
-            pairs = pairs.join(nodes_of.select(F.col("set").alias("pivot"), F.col("root").alias("proot")), "pivot").filter("root <> proot")
-        pairs = pairs.select(F.col("set").alias("u"), F.col("pivot").alias("v")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        done = scratch.save(_links(pairs, texts, n, per_cent), "tested")
-        both = done.select("u", "v").union(done.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        tested = both if tested is None else tested.union(both)
-        found = done.filter("linked").select("u", "v")
-        if roots is not None:
-            found = found.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
-        roots = scratch.save(components(found, scratch), "roots")
-        nodes_of = nodes.select("set").join(roots.withColumnRenamed("node", "set"), "set", "left").select("set", F.coalesce("root", "set").alias("root"))
-        placed = shared.join(nodes_of, "set")
-        per = placed.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c"))
-        buckets = scratch.save(per.groupBy("sig").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("c2"), F.count(F.lit(1)).alias("k")).filter("k > 1"), "buckets")
-        left = buckets.agg(F.sum((F.col("c") * F.col("c") - F.col("c2")) / 2)).first()[0] or 0
-        open_buckets = scratch.save(placed.join(buckets.select("sig"), "sig"), "open") if left else None
-        if left <= 3 * shared.count():
-            break
-    if left:
-        # Every pair that shares a bucket and is still in different components.
-        a = open_buckets.select("sig", F.col("set").alias("u"), F.col("size").alias("su"), F.col("root").alias("ru"))
-        b = open_buckets.select("sig", F.col("set").alias("v"), F.col("size").alias("sv"), F.col("root").alias("rv"))
-        on = (F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & (F.col("su") * 100 >= F.col("sv") * per_cent) & (F.col("sv") * 100 >= F.col("su") * per_cent)
-        pairs = a.join(b, "sig").filter(on).select("u", "v").distinct().join(tested, ["u", "v"], "left_anti")
-        done = scratch.save(_links(pairs, texts, n, per_cent), "tested")
-        found = done.filter("linked").select("u", "v").union(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
-        roots = scratch.save(components(found, scratch), "roots")
+    pivot = shared.join(score, "set").groupBy("sig").agg(F.max(F.struct("score", "set")).alias("p")).select("sig", F.col("p.set").alias("v"))
+    pairs = shared.join(pivot, "sig").filter(F.col("set") != F.col("v")).select(F.col("set").alias("u"), "v").distinct()
+    stars = scratch.save(_compared(pairs, texts, n, per_cent), "stars")
+
+    # Sets that differ so little from one pivot that they link without a comparison.
+    most = lambda x, y: F.expr(f"({x} + {y}) * {100 - per_cent} div {100 + per_cent}")
+    nearest = stars.groupBy("v", F.col("su").alias("sy")).agg(F.min(F.struct("d", "u")).alias("y"))
+    sure = stars.filter(~F.col("linked") & (F.col("d") <= most("su", f"su * 100 div {per_cent}"))).join(nearest, "v")
+    sure = sure.filter((F.col("u") != F.col("y.u")) & (F.col("d") + F.col("y.d") <= most("su", "sy"))).select("u", F.col("y.u").alias("v"))
+    links = scratch.save(stars.filter("linked").select("u", "v").union(sure), "links")
+    roots = scratch.save(components(links, scratch), "roots")
+
+    # Pairs around one pivot, still in different components, whose differences overlap.
+    placed = stars.join(roots.withColumnRenamed("node", "u"), "u", "left").withColumn("root", F.coalesce("root", "u"))
+    several = placed.groupBy("v").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("v")
+    firsts = placed.join(several, "v").select("v", "u", "su", "d", "root", F.posexplode("first").alias("at", "element"))
+    firsts = scratch.save(firsts, "differences")
+    a, b = (firsts.select("v", "element", *[F.col(c).alias(c + k) for c in ("u", "su", "d", "root", "at")]) for k in "ab")
+    h = most("sua", "sub")
+    enough = 2 * F.least(F.col("da") - F.col("ata"), F.col("db") - F.col("atb")) >= F.col("da") + F.col("db") - h
+    fits = (F.col("sua") * 100 >= F.col("sub") * per_cent) & (F.col("sub") * 100 >= F.col("sua") * per_cent) & (F.abs(F.col("da") - F.col("db")) <= h)
+    pairs = a.join(b, ["v", "element"]).filter((F.col("ua") < F.col("ub")) & (F.col("roota") != F.col("rootb")) & fits & enough)
+    pairs = pairs.select(F.col("ua").alias("u"), F.col("ub").alias("v")).distinct()
+    found = _compared(pairs, texts, n, per_cent).filter("linked").select("u", "v")
+    found = found.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    roots = scratch.save(components(found, scratch), "roots")
 
     placed = sets.select("set", "first").join(roots.withColumnRenamed("node", "set"), "set", "left")
     placed = placed.withColumn("root", F.coalesce("root", "set"))
