@@ -221,3 +221,37 @@ def knn_regression(train: DataFrame, rows: DataFrame, target: str, k: int, weigh
     exact = F.avg(F.when(zero, F.col("t")))
     w = F.when(~zero, 1 / F.col("d")) if weighted else F.lit(1.0)
     return near.groupBy("query").agg(F.coalesce(exact, F.sum(w * F.col("t")) / F.sum(w)).alias("prediction")).withColumnRenamed("query", key)
+
+
+def directed_hausdorff(queries: DataFrame, rows: DataFrame, metric: str = "euclidean", key: str = "vec_id", vector: str = "x") -> DataFrame:
+    """The largest distance of a query to its nearest row; one row, null for no queries."""
+    return nn_distance(queries, rows, metric, key, vector).agg(F.max("d").alias("hausdorff"))
+
+
+def covariance_table(cov: np.ndarray, spark) -> DataFrame:
+    """(i, j, v) of a matrix as long as a vector is wide."""
+    p = len(cov)
+    return spark.createDataFrame([(i, j, float(cov[i, j])) for i in range(p) for j in range(p)], "i int, j int, v double")
+
+
+def split_metrics(df: DataFrame, side: str, vector: str = "x") -> DataFrame:
+    """Sizes, width, mean of all values and share of values above zero of both sides, and the
+    gap of these shares; one pass."""
+    v = df.select(F.col(side).alias("s"), vector, F.size(vector).alias("p")).withColumn("t", F.aggregate(vector, F.lit(0.0), lambda a, x: a + x))
+    v = v.withColumn("on", F.size(F.filter(vector, lambda x: x > 0)))
+    side_of = lambda c, yes: F.when(F.col("s") if yes else ~F.col("s"), c)
+    aggs = []
+    for name, yes in (("train", True), ("test", False)):
+        cells = F.sum(side_of(F.col("p"), yes))
+        aggs += [F.count(side_of(F.lit(1), yes)).alias(f"n_{name}"), (F.sum(side_of(F.col("t"), yes)) / cells).alias(f"mean_{name}"), (F.sum(side_of(F.col("on"), yes)) / cells).alias(f"share_{name}")]
+    return v.agg(F.max("p").alias("n_features"), *aggs).withColumn("sparsity_gap", F.abs(F.col("share_train") - F.col("share_test")))
+
+
+def nn_tanimoto(query_bits: DataFrame, bits: DataFrame, key: str, bit: str = "bit") -> DataFrame:
+    """(query, similarity): the largest Tanimoto similarity of each query's set of bits to
+    another row's. Sets are (key, bit) rows; only rows that share a bit with a query meet."""
+    size = lambda df: df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    q = query_bits.join(size(query_bits), key).select(F.col(key).alias("query"), bit, F.col("n").alias("nq"))
+    shared = bits.join(q, bit).filter(F.col(key) != F.col("query")).groupBy("query", key, "nq").agg(F.count(F.lit(1)).alias("both"))
+    s = shared.join(size(bits), key).groupBy("query").agg(F.max(F.col("both") / (F.col("nq") + F.col("n") - F.col("both"))).alias("similarity"))
+    return q.select("query").distinct().join(s, "query", "left").select("query", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))

@@ -172,3 +172,48 @@ def mahalanobis_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = features(spark, sf_dir)
     d = distances.mahalanobis_split_distance(f.filter("label < 5"), f.filter("label >= 5"))
     return f.agg(F.count(F.lit(1)).alias("n"), F.lit(round(d, 6)).alias("distance"))
+
+
+@query(f"""WITH {FEATURES}, d AS (SELECT q.vec_id, min(list_distance(q.x, t.x)) AS d FROM feat q, feat t WHERE q.vec_id % 100 = 0 AND t.vec_id <> q.vec_id GROUP BY q.vec_id)
+SELECT {_R("max(d)", "hausdorff")} FROM d""")
+def directed_hausdorff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = features(spark, sf_dir)
+    return rounded(distances.directed_hausdorff(f.filter("vec_id % 100 = 0"), f))
+
+
+@query(f"""{_SIDES}, m AS (SELECT *, avg(v) OVER (PARTITION BY a, pos) AS m FROM e),
+p AS (SELECT x.pos AS i, y.pos AS j, sum((x.v - x.m) * (y.v - y.m)) AS s FROM m x JOIN m y ON x.vec_id = y.vec_id GROUP BY ALL),
+n AS (SELECT sum(c - 1) AS w FROM (SELECT count(*) AS c FROM feat GROUP BY label < 5))
+SELECT i::INT AS i, j::INT AS j, {_R("s / w", "v")} FROM p, n""")
+def pooled_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = features(spark, sf_dir)
+    return rounded(distances.covariance_table(distances.pooled_covariance(f.filter("label < 5"), f.filter("label >= 5"), "x"), spark))
+
+
+@query(f"""{_SIDES} SELECT 64::INT AS n_features, count(DISTINCT vec_id) FILTER (a) AS n_train, {_R("avg(v) FILTER (a)", "mean_train")}, {_R("avg((v > 0)::INT) FILTER (a)", "share_train")},
+  count(DISTINCT vec_id) FILTER (NOT a) AS n_test, {_R("avg(v) FILTER (NOT a)", "mean_test")}, {_R("avg((v > 0)::INT) FILTER (NOT a)", "share_test")},
+  {_R("abs(avg((v > 0)::INT) FILTER (a) - avg((v > 0)::INT) FILTER (NOT a))", "sparsity_gap")} FROM e""")
+def split_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(distances.split_metrics(features(spark, sf_dir).withColumn("a", F.col("label") < 5), "a"))
+
+
+@query(f"""{_BITS}, n AS (SELECT doc_id, count(*) AS n FROM b GROUP BY doc_id),
+s AS (SELECT q.doc_id AS query, x.doc_id, count(*) AS c2 FROM b q JOIN b x ON q.bit = x.bit AND q.doc_id <> x.doc_id WHERE q.doc_id % 100 = 0 GROUP BY ALL)
+SELECT query, {_R("max(c2 / (a.n + c.n - c2))", "similarity")} FROM s JOIN n a ON a.doc_id = query JOIN n c ON c.doc_id = s.doc_id GROUP BY query""")
+def nn_tanimoto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = bits(spark, sf_dir).select("doc_id", "bit")
+    return rounded(distances.nn_tanimoto(b.filter("doc_id % 100 = 0"), b, "doc_id"))
+
+
+@query(f"""WITH m AS (SELECT p_brand, avg(p_retailprice) AS m, stddev_samp(p_retailprice) AS s FROM part GROUP BY p_brand),
+a AS (SELECT p_partkey, p_brand, abs(p_retailprice - m) / s AS score FROM part JOIN m USING (p_brand))
+SELECT p_brand, l_returnflag, count(*) AS n, count(*) FILTER (coalesce(score <= 1.5, false)) AS n_in, {_R("avg(score)", "score")}
+FROM lineitem LEFT JOIN a ON p_partkey = l_partkey GROUP BY ALL""")
+def annotated_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain scores of parts, joined to the many predictions of each."""
+    part = table(spark, sf_dir, "part")
+    m = part.groupBy("p_brand").agg(F.avg("p_retailprice").alias("m"), F.stddev_samp("p_retailprice").alias("s"))
+    a = part.join(m, "p_brand").select("p_partkey", "p_brand", (F.abs(F.col("p_retailprice") - F.col("m")) / F.col("s")).alias("score"))
+    p = table(spark, sf_dir, "lineitem").join(a, F.col("l_partkey") == F.col("p_partkey"), "left")
+    inside = F.count_if(F.coalesce(F.col("score") <= 1.5, F.lit(False)))
+    return rounded(p.groupBy("p_brand", "l_returnflag").agg(F.count(F.lit(1)).alias("n"), inside.alias("n_in"), F.avg("score").alias("score")))
