@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TAG = re.compile(
-    r"<(?:!--.*?(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*+)([^<>]*+)(?:>|\Z)|[!?/][^>]*+(?:>|\Z))", re.S
+    r"<(?:!--.*?(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)(?:>|\Z)|[!?/][^>]*+(?:>|\Z))", re.S
 )
 _ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
@@ -53,6 +53,7 @@ _CLOSES = {
     "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"},
 }
 _BARRIER = {"table", "ul", "ol", "dl", "td", "th", "article", "section", "div", "body", "main", "blockquote", "nav", "aside", "header", "footer", "form", "select"}
+MAX_DEPTH = 512
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
@@ -166,6 +167,8 @@ def _parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
                         break
                 elif stack[k].tag in _BARRIER and stack[k].tag not in shut:
                     break
+        if len(stack) > MAX_DEPTH:  # deeper elements are read as if their tags were not there
+            continue
         up = stack[-1]
         out, good = (True, 0) if up.out else _judge(tag, attrs, up)
         if attrs.endswith("/") and tag in ("svg", "path"):
@@ -249,8 +252,8 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of pages: id_col, url_col, text, n_chars (code points).
 
-    Null and empty pages, and pages without text, give "". Unclosed, truncated or nested
-    markup is read as far as it goes. Rows that repeat are extracted each; null ids and
+    Null and empty pages, and pages without text, give "". Unclosed or truncated markup is
+    read as far as it goes; elements nested deeper than MAX_DEPTH keep their text. Rows that repeat are extracted each; null ids and
     urls are passed on; extra columns are ignored.
     """
 

@@ -50,7 +50,11 @@ def _letters() -> np.ndarray:
 def featurize(text: str | None) -> np.ndarray | None:
     """The feature vector of a text; None without any letter."""
     codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    is_letter = _letters()[np.minimum(codes, 0xFFFF)] | (codes > 0xFFFF)
+    is_letter = _letters()[np.minimum(codes, 0xFFFF)]
+    if (high := codes > 0xFFFF).any():
+        kinds, which = np.unique(codes[high], return_inverse=True)
+        is_letter = is_letter.copy()
+        is_letter[high] = np.array([chr(c).isalpha() for c in kinds])[which]
     if not is_letter.any():
         return None
     c = np.where(is_letter, codes, np.uint32(32))
@@ -148,7 +152,7 @@ def predict_languages(
             found = [(lang, x.tobytes()) for lang, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True) if (x := featurize(t)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.binary())], ["lang", "x"])
 
-    got = known.filter(place < share).select("lang", "text").mapInArrow(vectors, "lang string, x binary").toPandas()
+    got = known.filter(place < share).select("lang", "text").mapInArrow(vectors, "lang string, x binary").toArrow().to_pandas()
     model = None
     if len(got):
         got = got.sort_values(["lang", "x"])

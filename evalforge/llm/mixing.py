@@ -108,13 +108,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mix itself: each document as often as it is emitted, numbered by `copy`.
-    Ids must name rows; if some repeat, each of their rows gets the copies of the id's
-    rows in turn, so use unique ids."""
+    """The mix itself: each document as often as it is emitted, numbered by `copy`, which
+    takes the place of a column of that name. Ids must name rows: rows that share an id are
+    emitted as often as all of them together would be, so use unique ids. Null ids are left
+    out, for nothing names them."""
     scratch = Scratch(docs.sparkSession, "mixed")
-    took = scratch.save(mix(docs, id_col, **options).select(id_col, "copies").filter("copies > 0"), "copies")
+    took = mix(docs, id_col, **options).filter("copies > 0").select(id_col, F.col("copies").alias("__copies"))
+    took = scratch.save(took, "copies")
     out = docs.join(small(took, took.count(), 1_000_000), id_col)
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns, "copy")
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    return out.select(*[c for c in docs.columns if c != "copy"], "copy")
 
 
 ORACLE = """
