@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, drop_ids, mix, small
+from .common import M1, Scratch, drop_ids, mix, small
 
 ORDER, BACKOFF_ORDER = 6, 4
 BUCKETS = 1 << 22
@@ -59,13 +59,16 @@ def _grams(words: list[str]) -> dict[str, np.ndarray]:
     word = np.repeat(np.arange(len(words)), sizes)
     at = np.arange(len(word)) + (word + 1) * pad
     out = {"word": word}
-    for order, name in ((ORDER, ""), (BACKOFF_ORDER, "b")):
-        h = np.full(len(at), np.uint64(order))
-        for k in range(order - 1, 0, -1):
-            h = mix(h * np.uint64(31) + codes[at - k])
-        out["c" + name] = (h % np.uint64(BUCKETS)).astype(np.int64)
-        out["e" + name] = (mix(h * np.uint64(31) + codes[at] + np.uint64(1)) % np.uint64(BUCKETS)).astype(np.int64)
-    out["x"] = (mix(codes[at]) % np.uint64(1 << 16)).astype(np.int64)
+    bucket = lambda h: (mix(h) & np.uint64(BUCKETS - 1)).astype(np.int32)
+    x = codes[at]
+    for order, name in ((BACKOFF_ORDER, "b"), (ORDER, "")):
+        # A polynomial in the characters, most recent first, is scrambled once.
+        h = codes[at - 1]
+        for k in range(2, order):
+            h = h * M1 + codes[at - k]
+        out["c" + name] = bucket(h * M1 + np.uint64(order))
+        out["e" + name] = bucket((h * M1 + x + np.uint64(1 << 32)) * M1 + np.uint64(order))
+    out["x"] = (mix(x) & np.uint64(0xFFFF)).astype(np.int32)
     return out
 
 
@@ -107,18 +110,20 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Table:
-    """Rows of counts by bucket, zero elsewhere."""
+    """Rows of counts by bucket, zero elsewhere. Tasks look rows up by an index as long as
+    the number of buckets, made where it is used."""
 
-    def __init__(self, pdf: pd.DataFrame, key: str):
-        pdf = pdf.sort_values(key)
-        self.keys = pdf[key].to_numpy(np.int64)
-        self.values = pdf.drop(columns=key).to_numpy(np.float32)
+    def __init__(self, rows: pa.Table, key: str):
+        self.keys = rows.column(key).to_numpy().astype(np.int32)
+        counts = np.column_stack([rows.column(c).to_numpy().astype(np.float32) for c in rows.column_names if c != key])
+        self.values = np.concatenate([np.zeros((1, counts.shape[1]), np.float32), counts])
+        self.index = None
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros((len(keys), self.values.shape[1]), np.float32)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where((self.keys[at] == keys)[:, None], self.values[at], np.float32(0))
+        if self.index is None:
+            self.index = np.zeros(BUCKETS, np.int32)
+            self.index[self.keys] = np.arange(1, len(self.keys) + 1)
+        return self.values[self.index[keys]]
 
 
 class Model:
@@ -161,7 +166,7 @@ class Ratios(dict):
         self.model, self.halves = model, halves
 
     def learn(self, texts: list[list[str]]) -> None:
-        if len(self) > 300_000:
+        if len(self) > 500_000:
             self.clear()
         new = list(set().union(*texts).difference(self))
         for i in range(0, len(new), _WORDS_AT_ONCE):
@@ -243,7 +248,7 @@ def toxicity_scores(
         aggs = [F.sum(c).cast("float").alias(c) for c in cols]
         if kinds:
             aggs += [F.count(F.when(F.col(c) > 0, 1)).cast("float").alias(f"n{c}") for c in cols]
-        return Table(grams.filter(F.col("kind") == kind).groupBy(key).agg(*aggs).toPandas(), key)  # <= BUCKETS rows
+        return Table(grams.filter(F.col("kind") == kind).groupBy(key).agg(*aggs).toArrow(), key)  # <= BUCKETS rows
 
     one = COUNTS[:1]
     model = spark.sparkContext.broadcast(
@@ -255,7 +260,7 @@ def toxicity_scores(
         chosen = some if chosen is None else chosen.union(some)
     chosen = scratch.save(chosen, "curve-rows")
     sample = rows.join(F.broadcast(chosen), F.col("id") == F.col("lid")).withColumn("half", half)
-    got = _featured(sample.filter(rest != 0), model, True).select("label", "f0", "f1", "f2", "f3").limit(4 * CURVE_ROWS).toPandas()
+    got = _featured(sample.filter(rest != 0), model, True).select("label", "f0", "f1", "f2", "f3").limit(4 * CURVE_ROWS).toArrow().to_pandas()
     if got["label"].nunique() < 2:
         mean, scale, w = np.zeros(4), np.ones(4), np.array([0.0, 0.0, 0.0, 0.0, -10.0 if not len(got) or got["label"].max() == 0 else 10.0])
     else:
