@@ -16,8 +16,11 @@ Counts cover all documents and all labelled rows for learning. The curve alone i
 on a bounded sample (CURVE_ROWS rows of each class, by hash of the id).
 
 Scale: words are counted per task before they are shuffled, then once per distinct word
-cut into character n-grams, which are hashed into 2^22 buckets: this bounds the model
-(at most 4 million counts, 100 MB) that is collected and sent to the tasks.
+cut into character n-grams. The counts are a table keyed by 64-bit hashes of the n-grams,
+which grows with the input, and the log-likelihood ratio of each n-gram is made from it by
+joins. The n-grams found in most documents, at most MAX_GRAMS, are sent to the tasks. Words
+that hold any other get their ratio by a join with the table, and so do the documents that
+hold such words: none of these n-grams is in many documents.
 """
 
 from __future__ import annotations
@@ -25,7 +28,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,13 +35,16 @@ from pyspark.sql import functions as F
 from .common import M1, Scratch, drop_ids, mix, small
 
 ORDER, BACKOFF_ORDER = 6, 4
-BUCKETS = 1 << 22
+#: Most n-grams whose ratios are sent to the tasks; the others are joined.
+MAX_GRAMS = 4_000_000
 DISCOUNT = 0.75
 STRETCH = 16
 CURVE_ROWS = 10_000
 #: Counts by class and half of the labelled rows.
 COUNTS = ("t0", "t1", "o0", "o1")
 _WORDS_AT_ONCE = 50_000
+#: Ratios of an n-gram or word: by both halves of the labelled rows, by the first, by the second.
+RATIOS = {"r": (0, 1), "r0": (0,), "r1": (1,)}
 
 
 #: Characters that do not count at the ends of a word.
@@ -52,33 +57,33 @@ def _words(text: str | None) -> list[str]:
 
 def _grams(words: list[str]) -> dict[str, np.ndarray]:
     """For every character of the words and their ends: the word's place in the list, and
-    the buckets of its context and of context with character, of both orders."""
+    the 64-bit keys of its context and of context with character, of both orders, and itself."""
     pad = ORDER - 1
     codes = np.frombuffer("".join("^" * pad + w + "$" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sizes = np.array([len(w) for w in words], np.int64) + 1
     word = np.repeat(np.arange(len(words)), sizes)
     at = np.arange(len(word)) + (word + 1) * pad
     out = {"word": word}
-    bucket = lambda h: (mix(h) & np.uint64(BUCKETS - 1)).astype(np.int32)
+    key = lambda h: mix(h).view(np.int64)
     x = codes[at]
     for order, name in ((BACKOFF_ORDER, "b"), (ORDER, "")):
         # A polynomial in the characters, most recent first, is scrambled once.
         h = codes[at - 1]
         for k in range(2, order):
             h = h * M1 + codes[at - k]
-        out["c" + name] = bucket(h * M1 + np.uint64(order))
-        out["e" + name] = bucket((h * M1 + x + np.uint64(1 << 32)) * M1 + np.uint64(order))
-    out["x"] = (mix(x) & np.uint64(0xFFFF)).astype(np.int32)
+        out["c" + name] = key(h * M1 + np.uint64(order))
+        out["e" + name] = key((h * M1 + x + np.uint64(1 << 32)) * M1 + np.uint64(order))
+    out["x"] = x.view(np.int64)
     return out
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of each class and half that hold a word, summed within the task."""
+    """Documents of each class and half, and all documents, that hold a word, summed within the task."""
     seen: dict[str, list[int]] = {}
 
     def flush() -> pa.RecordBatch:
-        cols = list(zip(*seen.values())) if seen else [()] * 4
-        out = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), *(pa.array(c, pa.int64()) for c in cols)], ["word", *COUNTS])
+        cols = list(zip(*seen.values())) if seen else [()] * 5
+        out = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), *(pa.array(c, pa.int64()) for c in cols)], ["word", *COUNTS, "docs"])
         seen.clear()
         return out
 
@@ -86,7 +91,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, slot in zip(b.column("text").to_pylist(), b.column("slot").to_pylist(), strict=True):
             for w in set(_words(text)):
                 if (c := seen.get(w)) is None:
-                    c = seen[w] = [0, 0, 0, 0]
+                    c = seen[w] = [0, 0, 0, 0, 0]
+                c[4] += 1
                 if slot is not None:
                     c[slot] += 1
             if len(seen) > 200_000:
@@ -94,76 +100,94 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
+def _gram_rows(words: list[str], counts: np.ndarray) -> pa.RecordBatch:
+    """The distinct 6-grams of the words: their keys, sums of the words' counts, and words."""
+    g = _grams(words)
+    e, first, place = np.unique(g["e"], return_index=True, return_inverse=True)
+    sums = [np.bincount(place, counts[g["word"], k], len(e)).astype(np.int64) for k in range(counts.shape[1])]
+    cols = [e, *(g[k][first] for k in _KEYS), *sums, np.bincount(place, minlength=len(e))]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["e", *_KEYS, *COUNTS, "docs", "n"])
+
+
+_KEYS = ("c", "eb", "cb", "x")
+
+
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words: list[str] = []
+    counts: list[np.ndarray] = []
     for b in batches:
-        all_words = b.column("word").to_pylist()
-        counts = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in COUNTS], 1)
-        for i in range(0, len(all_words), _WORDS_AT_ONCE):
-            g = _grams(all_words[i : i + _WORDS_AT_ONCE])
-            by_class = pd.DataFrame(counts[i : i + _WORDS_AT_ONCE][g["word"]], columns=list(COUNTS))
-            labelled = by_class.assign(kind=0, context=g["c"], event=g["e"])[by_class.any(axis=1).to_numpy()]
-            shared = pd.DataFrame({"kind": 1, "context": g["cb"], "event": g["eb"], "t0": 1, "t1": 0, "o0": 0, "o1": 0})
-            single = pd.DataFrame({"kind": 2, "context": 0, "event": g["x"], "t0": 1, "t1": 0, "o0": 0, "o1": 0})
-            for x in (labelled, shared, single):
-                x = x.groupby(["kind", "context", "event"], as_index=False)[list(COUNTS)].sum()
-                yield pa.RecordBatch.from_pandas(x.astype("int64"), preserve_index=False)
-
-
-class Table:
-    """Rows of counts by bucket, zero elsewhere. Tasks look rows up by an index as long as
-    the number of buckets, made where it is used."""
-
-    def __init__(self, rows: pa.Table, key: str):
-        self.keys = rows.column(key).to_numpy().astype(np.int32)
-        counts = np.column_stack([rows.column(c).to_numpy().astype(np.float32) for c in rows.column_names if c != key])
-        self.values = np.concatenate([np.zeros((1, counts.shape[1]), np.float32), counts])
-        self.index = None
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        if self.index is None:
-            self.index = np.zeros(BUCKETS, np.int32)
-            self.index[self.keys] = np.arange(1, len(self.keys) + 1)
-        return self.values[self.index[keys]]
-
-
-class Model:
-    """Log-likelihood ratios of words. halves: those of the labelled rows that count."""
-
-    def __init__(self, events: Table, contexts: Table, shared_events: Table, shared_contexts: Table, single: Table):
-        self.events, self.contexts, self.shared_events, self.shared_contexts, self.single = events, contexts, shared_events, shared_contexts, single
-        self.total = float(single.values.sum()) + 1.0
-
-    def ratios(self, words: list[str], halves: tuple[int, ...]) -> np.ndarray:
-        g = _grams(words)
-        one = (self.single(g["x"])[:, 0] + 1.0) / (self.total + (1 << 16))
-        t, (tot, kinds) = self.shared_events(g["eb"])[:, 0], self.shared_contexts(g["cb"]).T
-        shared = np.where(tot > 0, (np.maximum(t - DISCOUNT, 0) + DISCOUNT * kinds * one) / np.maximum(tot, 1), one)
-        events, contexts = self.events(g["e"]), self.contexts(g["c"])
+        words += b.column("word").to_pylist()
+        counts.append(np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in (*COUNTS, "docs")], 1))
+        if len(words) >= _WORDS_AT_ONCE:
+            yield _gram_rows(words, np.concatenate(counts))
+            words, counts = [], []
+    if words:
+        yield _gram_rows(words, np.concatenate(counts))
+
+
+def _gram_ratios(events: DataFrame) -> DataFrame:
+    """e, docs and the log-likelihood ratios RATIOS of each 6-gram of the table of counts."""
+    single = events.groupBy("x").agg(F.sum("n").alias("nx"))  # one row per character in use
+    total = events.agg(F.sum("n")).first()[0] + 1.0
+    shared = events.groupBy("eb").agg(F.first("cb").alias("cb"), F.first("x").alias("x"), F.sum("n").alias("t"))
+    around = shared.groupBy("cb").agg(F.sum("t").alias("tot"), F.count(F.when(F.col("t") > 0, 1)).alias("kinds"))
+    one = (F.col("nx") + 1.0) / (total + (1 << 16))
+    taken = F.greatest(F.col("t") - DISCOUNT, F.lit(0.0))
+    p = F.when(F.col("tot") > 0, (taken + DISCOUNT * F.col("kinds") * one) / F.col("tot")).otherwise(one)
+    shared = shared.join(around, "cb").join(small(single, single.count(), 1 << 21), "x").select("eb", p.alias("shared"))
+    contexts = events.groupBy("c").agg(
+        *[F.sum(k).alias(f"tot_{k}") for k in COUNTS], *[F.count(F.when(F.col(k) > 0, 1)).alias(f"kinds_{k}") for k in COUNTS]
+    )
+    ratios = []
+    for name, halves in RATIOS.items():
         logs = []
-        for cls in (0, 2):
-            c = sum(events[:, cls + h] for h in halves)
-            tot = sum(contexts[:, cls + h] for h in halves)
+        for cls in "to":
+            of = lambda pre: [F.col(f"{pre}{cls}{h}") for h in halves]  # noqa: B023, E731
+            c, tot = sum(of(""), F.lit(0)), sum(of("tot_"), F.lit(0))
             # Kinds of both halves: those of the first and those that the second adds are not
             # kept apart, so the larger of the two stands for them.
-            kinds = np.maximum.reduce([contexts[:, 4 + cls + h] for h in halves])
-            logs.append(np.log(np.where(tot > 0, (np.maximum(c - DISCOUNT, 0) + DISCOUNT * np.maximum(kinds, tot > 0) * shared) / np.maximum(tot, 1), shared)))
-        return np.bincount(g["word"], np.clip(logs[0] - logs[1], -4, 4), len(words))
+            kinds = F.greatest(F.lit(1), *of("kinds_"))
+            own = (F.greatest(c - DISCOUNT, F.lit(0.0)) + DISCOUNT * kinds * F.col("shared")) / tot
+            logs.append(F.ln(F.when(tot > 0, own).otherwise(F.col("shared"))))
+        ratios.append(F.greatest(F.lit(-4.0), F.least(F.lit(4.0), logs[0] - logs[1])).alias(name))
+    return events.join(contexts, "c").join(shared, "eb").select("e", "docs", *ratios)
+
 
+class Head:
+    """Ratios of the 6-grams that are sent to the tasks."""
 
-def features(words: list[str], ratio) -> list[float]:
-    if not words:
+    def __init__(self, rows: pa.Table):
+        keys = rows.column("e").to_numpy()
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.values = np.column_stack([rows.column(r).to_numpy() for r in RATIOS]).astype(np.float32)[order]
+
+    def positions(self, words: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        """The words' 6-grams, their ratios (0 for those not held), and which are held."""
+        g = _grams(words)
+        at = np.minimum(np.searchsorted(self.keys, g["e"]), len(self.keys) - 1)
+        held = self.keys[at] == g["e"]
+        return g, np.where(held[:, None], self.values[at], 0), held
+
+    def ratios(self, words: list[str], column: int) -> np.ndarray:
+        """The words' ratios, not a number for those with a 6-gram that is not held."""
+        g, values, held = self.positions(words)
+        return np.bincount(g["word"], np.where(held, values[:, column], np.nan), len(words))
+
+
+def _features(sums: np.ndarray, n: int) -> list[float]:
+    """From the sums of ratios over the stretches of a text of n words."""
+    if not n:
         return [0.0, 0.0, 0.0, 0.0]
-    r = np.fromiter(map(ratio, words), np.float64, len(words))
-    padded = np.concatenate([r, np.zeros(-len(r) % STRETCH)])
-    top = np.sort(padded.reshape(-1, STRETCH).sum(axis=1))[::-1] / STRETCH
-    return [float(r.mean()), float(top[0]), float(top[1]) if len(top) > 1 else 0.0, float(np.log1p(len(words)))]
+    top = np.sort(sums)[::-1] / STRETCH
+    return [float(sums.sum() / n), float(top[0]), float(top[1]) if len(top) > 1 else 0.0, float(np.log1p(n))]
 
 
 class Ratios(dict):
     """Remembered ratios of words for one choice of halves; bounded."""
 
-    def __init__(self, model: Model, halves: tuple[int, ...]):
-        self.model, self.halves = model, halves
+    def __init__(self, head: Head, column: int):
+        self.head, self.column = head, column
 
     def learn(self, texts: list[list[str]]) -> None:
         if len(self) > 500_000:
@@ -171,27 +195,92 @@ class Ratios(dict):
         new = list(set().union(*texts).difference(self))
         for i in range(0, len(new), _WORDS_AT_ONCE):
             part = new[i : i + _WORDS_AT_ONCE]
-            self.update(zip(part, self.model.ratios([w.strip(EDGES) for w in part], self.halves).tolist(), strict=True))
+            self.update(zip(part, self.head.ratios([w.strip(EDGES) for w in part], self.column).tolist(), strict=True))
+
+
+#: The column of RATIOS for rows of each half, by the model of the other half; last, by both.
+_COLUMNS = (2, 1, 0)
+_FEATURES = [f"f{k}" for k in range(4)]
 
 
-def _featured(rows: DataFrame, model, by_half: bool) -> DataFrame:
-    """id, half and the four features of each text. by_half: by the model of the other half."""
+def _summed(rows: DataFrame, head, by_half: bool, finish: bool) -> DataFrame:
+    """id, label and: if finish is set, the four features of each text; else the column of
+    ratios, the words' number, the sums over stretches of the ratios of words known to the
+    head, and the other words with their stretches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [Ratios(model.value, (1,)), Ratios(model.value, (0,))] if by_half else [Ratios(model.value, (0, 1))]
+        known = [Ratios(head.value, c) for c in _COLUMNS]
         for b in batches:
             texts, halves = b.column("text").to_pylist(), b.column("half").to_pylist()
-            out = []
+            out, missing = [], []
             for i in range(0, len(texts), 256):
-                part, which = list(map(_words, texts[i : i + 256])), [h if by_half else 0 for h in halves[i : i + 256]]
-                for k, ratios in enumerate(known):
-                    ratios.learn([t for t, h in zip(part, which, strict=True) if h == k])
-                out += [features(t, known[h].__getitem__) for t, h in zip(part, which, strict=True)]
+                part, which = list(map(_words, texts[i : i + 256])), [h if by_half else 2 for h in halves[i : i + 256]]
+                for k in set(which):
+                    known[k].learn([t for t, h in zip(part, which, strict=True) if h == k])
+                for t, h in zip(part, which, strict=True):
+                    r = np.fromiter(map(known[h].__getitem__, t), np.float64, len(t))
+                    lost = np.flatnonzero(np.isnan(r)).tolist()
+                    r[lost] = 0
+                    sums = np.concatenate([r, np.zeros(-len(r) % STRETCH)]).reshape(-1, STRETCH).sum(axis=1)
+                    out.append(_features(sums, len(t)) if finish else (_COLUMNS[h], len(t), sums))
+                    missing.append([{"stretch": j // STRETCH, "word": t[j].strip(EDGES)} for j in lost])
+            if finish:
+                cols = [pa.array(c, pa.float64()) for c in zip(*out)] if out else [pa.array([], pa.float64())] * 4
+            else:
+                cols = list(zip(*out)) if out else [()] * 3
+                kinds = pa.int32(), pa.int32(), pa.list_(pa.float64())
+                cols = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
+                cols.append(pa.array(missing, pa.list_(pa.struct([("stretch", pa.int32()), ("word", pa.string())]))))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), *cols], ["id", "label", *names])
+
+    names = _FEATURES if finish else ["which", "size", "sums", "missing"]
+    more = ", ".join(f"{f} double" for f in _FEATURES) if finish else "which int, size int, sums array<double>, missing array<struct<stretch: int, word: string>>"
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("id", "label", "half", "text").mapInArrow(run, f"id {kind}, label int, {more}")
+
+
+def _tail_words(words: DataFrame, tail: DataFrame, head) -> DataFrame:
+    """word and the ratios RATIOS of the words that hold a 6-gram of the tail."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            given = b.column("word").to_pylist()
+            g, values, held = head.value.positions(given)
+            sums = np.stack([np.bincount(g["word"], values[:, k], len(given)) for k in range(len(RATIOS))], 1)
+            lost = g["word"][~held]
+            # The head's part of a word's ratio goes with the first 6-gram that is not held.
+            own = np.where((np.diff(lost, prepend=-1) != 0)[:, None], sums[lost], 0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([given[j] for j in lost], pa.string()), pa.array(g["e"][~held]), *map(pa.array, own.T.copy())], ["word", "e", *(f"h{r}" for r in RATIOS)]
+            )
+
+    rows = words.select("word").mapInArrow(run, "word string, e long, " + ", ".join(f"h{r} double" for r in RATIOS))
+    return rows.join(tail.drop("docs"), "e").groupBy("word").agg(*[F.sum(F.col(r) + F.col(f"h{r}")).alias(r) for r in RATIOS])
+
+
+def _featured(rows: DataFrame, head, by_half: bool, tail_words: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """id, label and the four features of each text. by_half: by the model of the other half."""
+    if tail_words is None:
+        return _summed(rows, head, by_half, True)
+    part = scratch.save(_summed(rows, head, by_half, False).withColumn("row", F.monotonically_increasing_id()), "sums")
+    lost = part.select("row", "which", F.inline("missing")).join(tail_words, "word")
+    ratio = F.element_at(F.array(*RATIOS), F.col("which") + 1)
+    adds = lost.groupBy("row").agg(F.collect_list(F.struct("stretch", ratio.alias("r"))).alias("adds"))
+    whole = part.select("row", "id", "label", "size", "sums").join(adds, "row", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for n, sums, more in zip(*(b.column(c).to_pylist() for c in ("size", "sums", "adds")), strict=True):
+                sums = np.array(sums, float)
+                for a in more or ():
+                    sums[a["stretch"]] += a["r"]
+                out.append(_features(sums, n))
             cols = [pa.array(c, pa.float64()) for c in zip(*out)] if out else [pa.array([], pa.float64())] * 4
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), *cols], ["id", "label", "f0", "f1", "f2", "f3"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), *cols], ["id", "label", *_FEATURES])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "label", "half", "text").mapInArrow(run, f"id {kind}, label int, f0 double, f1 double, f2 double, f3 double")
+    return whole.mapInArrow(run, f"id {kind}, label int, " + ", ".join(f"{f} double" for f in _FEATURES))
 
 
 def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -210,7 +299,7 @@ def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray
 
 
 def toxicity_scores(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_broadcast: int = 1_000_000
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_broadcast: int = 1_000_000, max_grams: int = MAX_GRAMS
 ) -> DataFrame:
     """One row per row of docs: id_col, held_out, score (0 to 1), predicted (1 if score >= 0.5).
 
@@ -236,37 +325,44 @@ def toxicity_scores(
     known = rows.join(small(lab, sum(by_class.values()), max_broadcast), F.col("id") == F.col("lid"), "left")
     known = known.withColumn("half", half)
     slot = F.when(F.col("label").isNotNull(), F.when(F.col("label") == 1, 0).otherwise(2) + F.col("half"))
-    spec = ", ".join(f"{c} long" for c in COUNTS)
+    spec = ", ".join(f"{c} long" for c in (*COUNTS, "docs"))
     words = known.select("text", slot.alias("slot")).mapInArrow(_count_words, f"word string, {spec}")
     words = words.withColumn("word", F.btrim("word", F.lit(EDGES))).filter("word <> ''")
-    words = scratch.save(words.groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS]), "words")
-    grams = words.mapInArrow(_count_grams, f"kind long, context long, event long, {spec}")
-    grams = scratch.save(grams.groupBy("kind", "context", "event").agg(*[F.sum(c).alias(c) for c in COUNTS]), "grams")
-    scratch.drop(words)
-
-    def counts(kind: int, key: str, kinds: bool, cols: tuple[str, ...]) -> Table:
-        aggs = [F.sum(c).cast("float").alias(c) for c in cols]
-        if kinds:
-            aggs += [F.count(F.when(F.col(c) > 0, 1)).cast("float").alias(f"n{c}") for c in cols]
-        return Table(grams.filter(F.col("kind") == kind).groupBy(key).agg(*aggs).toArrow(), key)  # <= BUCKETS rows
-
-    one = COUNTS[:1]
-    model = spark.sparkContext.broadcast(
-        Model(counts(0, "event", False, COUNTS), counts(0, "context", True, COUNTS), counts(1, "event", False, one), counts(1, "context", True, one), counts(2, "event", False, one))
-    )
+    words = scratch.save(words.groupBy("word").agg(*[F.sum(c).alias(c) for c in (*COUNTS, "docs")]), "words")
+    grams = words.mapInArrow(_count_grams, f"e long, {', '.join(f'{k} long' for k in _KEYS)}, {spec}, n long")
+    # A word of punctuation alone has one 6-gram, which no word counts.
+    none = {k: int(v[0]) for k, v in _grams([""]).items() if k != "word"} | dict.fromkeys((*COUNTS, "n"), 0) | {"docs": 1 << 40}
+    grams = grams.union(spark.createDataFrame([tuple(none[c] for c in grams.columns)], grams.schema))
+    grams = grams.groupBy("e").agg(*[F.first(k).alias(k) for k in _KEYS], *[F.sum(c).alias(c) for c in (*COUNTS, "docs", "n")])
+    grams = scratch.save(grams, "grams")
+    ratios = scratch.save(_gram_ratios(grams), "ratios")
+
+    if ratios.count() > max_grams:  # the levels of frequency that fit into the head
+        level = F.floor(8 * F.log2("docs"))
+        least, room = None, max_grams
+        for r in ratios.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # some hundred rows
+            if least is not None and r["count"] > room:
+                break
+            least, room = r["level"], room - r["count"]
+        top, tail = ratios.filter(level >= least), ratios.filter(level < least)
+    else:
+        top, tail = ratios, None
+    head = spark.sparkContext.broadcast(Head(top.select("e", *RATIOS).toArrow()))  # <= max_grams rows
+    tail_words = None if tail is None else scratch.save(_tail_words(words, tail, head), "tail-words")
+    scratch.drop(words, grams)
     chosen = None
     for label in (0, 1):
         some = lab.filter(F.col("label") == label).orderBy(F.xxhash64("lid"), "lid").limit(CURVE_ROWS)
         chosen = some if chosen is None else chosen.union(some)
     chosen = scratch.save(chosen, "curve-rows")
     sample = rows.join(F.broadcast(chosen), F.col("id") == F.col("lid")).withColumn("half", half)
-    got = _featured(sample.filter(rest != 0), model, True).select("label", "f0", "f1", "f2", "f3").limit(4 * CURVE_ROWS).toArrow().to_pandas()
+    got = _featured(sample.filter(rest != 0), head, True, tail_words, scratch).select("label", "f0", "f1", "f2", "f3").limit(4 * CURVE_ROWS).toArrow().to_pandas()
     if got["label"].nunique() < 2:
         mean, scale, w = np.zeros(4), np.ones(4), np.array([0.0, 0.0, 0.0, 0.0, -10.0 if not len(got) or got["label"].max() == 0 else 10.0])
     else:
         share = got["label"].map(lambda x: by_class[x] / max(1, (got["label"] == x).sum())).to_numpy()
         mean, scale, w = _curve(got[["f0", "f1", "f2", "f3"]].to_numpy(), got["label"].to_numpy(float), share / share.mean())
-    out = _featured(rows.withColumn("label", F.lit(0)).withColumn("half", F.lit(0)), model, False)
+    out = _featured(rows.withColumn("label", F.lit(0)).withColumn("half", F.lit(0)), head, False, tail_words, scratch)
     z = F.lit(float(w[4]))
     for k in range(4):
         z = z + (F.col(f"f{k}") - float(mean[k])) / float(scale[k]) * float(w[k])

@@ -307,3 +307,20 @@ def test_toxicity(spark, empty):
     assert toxicity.toxicity_scores(df, labels.filter("toxic = 0")).filter("predicted = 1").count() == 0
     assert toxicity.toxicity_scores(empty, labels).count() == 0
     assert toxicity.keep_clean(df, labels).columns == df.columns
+
+
+def test_toxicity_counts_each_gram(spark):
+    """As many counts as there are n-grams, and the same scores when few of them are sent to the tasks."""
+    given = [hashlib.md5(str(i).encode()).hexdigest() for i in range(20000)]
+    g = toxicity._grams(given)
+    for order, c, e in ((6, "c", "e"), (4, "cb", "eb")):
+        padded = ["^" * (order - 1) + w + "$" for w in given]
+        assert len(set(g[e].tolist())) == len({p[i : i + order] for p in padded for i in range(len(p) - order + 1)})
+        assert len(set(g[c].tolist())) == len({p[i : i + order - 1] for p in padded for i in range(len(p) - order + 1)})
+    data = [(i, " ".join(words(i, 40 + i % 50) + ["-", "..."] + ["scummy" if i % 4 == 0 else "fine", f"é{i}x"]), 1) for i in range(300)]
+    df = spark.createDataFrame([*data, data[3], (None, None, 1), (5000, "", 1)], "doc_id long, text string, label int")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int")
+    whole, joined = ([tuple(r) for r in toxicity.toxicity_scores(df, labels, **o).orderBy("doc_id", "score").collect()] for o in ({}, {"max_grams": 60}))
+    assert len(whole) == 303 and {r[2] for r in whole if r[0] == 4} != {r[2] for r in whole if r[0] == 5}
+    assert [(r[0], r[1], r[3]) for r in whole] == [(r[0], r[1], r[3]) for r in joined]
+    assert max(abs(a[2] - b[2]) for a, b in zip(whole, joined, strict=True)) < 1e-4
