@@ -63,8 +63,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_cop
     return s.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
-    """One row per row of docs: id_col, size, source_size, target, copies, taken.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", key_cols: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: id_col, size, source_size, target, copies, taken, key_cols.
 
     Null or empty texts have size 0 and take 0 words; null is a source of its own. A
     total of 0 gives targets and takes of 0. Repeated ids are rows like any other, in an
@@ -73,7 +73,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
     rows = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *key_cols
     )
     rows = scratch.save(
         rows.withColumn("cls", F.floor(12 * F.log(F.col("size") + 1)).cast("int")).withColumn("h", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))), "rows"
@@ -103,21 +103,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("source"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
     copies = (F.floor(place * each + offset) - F.floor((place - 1) * each + offset)).cast("long")
     return ranked.withColumn("copies", F.least(F.lit(MAX_COPIES), copies)).select(
-        F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *key_cols
     )
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The mix itself: each document as often as it is emitted, numbered by `copy`, which
-    takes the place of a column of that name. Ids must name rows: rows that share an id are
-    emitted as often as all of them together would be, so use unique ids. Null ids are left
-    out, for nothing names them."""
+    takes the place of a column of that name. Where ids are null or repeat, rows are saved
+    with keys of their own, so each is emitted as often as the mix takes it."""
     scratch = Scratch(docs.sparkSession, "mixed")
-    took = mix(docs, id_col, **options).filter("copies > 0").select(id_col, F.col("copies").alias("__copies"))
+    key, columns = id_col, [c for c in docs.columns if c != "copy"]
+    if not docs.groupBy(id_col).count().filter((F.col("count") > 1) | F.col(id_col).isNull()).isEmpty():
+        key = "__row"
+        docs = scratch.save(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    took = mix(docs, id_col, key_cols=() if key == id_col else (key,), **options).filter("copies > 0").select(key, F.col("copies").alias("__copies"))
     took = scratch.save(took, "copies")
-    out = docs.join(small(took, took.count(), 1_000_000), id_col)
+    out = docs.join(small(took, took.count(), 1_000_000), key)
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-    return out.select(*[c for c in docs.columns if c != "copy"], "copy")
+    return out.select(*columns, "copy")
 
 
 ORACLE = """

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import M1, Scratch, WordHashes, drop_ids, mix, small
+from .common import M1, Scratch, WordHashes, drop_ids, keep_ids, mix, small
 from .graph import components
 
 #: A verified chance pair costs about as much as so many signature rows.
@@ -212,8 +212,15 @@ def similar_groups(
 
         id_type = docs.schema["id"].dataType.simpleString()
         meta = scratch.save(docs.mapInArrow(describe, f"id {id_type}, size long, set long, check long"), "meta")
+        # An id names a text if all its rows have one set; sets without such an id are named
+        # by their digest alone.
+        of_id = meta.filter("id IS NOT NULL").groupBy("id").agg(F.min("set").alias("a"), F.max("set").alias("b"), F.max(F.col("size") == 0).alias("empty"))
+        unclear = scratch.save(of_id.filter("a <> b OR (a IS NOT NULL AND empty)").select("id"), "unclear")
+        marked = small(unclear.withColumn("unclear", F.lit(True)), unclear.count(), 1_000_000)
+        keyed = meta.filter("size > 0").join(marked, "id", "left").withColumn("key", F.when(F.col("unclear").isNull(), F.col("id")))
         sets = scratch.save(
-            meta.filter("size > 0").groupBy("set").agg(F.min("id").alias("first"), F.first("size").alias("size"), F.min("check").alias("c1"), F.max("check").alias("c2")), "sets"
+            keyed.groupBy("set").agg(F.min("id").alias("first"), F.min("key").alias("key"), F.first("size").alias("size"), F.min("check").alias("c1"), F.max("check").alias("c2")),
+            "sets",
         )
         if sets.filter("c1 <> c2").isEmpty():  # no two different sets have one name
             break
@@ -239,30 +246,30 @@ def similar_groups(
                 if sigs:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(ids))], ["sig", "set"])
 
-    # Copies of a set are not indexed: ids all of whose rows are copies of another row's.
-    ranked = meta.filter("size > 0 AND id IS NOT NULL").join(sets.select("set", "first"), "set")
-    copies = ranked.groupBy("id").agg(F.max(F.col("id") == F.col("first")).alias("is_first")).filter("NOT is_first").select("id")
-    rows = drop_ids(docs, scratch.save(copies, "copies"), "id")
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for b in batches:
+            for at, part in pieces(_texts(b)):
+                ids = [_set_id(s ^ np.uint64(seed))[0] if len(s) else None for s in shingle_sets(part, n, cache)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), b.column("text").slice(at, len(part))], ["set", "text"])
+
+    # Copies of a set are not indexed: ids other than the one that names the set.
+    copies = keyed.filter("key IS NOT NULL").join(sets.select("set", F.col("key").alias("of_set")), "set").filter("key <> of_set").select("id").distinct()
+    named = drop_ids(docs.filter("id IS NOT NULL"), scratch.save(copies.union(unclear).distinct(), "copies"), "id")
+    nameless = sets.filter("key IS NULL").select("set")
+    unnamed = docs.filter("id IS NULL").union(keep_ids(docs, unclear, "id")).mapInArrow(digest, "set long, text string")
+    unnamed = scratch.save(unnamed.join(small(nameless, nameless.count(), 1_000_000), "set", "left_semi").dropDuplicates(["set"]), "unnamed")
+    rows = named.select("text").union(unnamed.select("text"))
     by_sig = Window.partitionBy("sig").orderBy("set")
     signed = rows.mapInArrow(index, "sig long, set long")
     signed = signed.withColumn("before", F.lag("set").over(by_sig)).withColumn("after", F.lead("set").over(by_sig))
     shared = signed.filter("before <> set OR after <> set").select("sig", "set")
     shared = scratch.save(shared.distinct().join(sets.select("set", "size"), "set").select("sig", "set", "size"), "shared")
 
-    nodes = scratch.save(shared.select("set").distinct().join(sets.select("set", "first"), "set"), "nodes")
-    own = nodes.select("set", F.col("first").alias("id"))
-    texts = docs.join(small(own, own.count(), 1_000_000), "id").select("set", "text")
-    # An id with several texts names the right one by its set.
-    if not meta.filter("size > 0").groupBy("id").agg(F.countDistinct("set").alias("c")).filter("c > 1").isEmpty():
-        def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cache = WordHashes()
-            for b in batches:
-                ids = [_set_id(s ^ np.uint64(seed))[0] if len(s) else None for s in shingle_sets(_texts(b), n, cache)]
-                yield b.filter(pa.compute.equal(b.column("set"), pa.array(ids, pa.int64())).fill_null(False))
-
-        import pyarrow.compute  # noqa: F401
-
-        texts = texts.mapInArrow(named, texts.schema)
+    nodes = scratch.save(shared.select("set").distinct().join(sets.select("set", "key"), "set"), "nodes")
+    own = nodes.filter("key IS NOT NULL").select("set", F.col("key").alias("id"))
+    texts = named.join(small(own, own.count(), 1_000_000), "id").select("set", "text")
+    texts = texts.union(unnamed.join(nodes, "set", "left_semi").select("set", "text"))
     texts = scratch.save(texts.dropDuplicates(["set"]), "texts")
 
     # Pivots: in each bucket the set that shares most signatures with others.

@@ -324,3 +324,28 @@ def test_toxicity_counts_each_gram(spark):
     assert len(whole) == 303 and {r[2] for r in whole if r[0] == 4} != {r[2] for r in whole if r[0] == 5}
     assert [(r[0], r[1], r[3]) for r in whole] == [(r[0], r[1], r[3]) for r in joined]
     assert max(abs(a[2] - b[2]) for a, b in zip(whole, joined, strict=True)) < 1e-4
+
+
+def test_ngram_join_rows_without_a_name_of_their_own(spark):
+    """Texts that null or shared ids hold link like any other."""
+    base = words(11, 150)
+    change = lambda *at: " ".join("changed" if i in at else w for i, w in enumerate(base))
+    far = words(12, 150)
+    near = " ".join([*far[:-1], "other"])
+    rows = [(None, change()), (1, change(3)), (2, change(140)), (7, " ".join(far)), (7, "nothing like it"), (7, None), (5, near), (None, "alone here"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.similar_groups(df, n=3, similarity=0.9).collect()
+    assert len(got) == len(rows)
+    assert sorted(str((r["doc_id"], r["n_shingles"], r["component_id"])) for r in got) == sorted(
+        map(str, [(None, 148, 1), (1, 148, 1), (2, 148, 1), (7, 148, 5), (7, 1, 7), (7, 0, 7), (5, 148, 5), (None, 1, None), (None, 0, None)])
+    )
+
+
+def test_mixed_emits_each_row(spark):
+    """As many copies as the mix takes, of rows with null and shared ids too."""
+    rows = [(i if i % 3 else None if i % 2 else 9, " ".join(words(i, 5 + i)), f"s{i % 2}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted((str(r["doc_id"]), r["size"]) for r in mixing.mix(df).collect() for _ in range(r["copies"]))
+    got = mixing.mixed(df)
+    assert got.columns == ["doc_id", "text", "source", "copy"]
+    assert sorted((str(r["doc_id"]), len(r["text"].split())) for r in got.collect()) == want
