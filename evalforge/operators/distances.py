@@ -1,19 +1,22 @@
 """Distances between two sets of rows, distribution shift and applicability domains.
 
-Nearest-neighbour work is a stated set of queries against all rows: the queries, whose
-number is checked, are sent to the tasks and meet the rows in blocks of a batch; each task
-hands on one row a query. Moments (means, scatter) are grouped sums of the array places.
+Nearest-neighbour work is a stated set of queries against all rows: the queries are sent to
+the tasks, in as many parts as their number asks for, and meet the rows in blocks of a
+batch; each task hands on k rows a query. Moments (means, scatter) are grouped sums of the array places.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalforge.sources.scratch import materialise
+
 #: Most query rows that are sent to the tasks at once.
 MAX_QUERIES = 200_000
 _BLOCK = 256
@@ -41,8 +44,17 @@ def k_nearest(queries: DataFrame, rows: DataFrame, k: int, metric: str = "euclid
     """(query, key, d): the k nearest rows of each query, other than itself, ties by key."""
     n = queries.count()
     if n > MAX_QUERIES:
-        raise ValueError(f"{n} query rows; at most {MAX_QUERIES} are sent to the tasks at once")
+        # Each part is answered and written before the next is sent.
+        parts = -(-n * 5 // (MAX_QUERIES * 4))
+        part = F.pmod(F.xxhash64(key), F.lit(parts))
+        done = [materialise(_k_nearest(queries.filter(part == i), rows, k, metric, key, vector)) for i in range(parts)]
+        return reduce(DataFrame.union, done)
+    return _k_nearest(queries, rows, k, metric, key, vector)
+
+
+def _k_nearest(queries: DataFrame, rows: DataFrame, k: int, metric: str, key: str, vector: str) -> DataFrame:
     got = queries.select(key, vector).toPandas().sort_values(key)
+    n = len(got)
     spark = rows.sparkSession
     sent = spark.sparkContext.broadcast((got[key].to_numpy(), np.array(got[vector].tolist(), float).reshape(n, -1 if n else 0)))
 

@@ -218,3 +218,13 @@ def test_binary_quality(spark):
     df = spark.createDataFrame([(1, 1), (1, 0), (0, 0), (0, 0)], "t int, p int")
     r = models.binary_quality(df, "t", "p").first()
     assert r["accuracy"] == 0.75 and r["mcc"] == pytest.approx(2 / math.sqrt(12))
+
+
+def test_k_nearest_in_parts(spark, monkeypatch):
+    """More queries than are sent at once are answered in parts, with the same result."""
+    from evalforge.operators import distances
+
+    df = spark.createDataFrame([(i, [float(i * i % 37), float(i % 11)]) for i in range(60)], "vec_id long, x array<double>")
+    want = sorted(map(tuple, distances.k_nearest(df, df, 2).collect()))
+    monkeypatch.setattr(distances, "MAX_QUERIES", 25)
+    assert len(want) == 120 and sorted(map(tuple, distances.k_nearest(df, df, 2).collect())) == want
