@@ -20,11 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, only
-    where that is unset (tests on one machine), a new temporary folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is
+    unset and everything runs in one local process (tests) is it a new temporary folder."""
     sc = spark.sparkContext
     if found := (spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")):
         return found.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not (found := getattr(sc, "_evalforge_shared", None)):
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         sc._evalforge_shared = found
@@ -53,26 +55,38 @@ class Scratch:
 
     def drop(self, *frames: DataFrame) -> None:
         """Remove tables of this scratch that no later step reads."""
-        jvm = self.spark._jvm
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            path = _hadoop_path(df)
+            _file_system(df, path).delete(path, True)
 
 
-def small(df: DataFrame, rows: int, max_rows: int) -> DataFrame:
-    """A broadcast hint, given only where the counted rows stay within the bound;
-    beyond it Spark shuffles both sides."""
-    return F.broadcast(df) if rows <= max_rows else df
+def _hadoop_path(saved: DataFrame):
+    return saved.sparkSession._jvm.org.apache.hadoop.fs.Path(saved._scratch_path)
 
 
-def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str, max_broadcast: int = 1_000_000) -> DataFrame:
-    """Rows of docs whose id is not in `ids` (one distinct column named id_col,
-    non-null); null ids stay."""
-    return docs.join(small(ids, ids.count(), max_broadcast), id_col, "left_anti").select(*docs.columns)
+def _file_system(df: DataFrame, path):
+    return path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
 
 
-def keep_ids(docs: DataFrame, ids: DataFrame, id_col: str, max_broadcast: int = 1_000_000) -> DataFrame:
-    return docs.join(small(ids, ids.count(), max_broadcast), id_col, "left_semi").select(*docs.columns)
+#: A table is broadcast if its files are not larger than this.
+BROADCAST_BYTES = 12 << 20
+
+
+def small(saved: DataFrame, df: DataFrame | None = None, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df, rows of or like those of the table that Scratch saved, with a broadcast hint if the
+    table's files are within the bound; beyond it Spark shuffles both sides."""
+    df, path = saved if df is None else df, _hadoop_path(saved)
+    return F.broadcast(df) if _file_system(saved, path).getContentSummary(path).getLength() <= max_bytes else df
+
+
+def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Rows of docs whose id is not in `ids` (one column named id_col, non-null); null ids stay."""
+    ids = ids if hasattr(ids, "_scratch_path") else Scratch(docs.sparkSession, "ids").save(ids)
+    return docs.join(small(ids, max_bytes=max_bytes), id_col, "left_anti").select(*docs.columns)
+
+
+def keep_ids(docs: DataFrame, ids: DataFrame, id_col: str, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    return docs.join(small(ids, max_bytes=max_bytes), id_col, "left_semi").select(*docs.columns)
 
 
 class WordHashes(dict):

@@ -118,7 +118,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
         docs = scratch.save(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
     took = mix(docs, id_col, key_cols=() if key == id_col else (key,), **options).filter("copies > 0").select(key, F.col("copies").alias("__copies"))
     took = scratch.save(took, "copies")
-    out = docs.join(small(took, took.count(), 1_000_000), key)
+    out = docs.join(small(took), key)
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
     return out.select(*columns, "copy")
 

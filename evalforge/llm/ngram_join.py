@@ -1,32 +1,39 @@
 """Exact Jaccard self-join of word n-gram sets by the partition pigeonhole.
 
 Sets are put in size bands. Two sets that reach the similarity differ in at most H
-elements, H following from the band. The universe of elements is hashed into segments;
-a segment is matched either exactly or within one deletion, which covers 1 or 2
-differences, and the band's segments cover H + 1 of them: so two sets that reach the
-similarity share the signature of at least one segment (of its elements, or of its
-elements less one). How many segments of a band are matched within one deletion is
-decided by cost, from the band's number of sets and mean size over the whole corpus:
-exact matching costs one row a segment but meets chance partners among small segments,
-one-deletion neighbourhoods cost a row per element and meet hardly any.
-
-Sets that share a signature are candidates and are verified exactly on their texts.
-
-Scale: equal sets are collapsed before anything is indexed. A signature met by one set
-only is dropped in the stage that receives it. Groups are not expanded to all pairs: in
-each bucket every set x is compared with one pivot p, the member that shares most
-signatures with others. Let dx be the number of elements in which x differs from p. Two
-sets x and y of the bucket differ in dx + dy - 2 o elements if these differences have o
-elements in common. So if dx + dy is small enough they link for sure, and else they link
-only if the differences overlap much: an exact prefix filter on the differences, those that
-p lacks first, finds such pairs, and among very many near copies of one text there are few.
-
+elements, H following from the band. The universe of elements is hashed into groups, so
+many that e + 1 groups at least hold no more than h differences. A group is matched in one
+of two ways: it is cut into h + k segments and every subset of k of them gives a signature,
+for at least k segments are free of differences; or, where h = 1, its elements and its
+elements less one give signatures. So two sets that reach the similarity share a signature
+in at least e + 1 groups.
+
+Signatures of no element at all would be shared by any two sets. A set with at most e groups
+of which that is so leaves these signatures out and still meets every partner; the few others
+keep them. What remains, e + 1 less the number of such groups, is the number of shared
+signatures below which a set has no partner in the band: nearly all chance meetings end
+there, before any text is fetched. h, k, e and the way of matching are chosen for each band
+by cost, from its number of sets and mean size over the whole corpus.
+
+Sets that share a signature are candidates; they are verified exactly, the links word by word.
+
+Scale: equal sets are collapsed before anything is indexed. A signature met by one set only is
+dropped in the stage that receives it; rows of a signature that a task has seen in two sets
+already are known to be shared and are dealt at random, so that a signature which very many
+sets share is no hot key. Groups are not expanded to all pairs: in each bucket every set x is
+compared with one pivot p, the member that shares most signatures with others. Let dx be the
+number of elements in which x differs from p. Two sets x and y of the bucket differ in
+dx + dy - 2 o elements if these differences have o elements in common. So if dx + dy is small
+enough they link for sure, and else they link only if the differences overlap much: an exact
+prefix filter on the differences, those that p lacks first, finds such pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
+from dataclasses import dataclass
+from itertools import chain, combinations
+from math import ceil, comb, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +43,14 @@ from pyspark.sql import functions as F
 from .common import M1, Scratch, WordHashes, drop_ids, keep_ids, mix, small
 from .graph import components
 
-#: A verified chance pair costs about as much as so many signature rows.
+#: A chance meeting of two sets costs about as much as so many signature rows.
 VERIFY_COST = 50
+#: Bands of sizes grow by this factor.
+BAND_RATIO = 1.5
+#: Ways to match a group: (h, k) by subsets of k of its h + k segments; k = 0: within one deletion.
+KINDS = [(1, 0), *((h, k) for h in range(7) for k in range(1, 5) if comb(h + k, k) <= 210)]
+#: Signatures seen in so many sets of a piece are remembered as shared, up to HOT_SIGNATURES of them.
+HOT_SETS, HOT_SIGNATURES = 16, 200_000
 
 
 def pieces(values: list, limit: int = 4 << 20) -> Iterator[tuple[int, list]]:
@@ -79,15 +92,32 @@ def shingle_sets(texts: list[bytes | None], n: int, cache: WordHashes, seed: int
     return out
 
 
+def word_grams(text: bytes, n: int) -> set[tuple[bytes, ...]]:
+    w = text.lower().split()
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+@dataclass
+class Scheme:
+    """How the sets of a band are matched; see the head of this file."""
+
+    groups: int
+    h: int
+    k: int
+    spare: int
+    subsets: np.ndarray
+    tags: np.ndarray
+
+
 class Bands:
-    """Size bands for a similarity of per_cent / 100, and their segments."""
+    """Size bands for a similarity of per_cent / 100, and their schemes."""
 
-    def __init__(self, per_cent: int, largest: int, stats: dict[int, tuple[int, float]] | None = None, ratio: float = 1.5):
+    def __init__(self, per_cent: int, largest: int, stats: dict[int, tuple[int, float]] | None = None, ratio: float = BAND_RATIO):
         self.low, self.per_cent = [1], per_cent
         while self.low[-1] <= largest:
             self.low.append(max(self.low[-1] + 1, int(self.low[-1] * ratio)))
         self.starts = np.array(self.low)
-        self.schemes: dict[int, tuple[int, int, np.ndarray] | None] = {}
+        self.schemes: dict[int, Scheme | None] = {}
         self.stats = stats or {}
 
     def of(self, size: int) -> range:
@@ -99,39 +129,73 @@ class Bands:
         high = self.low[band + 1] - 1
         return (high + high * 100 // self.per_cent) * (100 - self.per_cent) // (100 + self.per_cent)
 
-    def scheme(self, band: int) -> tuple[int, int, np.ndarray] | None:
-        """(segments, those of them matched within one deletion, a tag for each)."""
+    def scheme(self, band: int) -> Scheme | None:
+        """The cheapest scheme of the band; None if its sets link with equal ones only."""
         if band not in self.schemes:
-            h = self.differences(band)
-            n, mean = self.stats.get(band, (1, self.low[band]))
-            d = np.arange((h + 1) // 2 + 1)
-            e = h + 1 - 2 * d
-            m = e + d
-            load = mean / m
-            rows = e + d * (load + 1)
-            chance = e * np.exp(-2 * load) + d * (np.exp(-load) * (1 + load)) ** 2
-            best = int(np.argmin(rows + VERIFY_COST * n * chance))
-            tags = mix((np.uint64(band) << np.uint64(32)) + np.arange(m[best], dtype=np.uint64))
-            self.schemes[band] = (int(m[best]), best, tags) if h else None
+            self.schemes[band] = self._cheapest(band) if self.differences(band) else None
         return self.schemes[band]
 
-    def signatures(self, elements: np.ndarray) -> np.ndarray:
+    def _cheapest(self, band: int) -> Scheme:
+        limit, low = self.differences(band), self.low[band]
+        n, mean = self.stats.get(band, (1, low))
+        best = None
+        for h, k in KINDS:
+            each = comb(h + k, k) if k else 1 + mean * (h + 1) / (limit + h + 1)
+            for spare in (0, None):
+                groups, e = limit // (h + 1) + 1, 0
+                share = lambda: k / ((h + k) * groups) if k else 1 / groups  # noqa: B023, E731
+                bare = lambda: (1 - share()) ** low + (0 if k else low * share() * (1 - share()) ** (low - 1))  # noqa: B023, E731
+                while spare is None:  # as many spare groups as nearly all sets of the band need
+                    groups = limit // (h + 1) + 1 + e
+                    expected = min(1.0, (comb(h + k, k) if k else 1) * bare()) * groups
+                    more = ceil(expected + 2 * sqrt(expected)) + 1
+                    if more <= e or e > 3 * limit + 40:
+                        break
+                    e = more
+                if spare is None and e > 3 * limit + 40:
+                    continue
+                rows = groups * (comb(h + k, k) if k else each)
+                cost = rows + (VERIFY_COST * rows * bare() * min(1.0, n * bare()) if e == 0 else 0)
+                if best is None or cost < best[0]:
+                    best = cost, groups, h, k, e
+        _, groups, h, k, e = best
+        subsets = np.array(list(combinations(range(h + k), k or 1)))
+        tags = mix((np.uint64(band) << np.uint64(32)) + np.arange(groups * len(subsets), dtype=np.uint64)).reshape(groups, -1)
+        return Scheme(groups, h, k, e, subsets, tags)
+
+    def signatures(self, elements: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
+        """For each band: the signatures, the band, and how many of them a set must share to
+        have a partner in the band."""
         place = mix(elements ^ M1)
         value = mix(place)
+        place >>= np.uint64(32)
         out = []
         for band in self.of(len(elements)):
-            if not (scheme := self.scheme(band)):
+            if not (s := self.scheme(band)):
                 continue
-            m, within_one, tags = scheme
-            seg = (((place >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)).astype(np.int64)
-            total = np.zeros(m, np.uint64)
+            width = s.h + s.k if s.k else 1
+            segments = s.groups * width
+            seg = ((place * np.uint64(segments)) >> np.uint64(32)).astype(np.int64)
+            total = np.zeros(segments, np.uint64)
             np.add.at(total, seg, value)
-            out.append(mix(total ^ tags))
-            if within_one:
-                less = seg < within_one
-                s = seg[less]
-                out.append(mix((total[s] - value[less]) ^ tags[s]))
-        return np.unique(np.concatenate(out)) if out else elements[:0]
+            count = np.bincount(seg, minlength=segments)
+            if s.k:
+                total, count = total.reshape(-1, width)[:, s.subsets], count.reshape(-1, width)[:, s.subsets].sum(2)
+                sig = mix(total[:, :, 0])
+                for i in range(1, s.k):
+                    sig = mix(sig + total[:, :, i])
+                sig, some = mix(sig ^ s.tags).ravel(), (count > 0).ravel()
+                bare = int((count == 0).any(1).sum())
+            else:
+                tag = s.tags[:, 0]
+                sig = np.concatenate([mix(mix(total) ^ tag), mix(mix(total[seg] - value) ^ tag[seg])])
+                some = np.concatenate([count > 0, count[seg] > 1])
+                bare = int((count < 2).sum())
+            if bare <= s.spare:
+                out.append((sig[some], band, s.spare + 1 - bare))
+            else:
+                out.append((np.unique(sig), band, 1))
+        return out
 
 
 def _set_id(elements: np.ndarray) -> tuple[int, int]:
@@ -164,6 +228,8 @@ def _compared(pairs: DataFrame, texts: DataFrame, n: int, per_cent: int) -> Data
                 reach = (x + x * 100 // per_cent) * (100 - per_cent) // (100 + per_cent) + 1
                 new = np.setdiff1d(own, both, assume_unique=True)[:reach]
                 old = np.setdiff1d(of_pivot, both, assume_unique=True)[: reach - len(new)]
+                if 100 * k >= per_cent * (x + y - k):  # word by word
+                    k = min(k, len(word_grams(tu[i].as_py(), n) & word_grams(tv[i].as_py(), n)))
                 su.append(x)
                 sv.append(y)
                 d.append(x + y - 2 * k)
@@ -216,7 +282,7 @@ def similar_groups(
         # by their digest alone.
         of_id = meta.filter("id IS NOT NULL").groupBy("id").agg(F.min("set").alias("a"), F.max("set").alias("b"), F.max(F.col("size") == 0).alias("empty"))
         unclear = scratch.save(of_id.filter("a <> b OR (a IS NOT NULL AND empty)").select("id"), "unclear")
-        marked = small(unclear.withColumn("unclear", F.lit(True)), unclear.count(), 1_000_000)
+        marked = small(unclear, unclear.withColumn("unclear", F.lit(True)))
         keyed = meta.filter("size > 0").join(marked, "id", "left").withColumn("key", F.when(F.col("unclear").isNull(), F.col("id")))
         sets = scratch.save(
             keyed.groupBy("set").agg(F.min("id").alias("first"), F.min("key").alias("key"), F.first("size").alias("size"), F.min("check").alias("c1"), F.max("check").alias("c2")),
@@ -234,17 +300,31 @@ def similar_groups(
     bands.stats = {r["band"]: (r["c"], r["mean"]) for r in stats}
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        cache, hot = WordHashes(), np.zeros(0, np.uint64)
         for b in batches:
             for _, part in pieces(_texts(b), 2 << 20):
-                sigs, ids = [], []
+                found, seen = [], set()
                 for s in shingle_sets(part, n, cache):
-                    if len(s):
-                        found = bands.signatures(s)
-                        sigs.append(found)
-                        ids.append(np.full(len(found), _set_id(s ^ np.uint64(seed))[0], np.int64))
-                if sigs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(ids))], ["sig", "set"])
+                    if len(s) and (name := _set_id(s ^ np.uint64(seed))[0]) not in seen:
+                        seen.add(name)
+                        found += [(*x, name) for x in bands.signatures(s)]
+                if not found:
+                    continue
+                sigs = np.concatenate([f[0] for f in found])
+                of = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+                names = np.array([f[3] for f in found], np.int64)[of]
+                marks = np.array([f[2] << 6 | f[1] for f in found], np.int32)[of]
+                # The third and later sets of a signature, and all of those remembered, are dealt by the set.
+                order = np.argsort(sigs, kind="stable")
+                new = np.flatnonzero(np.diff(sigs[order], prepend=~sigs[order[:1]]) != 0)
+                times = np.diff(np.append(new, len(order)))
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order)) - np.repeat(new, times)
+                known = (rank > 1) | np.isin(sigs, hot)
+                salt = np.where(known, 1 + (names & 0xFFF), 0).astype(np.int32)
+                if len(hot) < HOT_SIGNATURES:
+                    hot = np.union1d(hot, sigs[order[new[times >= HOT_SETS]]])
+                yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(names), pa.array(marks), pa.array(salt)], ["sig", "set", "mark", "salt"])
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -256,40 +336,48 @@ def similar_groups(
     # Copies of a set are not indexed: ids other than the one that names the set.
     copies = keyed.filter("key IS NOT NULL").join(sets.select("set", F.col("key").alias("of_set")), "set").filter("key <> of_set").select("id").distinct()
     named = drop_ids(docs.filter("id IS NOT NULL"), scratch.save(copies.union(unclear).distinct(), "copies"), "id")
-    nameless = sets.filter("key IS NULL").select("set")
+    nameless = scratch.save(sets.filter("key IS NULL").select("set"), "nameless")
     unnamed = docs.filter("id IS NULL").union(keep_ids(docs, unclear, "id")).mapInArrow(digest, "set long, text string")
-    unnamed = scratch.save(unnamed.join(small(nameless, nameless.count(), 1_000_000), "set", "left_semi").dropDuplicates(["set"]), "unnamed")
+    unnamed = scratch.save(unnamed.join(small(nameless), "set", "left_semi").dropDuplicates(["set"]), "unnamed")
     rows = named.select("text").union(unnamed.select("text"))
-    by_sig = Window.partitionBy("sig").orderBy("set")
-    signed = rows.mapInArrow(index, "sig long, set long")
+    by_sig = Window.partitionBy("sig", "salt").orderBy("set")
+    signed = rows.mapInArrow(index, "sig long, set long, mark int, salt int")
     signed = signed.withColumn("before", F.lag("set").over(by_sig)).withColumn("after", F.lead("set").over(by_sig))
-    shared = signed.filter("before <> set OR after <> set").select("sig", "set")
-    shared = scratch.save(shared.distinct().join(sets.select("set", "size"), "set").select("sig", "set", "size"), "shared")
+    met = scratch.save(signed.filter("salt > 0 OR before <> set OR after <> set").select("sig", "set", "mark"), "met")
+    # Sets that share fewer signatures of a band than any partner there would need.
+    likely = scratch.save(met.groupBy("set", "mark").count().filter("count >= shiftright(mark, 6)").select("set", "mark"), "likely")
+    shared = scratch.save(met.join(small(likely), ["set", "mark"]).select("sig", "set"), "shared")
+    scratch.drop(met, likely)
 
     nodes = scratch.save(shared.select("set").distinct().join(sets.select("set", "key"), "set"), "nodes")
     own = nodes.filter("key IS NOT NULL").select("set", F.col("key").alias("id"))
-    texts = named.join(small(own, own.count(), 1_000_000), "id").select("set", "text")
+    texts = named.join(small(nodes, own), "id").select("set", "text")
     texts = texts.union(unnamed.join(nodes, "set", "left_semi").select("set", "text"))
     texts = scratch.save(texts.dropDuplicates(["set"]), "texts")
 
-    # Pivots: in each bucket the set that shares most signatures with others.
-    counts = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("c"))
+    # Pivots: in each bucket the set that shares most signatures with others. What is joined
+    # by a key that may be hot is written first, so that Spark can split the key.
+    counts = scratch.save(shared.groupBy("sig").agg(F.count(F.lit(1)).alias("c")), "counts")
     score = scratch.save(shared.join(counts, "sig").groupBy("set").agg(F.sum("c").alias("score")), "score")
     pivot = shared.join(score, "set").groupBy("sig").agg(F.max(F.struct("score", "set")).alias("p")).select("sig", F.col("p.set").alias("v"))
-    pairs = shared.join(pivot, "sig").filter(F.col("set") != F.col("v")).select(F.col("set").alias("u"), "v").distinct()
+    pivot = scratch.save(pivot, "pivots")
+    pairs = scratch.save(shared.join(pivot, "sig").filter(F.col("set") != F.col("v")).select(F.col("set").alias("u"), "v").distinct(), "pairs")
+    scratch.drop(shared, counts, score, pivot)
     stars = scratch.save(_compared(pairs, texts, n, per_cent), "stars")
 
     # Sets that differ so little from one pivot that they link without a comparison.
     most = lambda x, y: F.expr(f"({x} + {y}) * {100 - per_cent} div {100 + per_cent}")
-    nearest = stars.groupBy("v", F.col("su").alias("sy")).agg(F.min(F.struct("d", "u")).alias("y"))
+    nearest = scratch.save(stars.groupBy("v", F.col("su").alias("sy")).agg(F.min(F.struct("d", "u")).alias("y")), "nearest")
     sure = stars.filter(~F.col("linked") & (F.col("d") <= most("su", f"su * 100 div {per_cent}"))).join(nearest, "v")
     sure = sure.filter((F.col("u") != F.col("y.u")) & (F.col("d") + F.col("y.d") <= most("su", "sy"))).select("u", F.col("y.u").alias("v"))
+    scratch.drop(pairs)
     links = scratch.save(stars.filter("linked").select("u", "v").union(sure), "links")
     roots = scratch.save(components(links, scratch), "roots")
 
     # Pairs around one pivot, still in different components, whose differences overlap.
     placed = stars.join(roots.withColumnRenamed("node", "u"), "u", "left").withColumn("root", F.coalesce("root", "u"))
     several = placed.groupBy("v").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("v")
+    several = scratch.save(several, "several")
     firsts = placed.join(several, "v").select("v", "u", "su", "d", "root", F.posexplode("first").alias("at", "element"))
     firsts = scratch.save(firsts, "differences")
     a, b = (firsts.select("v", "element", *[F.col(c).alias(c + k) for c in ("u", "su", "d", "root", "at")]) for k in "ab")
@@ -304,7 +392,7 @@ def similar_groups(
 
     placed = sets.select("set", "first").join(roots.withColumnRenamed("node", "set"), "set", "left")
     placed = placed.withColumn("root", F.coalesce("root", "set"))
-    least = placed.groupBy("root").agg(F.min("first").alias("component"))
+    least = scratch.save(placed.groupBy("root").agg(F.min("first").alias("component")), "components")
     of_set = placed.join(least, "root").select("set", "component")
     return meta.join(of_set, "set", "left").select(
         F.col("id").alias(id_col),

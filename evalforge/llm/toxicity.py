@@ -134,7 +134,7 @@ def _gram_ratios(events: DataFrame) -> DataFrame:
     one = (F.col("nx") + 1.0) / (total + (1 << 16))
     taken = F.greatest(F.col("t") - DISCOUNT, F.lit(0.0))
     p = F.when(F.col("tot") > 0, (taken + DISCOUNT * F.col("kinds") * one) / F.col("tot")).otherwise(one)
-    shared = shared.join(around, "cb").join(small(single, single.count(), 1 << 21), "x").select("eb", p.alias("shared"))
+    shared = shared.join(around, "cb").join(single, "x").select("eb", p.alias("shared"))
     contexts = events.groupBy("c").agg(
         *[F.sum(k).alias(f"tot_{k}") for k in COUNTS], *[F.count(F.when(F.col(k) > 0, 1)).alias(f"kinds_{k}") for k in COUNTS]
     )
@@ -299,7 +299,7 @@ def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray
 
 
 def toxicity_scores(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_broadcast: int = 1_000_000, max_grams: int = MAX_GRAMS
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_grams: int = MAX_GRAMS
 ) -> DataFrame:
     """One row per row of docs: id_col, held_out, score (0 to 1), predicted (1 if score >= 0.5).
 
@@ -322,7 +322,7 @@ def toxicity_scores(
         return rows.select(F.col("id").alias(id_col), (rest == 0).alias("held_out"), F.lit(base).alias("score"), F.lit(int(base >= 0.5)).alias("predicted"))
 
     half = F.when(rest > 2, 1).otherwise(0)
-    known = rows.join(small(lab, sum(by_class.values()), max_broadcast), F.col("id") == F.col("lid"), "left")
+    known = rows.join(small(lab), F.col("id") == F.col("lid"), "left")
     known = known.withColumn("half", half)
     slot = F.when(F.col("label").isNotNull(), F.when(F.col("label") == 1, 0).otherwise(2) + F.col("half"))
     spec = ", ".join(f"{c} long" for c in (*COUNTS, "docs"))

@@ -122,7 +122,7 @@ class Archive:
                 pos = self.next_record(pos, end)
 
 
-def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", max_broadcast: int = 500_000) -> DataFrame:
+def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write a record for every row of pages to archives in the folder; the result, which
     must be run once and kept (as Scratch.save does), names the files: path, size, records.
 
@@ -135,7 +135,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     rows = rows.withColumn("sha", F.sha1("payload"))
     many = rows.groupBy("sha").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("sha", "first")
     many = Scratch(pages.sparkSession, "warc-digests").save(many)
-    rows = rows.join(small(many, many.count(), max_broadcast), "sha", "left")
+    rows = rows.join(small(many), "sha", "left")
     revisits = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     rows = rows.select("id", "url", "payload", F.when(revisits, F.col("first")).alias("refers_to"))
 

@@ -136,21 +136,31 @@ def test_ngram_join_of_many_near_copies(spark):
     assert got == {i: find(i) for i in range(150)}
 
 
-def test_one_deletion_neighbourhoods_find_every_link():
+@pytest.mark.parametrize("kind", [None, (1, 0), (0, 1), (2, 3)])
+def test_every_link_shares_the_signatures_it_needs(kind, monkeypatch):
     import numpy as np
 
     rng = np.random.default_rng(3)
-    # A cost model with very many sets chooses neighbourhoods; the pigeonhole must still hold.
-    bands = ngram_join.Bands(90, 500, {b: (10**12, 20.0) for b in range(40)})
-    assert any((s := bands.scheme(b)) and s[1] for b in range(1, 12))
+    if kind:  # each way of matching alone, else what the cost model chooses
+        monkeypatch.setattr(ngram_join, "KINDS", [kind])
+    bands = ngram_join.Bands(90, 500, {b: (10**6, 1.2 * 1.5**b) for b in range(40)})
+    seen = 0
     for size in (10, 12, 19, 31, 60, 144, 300):
-        for _ in range(30):
-            x = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
-            d = int((len(x) * 2) * 10 / 190)
-            y = np.unique(np.concatenate([x[d // 2 :], rng.integers(0, 2**63, d - d // 2).astype(np.uint64)]))
-            both = len(np.intersect1d(x, y))
-            if 100 * both >= 90 * (len(x) + len(y) - both) and not np.array_equal(x, y):
-                assert len(np.intersect1d(bands.signatures(x), bands.signatures(y)))
+        for lost in range(8):
+            for _ in range(12):
+                x = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+                d = int(len(x) * 20 / 190)
+                cut = min(d, lost)
+                y = np.unique(np.concatenate([x[cut:], rng.integers(0, 2**63, d - cut).astype(np.uint64)]))
+                both = len(np.intersect1d(x, y))
+                if 100 * both < 90 * (len(x) + len(y) - both) or np.array_equal(x, y):
+                    continue
+                a, b = ({band: (set(s.tolist()), need) for s, band, need in bands.signatures(v)} for v in (x, y))
+                band = int(np.searchsorted(bands.starts, min(len(x), len(y)), "right")) - 1
+                shared = len(a[band][0] & b[band][0])
+                assert shared >= max(1, a[band][1], b[band][1])
+                seen += 1
+    assert seen > 300
 
 
 def test_substring_dedup(docs, empty):
