@@ -1,7 +1,8 @@
 """Exact duplicates by deterministic block naming, in DataFrame operations only.
 
-Every text is cut into fixed-size blocks of bytes. The distinct blocks are sorted and
-numbered; a text becomes a sequence of those integers. Then adjacent pairs of integers
+Every text is cut into fixed-size blocks of bytes. The distinct blocks are sorted by their
+fingerprints and named by their ranks, which depend on the texts alone and not on how rows
+are partitioned; a text becomes a sequence of those integers. Then adjacent pairs of integers
 are named in the same way, again and again, until each document has one integer: two
 documents have the same one exactly if their texts are the same.
 
@@ -9,7 +10,9 @@ Scale: block text is shuffled once, behind a map-side distinct, so that any numb
 copies of a block costs one row per task. Occurrences carry only a 128-bit fingerprint
 of their block; the naming step checks that no two different blocks share one (and
 draws new fingerprints if they do), so names do not rest on hashing. All later steps
-move integers. Joins on hot names are plain inner joins that AQE splits.
+move integers. Ranks are counted inside ranges of the hash, each of bounded size, and added
+to the prefix sums of a small table of range sizes. What is joined on hot names is a table
+written before, so that AQE splits the join.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, drop_ids
+from .common import Scratch, drop_ids, small
 
 BLOCK_BYTES = 8192
 
@@ -30,9 +33,21 @@ def _blocks(docs: DataFrame, text_col: str, block_bytes: int) -> DataFrame:
     )
 
 
-def _numbered(distinct: DataFrame, *order: str) -> DataFrame:
-    """An integer for each of the distinct rows, in sorted order within its partition."""
-    return distinct.sortWithinPartitions(*order).withColumn("name", F.monotonically_increasing_id())
+#: Ranks are counted in one task for about so many names.
+NAMES_PER_RANGE = 200_000
+
+
+def _numbered(distinct: DataFrame, *keys: str, scratch: Scratch) -> DataFrame:
+    """keys and `name`: the rank of each of the distinct rows by hash and then the keys."""
+    d = scratch.save(distinct.select(*keys, F.xxhash64(*keys).alias("h")), "distinct")
+    ranges = max(1, d.count() // NAMES_PER_RANGE)
+    # Equal ranges of the signed hash, in its order.
+    d = d.withColumn("range", F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * ranges).cast("long"))
+    sizes = d.groupBy("range").agg(F.count(F.lit(1)).alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = scratch.save(sizes.select("range", before.alias("before")), "ranges")
+    rank = F.row_number().over(Window.partitionBy("range").orderBy("h", *keys))
+    return d.withColumn("rank", rank).join(small(sizes), "range").select(*keys, (F.col("before") + F.col("rank")).alias("name"))
 
 
 def block_identities(
@@ -61,9 +76,9 @@ def block_identities(
             .select(F.explode("__blocks").alias("block"))
             .groupBy("block")
             .agg(F.count(F.lit(1)).alias("c"))
-            .select(F.xxhash64("block").alias("h1"), F.xxhash64(F.lit(seed), "block").alias("h2"), "block")
+            .select(F.xxhash64("block").alias("h1"), F.xxhash64(F.lit(seed), "block").alias("h2"))
         )
-        names = scratch.save(_numbered(distinct, "block").select("h1", "h2", "name"), "block-names")
+        names = scratch.save(_numbered(distinct, "h1", "h2", scratch=scratch), "block-names")
         if names.groupBy("h1", "h2").count().filter("count > 1").isEmpty():
             break
         seed += 1
@@ -83,11 +98,11 @@ def block_identities(
             .agg(last(0).alias("a"), F.coalesce(last(1), F.lit(-1)).alias("b"))
         )
         pairs = scratch.save(pairs, "pairs")
-        names = scratch.save(_numbered(pairs.select("a", "b").distinct(), "a", "b"), "pair-names")
+        names = scratch.save(_numbered(pairs.select("a", "b").distinct(), "a", "b", scratch=scratch), "pair-names")
         level = scratch.save(
             pairs.join(names, ["a", "b"]).select("rid", F.floor((F.col("n") + 1) / 2).cast("int").alias("n"), F.col("pos2").alias("pos"), "name"), "level"
         )
-        scratch.drop(pairs)
+        scratch.drop(pairs, names)
         done.append(level.filter("n = 1").select("rid", F.lit(r).alias("level"), "name"))
     out = done[0]
     for x in done[1:]:
@@ -108,6 +123,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     best = ids.groupBy("level", "name").agg(
         F.count(F.lit(1)).alias("group_size"), F.max(F.struct("id", "rid")).alias("best")
     )
+    best = scratch.save(best, "best")
     return ids.join(best, ["level", "name"]).select(
         F.col("id").alias(id_col),
         F.col("best.id").alias("keep_id"),
