@@ -30,12 +30,11 @@ ROWS_PER_BUCKET = 2000
 
 def n_words(text: Column) -> Column:
     """Number of `[^\\x20\\x09-\\x0D]+` in the text; null has none."""
-    t = F.coalesce(text, F.lit(""))
-    # A word starts at each non-space that follows a space or the start of the text.
-    squeezed = F.regexp_replace(t, SPACE + "+", " ")
-    parts = F.length(squeezed) - F.length(F.translate(squeezed, " ", ""))
-    ends = F.when(squeezed.startswith(" "), 1).otherwise(0) + F.when(squeezed.endswith(" "), 1).otherwise(0)
-    return F.when(squeezed.isin("", " "), F.lit(0)).otherwise(parts + 1 - ends).cast("long")
+    # Words are what the squeezed and trimmed text has between spaces. Lambda variables hold
+    # it, else it would be made anew for each use.
+    squeezed = F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE + "+", " "))
+    spaces = lambda t: F.length(t) - F.length(F.translate(t, " ", ""))
+    return F.transform(F.array(squeezed), lambda t: F.when(t == "", 0).otherwise(spaces(t) + 1))[0].cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
@@ -68,15 +67,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Null or empty texts have size 0 and take 0 words; null is a source of its own. A
     total of 0 gives targets and takes of 0. Repeated ids are rows like any other, in an
-    order of their size; reruns give the same result. Other columns are ignored.
+    order of their size, and rows without an id are placed by their text; reruns give the
+    same result. Other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
     rows = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *key_cols
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *key_cols,
+        F.md5(F.coalesce(F.col(id_col).cast("string"), F.md5(F.col(text_col)), F.lit(""))).alias("h"),
     )
     rows = scratch.save(
-        rows.withColumn("cls", F.floor(12 * F.log(F.col("size") + 1)).cast("int")).withColumn("h", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))), "rows"
+        rows.withColumn("cls", F.floor(12 * F.log(F.col("size") + 1)).cast("int")), "rows"
     )
     n = rows.count()
     buckets = max(1, n // ROWS_PER_BUCKET)
@@ -125,8 +126,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
 
 ORACLE = """
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
-k AS (SELECT *, floor(12 * ln(size + 1))::INT AS cls, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM d),
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5(text) AS t FROM documents),
+k AS (SELECT *, floor(12 * ln(size + 1))::INT AS cls, md5(coalesce(doc_id::VARCHAR, t, '')) AS h FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size,
         [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM d GROUP BY source),
 o AS (SELECT *, row_number() OVER w AS i,
