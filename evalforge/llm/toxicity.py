@@ -38,6 +38,8 @@ ORDER, BACKOFF_ORDER = 6, 4
 #: Most n-grams whose ratios are sent to the tasks; the others are joined.
 MAX_GRAMS = 4_000_000
 DISCOUNT = 0.75
+#: Code points: each has a chance to come next.
+CHARACTERS = 0x110000
 STRETCH = 16
 CURVE_ROWS = 10_000
 #: Counts by class and half of the labelled rows.
@@ -125,32 +127,48 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _gram_rows(words, np.concatenate(counts))
 
 
-def _gram_ratios(events: DataFrame) -> DataFrame:
-    """e, docs and the log-likelihood ratios RATIOS of each 6-gram of the table of counts."""
-    single = events.groupBy("x").agg(F.sum("n").alias("nx"))  # one row per character in use
-    total = events.agg(F.sum("n")).first()[0] + 1.0
+def gram_table(words: DataFrame) -> DataFrame:
+    """The counts of every 6-gram of a table of words (word, COUNTS, docs)."""
+    spec = ", ".join(f"{c} long" for c in (*COUNTS, "docs"))
+    grams = words.mapInArrow(_count_grams, f"e long, {', '.join(f'{k} long' for k in _KEYS)}, {spec}, n long")
+    # A word of punctuation alone has one 6-gram, which no word counts.
+    none = {k: int(v[0]) for k, v in _grams([""]).items() if k != "word"} | dict.fromkeys((*COUNTS, "n"), 0) | {"docs": 1 << 40}
+    grams = grams.union(words.sparkSession.createDataFrame([tuple(none[c] for c in grams.columns)], grams.schema))
+    return grams.groupBy("e").agg(*[F.first(k).alias(k) for k in _KEYS], *[F.sum(c).alias(c) for c in (*COUNTS, "docs", "n")])
+
+
+def log_likelihoods(events: DataFrame, scratch: Scratch) -> DataFrame:
+    """e, docs and, for each 6-gram of the table of counts, the logarithm of the probability of
+    its last character after the others, by class and choice of halves: interpolated Kneser-Ney.
+    Of the counts c of the class, DISCOUNT is taken from each that is not 0; what is taken from a
+    context goes to its characters in proportion to the shared probability, which is made in the
+    same way from the continuation counts of the shorter context, and ends in single characters."""
+    single = scratch.save(events.groupBy("x").agg(F.sum("n").alias("nx")), "characters")  # one row per character in use
+    total = events.agg(F.sum("n")).first()[0]
     shared = events.groupBy("eb").agg(F.first("cb").alias("cb"), F.first("x").alias("x"), F.sum("n").alias("t"))
     around = shared.groupBy("cb").agg(F.sum("t").alias("tot"), F.count(F.when(F.col("t") > 0, 1)).alias("kinds"))
-    one = (F.col("nx") + 1.0) / (total + (1 << 16))
+    one = (F.col("nx") + 1.0) / F.lit(float(total + CHARACTERS))
     taken = F.greatest(F.col("t") - DISCOUNT, F.lit(0.0))
     p = F.when(F.col("tot") > 0, (taken + DISCOUNT * F.col("kinds") * one) / F.col("tot")).otherwise(one)
-    shared = shared.join(around, "cb").join(single, "x").select("eb", p.alias("shared"))
+    shared = shared.join(around, "cb").join(small(single), "x").select("eb", p.alias("shared"))
+    # Totals of each context and the number of its characters that a class holds, in the halves together and each.
+    of = lambda pre, cls, halves: sum((F.col(f"{pre}{cls}{h}") for h in halves), F.lit(0))
+    each = [(name, cls, halves) for name, halves in RATIOS.items() for cls in "to"]
     contexts = events.groupBy("c").agg(
-        *[F.sum(k).alias(f"tot_{k}") for k in COUNTS], *[F.count(F.when(F.col(k) > 0, 1)).alias(f"kinds_{k}") for k in COUNTS]
+        *[F.sum(k).alias(f"tot_{k}") for k in COUNTS], *[F.count(F.when(of("", cls, halves) > 0, 1)).alias(f"kinds_{name}{cls}") for name, cls, halves in each]
     )
-    ratios = []
-    for name, halves in RATIOS.items():
-        logs = []
-        for cls in "to":
-            of = lambda pre: [F.col(f"{pre}{cls}{h}") for h in halves]  # noqa: B023, E731
-            c, tot = sum(of(""), F.lit(0)), sum(of("tot_"), F.lit(0))
-            # Kinds of both halves: those of the first and those that the second adds are not
-            # kept apart, so the larger of the two stands for them.
-            kinds = F.greatest(F.lit(1), *of("kinds_"))
-            own = (F.greatest(c - DISCOUNT, F.lit(0.0)) + DISCOUNT * kinds * F.col("shared")) / tot
-            logs.append(F.ln(F.when(tot > 0, own).otherwise(F.col("shared"))))
-        ratios.append(F.greatest(F.lit(-4.0), F.least(F.lit(4.0), logs[0] - logs[1])).alias(name))
-    return events.join(contexts, "c").join(shared, "eb").select("e", "docs", *ratios)
+    logs = {}
+    for name, cls, halves in each:
+        c, tot = of("", cls, halves), of("tot_", cls, halves)
+        own = (F.greatest(c - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"kinds_{name}{cls}") * F.col("shared")) / tot
+        logs[name, cls] = F.ln(F.when(tot > 0, own).otherwise(F.col("shared")))
+    out = [p.alias(f"ln_{name}{cls}") for (name, cls), p in logs.items()]
+    return events.join(contexts, "c").join(shared, "eb").select("e", "docs", *out)
+
+
+def _gram_ratios(events: DataFrame, scratch: Scratch) -> DataFrame:
+    """e, docs and the log-likelihood ratios RATIOS of each 6-gram of the table of counts."""
+    return log_likelihoods(events, scratch).select("e", "docs", *[(F.col(f"ln_{r}t") - F.col(f"ln_{r}o")).alias(r) for r in RATIOS])
 
 
 class Head:
@@ -178,9 +196,9 @@ class Head:
 def _features(sums: np.ndarray, n: int) -> list[float]:
     """From the sums of ratios over the stretches of a text of n words."""
     if not n:
-        return [0.0, 0.0, 0.0, 0.0]
+        return [0.0, 0.0, 0.0]
     top = np.sort(sums)[::-1] / STRETCH
-    return [float(sums.sum() / n), float(top[0]), float(top[1]) if len(top) > 1 else 0.0, float(np.log1p(n))]
+    return [float(sums.sum() / n), float(top[0]), float(top[1]) if len(top) > 1 else 0.0]
 
 
 class Ratios(dict):
@@ -200,11 +218,11 @@ class Ratios(dict):
 
 #: The column of RATIOS for rows of each half, by the model of the other half; last, by both.
 _COLUMNS = (2, 1, 0)
-_FEATURES = [f"f{k}" for k in range(4)]
+_FEATURES = [f"f{k}" for k in range(3)]
 
 
 def _summed(rows: DataFrame, head, by_half: bool, finish: bool) -> DataFrame:
-    """id, label and: if finish is set, the four features of each text; else the column of
+    """id, label and: if finish is set, the features of each text; else the column of
     ratios, the words' number, the sums over stretches of the ratios of words known to the
     head, and the other words with their stretches."""
 
@@ -225,7 +243,7 @@ def _summed(rows: DataFrame, head, by_half: bool, finish: bool) -> DataFrame:
                     out.append(_features(sums, len(t)) if finish else (_COLUMNS[h], len(t), sums))
                     missing.append([{"stretch": j // STRETCH, "word": t[j].strip(EDGES)} for j in lost])
             if finish:
-                cols = [pa.array(c, pa.float64()) for c in zip(*out)] if out else [pa.array([], pa.float64())] * 4
+                cols = [pa.array(c, pa.float64()) for c in zip(*out)] if out else [pa.array([], pa.float64())] * len(_FEATURES)
             else:
                 cols = list(zip(*out)) if out else [()] * 3
                 kinds = pa.int32(), pa.int32(), pa.list_(pa.float64())
@@ -259,7 +277,7 @@ def _tail_words(words: DataFrame, tail: DataFrame, head) -> DataFrame:
 
 
 def _featured(rows: DataFrame, head, by_half: bool, tail_words: DataFrame | None, scratch: Scratch) -> DataFrame:
-    """id, label and the four features of each text. by_half: by the model of the other half."""
+    """id, label and the features of each text. by_half: by the model of the other half."""
     if tail_words is None:
         return _summed(rows, head, by_half, True)
     part = scratch.save(_summed(rows, head, by_half, False).withColumn("row", F.monotonically_increasing_id()), "sums")
@@ -276,7 +294,7 @@ def _featured(rows: DataFrame, head, by_half: bool, tail_words: DataFrame | None
                 for a in more or ():
                     sums[a["stretch"]] += a["r"]
                 out.append(_features(sums, n))
-            cols = [pa.array(c, pa.float64()) for c in zip(*out)] if out else [pa.array([], pa.float64())] * 4
+            cols = [pa.array(c, pa.float64()) for c in zip(*out)] if out else [pa.array([], pa.float64())] * len(_FEATURES)
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), *cols], ["id", "label", *_FEATURES])
 
     kind = rows.schema["id"].dataType.simpleString()
@@ -329,13 +347,8 @@ def toxicity_scores(
     words = known.select("text", slot.alias("slot")).mapInArrow(_count_words, f"word string, {spec}")
     words = words.withColumn("word", F.btrim("word", F.lit(EDGES))).filter("word <> ''")
     words = scratch.save(words.groupBy("word").agg(*[F.sum(c).alias(c) for c in (*COUNTS, "docs")]), "words")
-    grams = words.mapInArrow(_count_grams, f"e long, {', '.join(f'{k} long' for k in _KEYS)}, {spec}, n long")
-    # A word of punctuation alone has one 6-gram, which no word counts.
-    none = {k: int(v[0]) for k, v in _grams([""]).items() if k != "word"} | dict.fromkeys((*COUNTS, "n"), 0) | {"docs": 1 << 40}
-    grams = grams.union(spark.createDataFrame([tuple(none[c] for c in grams.columns)], grams.schema))
-    grams = grams.groupBy("e").agg(*[F.first(k).alias(k) for k in _KEYS], *[F.sum(c).alias(c) for c in (*COUNTS, "docs", "n")])
-    grams = scratch.save(grams, "grams")
-    ratios = scratch.save(_gram_ratios(grams), "ratios")
+    grams = scratch.save(gram_table(words), "grams")
+    ratios = scratch.save(_gram_ratios(grams, scratch), "ratios")
 
     if ratios.count() > max_grams:  # the levels of frequency that fit into the head
         level = F.floor(8 * F.log2("docs"))
@@ -356,15 +369,18 @@ def toxicity_scores(
         chosen = some if chosen is None else chosen.union(some)
     chosen = scratch.save(chosen, "curve-rows")
     sample = rows.join(F.broadcast(chosen), F.col("id") == F.col("lid")).withColumn("half", half)
-    got = _featured(sample.filter(rest != 0), head, True, tail_words, scratch).select("label", "f0", "f1", "f2", "f3").limit(4 * CURVE_ROWS).toArrow().to_pandas()
+    got = _featured(sample.filter(rest != 0), head, True, tail_words, scratch)
+    # Ids may repeat: the rows come in a fixed order, so that the bound falls on the same ones.
+    got = got.orderBy(F.xxhash64("id"), "label", *_FEATURES).limit(4 * CURVE_ROWS).select("label", *_FEATURES).toArrow().to_pandas()
     if got["label"].nunique() < 2:
-        mean, scale, w = np.zeros(4), np.ones(4), np.array([0.0, 0.0, 0.0, 0.0, -10.0 if not len(got) or got["label"].max() == 0 else 10.0])
+        k = len(_FEATURES)
+        mean, scale, w = np.zeros(k), np.ones(k), np.append(np.zeros(k), -10.0 if not len(got) or got["label"].max() == 0 else 10.0)
     else:
         share = got["label"].map(lambda x: by_class[x] / max(1, (got["label"] == x).sum())).to_numpy()
-        mean, scale, w = _curve(got[["f0", "f1", "f2", "f3"]].to_numpy(), got["label"].to_numpy(float), share / share.mean())
+        mean, scale, w = _curve(got[_FEATURES].to_numpy(), got["label"].to_numpy(float), share / share.mean())
     out = _featured(rows.withColumn("label", F.lit(0)).withColumn("half", F.lit(0)), head, False, tail_words, scratch)
-    z = F.lit(float(w[4]))
-    for k in range(4):
+    z = F.lit(float(w[-1]))
+    for k in range(len(_FEATURES)):
         z = z + (F.col(f"f{k}") - float(mean[k])) / float(scale[k]) * float(w[k])
     return out.withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).select(
         F.col("id").alias(id_col), (rest == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
