@@ -4,11 +4,14 @@ Base spans (e-mail, IP address, card, phone) follow fixed rules and always stay.
 candidates (secrets, social security numbers, bank accounts, phones in local form) are
 voted on by labelers: the shape by regular expression, gazetteers of prefixes and country
 codes, and context words before the span. No labels exist, so expectation-maximisation
-estimates how reliable each labeler is from how the votes agree over the whole corpus; its
-posteriors train a logistic span classifier, whose spans are added.
-
-Scale: texts are read once, in place. What is gathered are the counts of vote patterns:
-their number is bounded by the votes (VOTES ** LABELERS patterns a kind), not the corpus.
+estimates how reliable each labeler is from how the votes agree over the whole corpus. Its
+posteriors are the labels on which a logistic span classifier is trained; this does not see
+the votes but the span (kind, length, share of digits, case, variety) and what stands around
+it (characters and words on both sides), and its spans are added.
+
+Scale: texts are read once, in place. What is gathered are counts of patterns, a pattern
+being the votes on a candidate and its features, all of few values: their number is bounded
+by these (VOTES ** LABELERS times the values of FEATURES a kind), not by the corpus.
 """
 
 from __future__ import annotations
@@ -36,8 +39,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@=:]")
 _DIGIT = re.compile(r"[0-9]")
 
-_SECRET = re.compile(r"""\b(?:password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?([A-Za-z0-9+/_=.-]{6,200})""", re.I)
-_LONG = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,128}(?![A-Za-z0-9_-])")
+_SECRET = re.compile(r"""\b(?:password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?([A-Za-z0-9+/_=.-]{6,})""", re.I)
+_LONG = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+(?![A-Za-z0-9_-])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
@@ -111,8 +114,29 @@ def _votes(text: str, start: int, end: int, kind: str) -> str:
     return f"{shape}{known}{near}{against}{variety}"
 
 
+#: Features of a candidate and how many values each has.
+FEATURES = {"length": 6, "digits": 5, "case": 4, "variety": 4, "before": 6, "after": 6, "word": 3}
+
+
+def _beside(c: str) -> int:
+    return 0 if not c else 1 if c.isspace() else 2 if c in "=:" else 3 if c in "\"'`" else 4 if c.isalnum() else 5
+
+
+def _features(text: str, start: int, end: int) -> str:
+    """The values of FEATURES, as digits."""
+    s, n = text[start:end], end - start
+    digits, upper, lower = sum(c.isdigit() for c in s), any(c.isupper() for c in s), any(c.islower() for c in s)
+    word = text[max(0, start - 40) : start].rstrip(" \t\"'`")
+    named = 0 if not word else 2 if word[-1] in "=:" else 1
+    values = (
+        sum(n > x for x in (8, 12, 20, 32, 64)), 0 if not digits else min(4, 1 + 4 * digits // n), 2 * upper + lower,
+        sum(len(set(s)) > x for x in (4, 8, 12)), _beside(text[start - 1 : start] if start else ""), _beside(text[end : end + 1]), named,
+    )
+    return "".join(map(str, values))
+
+
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, pattern) of candidates that touch no base span nor each other."""
+    """(start, end, kind, pattern: kind, votes and features) of candidates that touch no base span nor each other."""
     found = [(*m.span(1), "secret") for m in _SECRET.finditer(text)] if "=" in text or ":" in text else []
     if _DIGIT.search(text):
         found += [(*m.span(), "secret") for m in _LONG.finditer(text) if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])]
@@ -126,7 +150,7 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
             reach = max(reach, by_start[k][1])
             k += 1
         if s >= last and s >= reach:
-            out.append((s, e, kind, f"{kind}:{_votes(text, s, e, kind)}"))
+            out.append((s, e, kind, f"{kind}:{_votes(text, s, e, kind)}:{_features(text, s, e)}"))
             last = e
     return out
 
@@ -154,18 +178,24 @@ def reliabilities(patterns: list[str], counts: np.ndarray, rounds: int = 50) ->
 
 
 def _encoded(patterns: list[str]) -> np.ndarray:
+    """One row per pattern: the kind and, for each kind, each feature's value, one-hot."""
     rows = []
     for p in patterns:
-        kind, votes = p.split(":")
-        rows.append([1.0, *(float(kind == k) for k in ADDED), *(float(v == str(x)) for v in votes for x in (0, 2))])
+        kind, _, values = p.split(":")
+        row = [1.0]
+        for k in ADDED:
+            row += [float(k == kind)] + [float(k == kind and int(v) == x) for v, n in zip(values, FEATURES.values(), strict=True) for x in range(n)]
+        rows.append(row)
     return np.array(rows)
 
 
 def span_classifier(patterns: list[str], counts: np.ndarray) -> dict[str, float]:
-    """Probability by pattern of a logistic classifier trained on the posteriors."""
+    """Probability by pattern of a logistic classifier of span features, trained on the
+    posteriors of the votes (patterns that share features are one case with all their weight)."""
     if not patterns:
         return {}
     x, y, n = _encoded(patterns), reliabilities(patterns, counts), np.log1p(counts)
+    x = x[:, x.any(0)]
     w = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -216,6 +246,7 @@ def digests(docs: DataFrame) -> DataFrame:
         ),
         ",",
     )
-    kinds = F.transform("base", lambda s: s["kind"])
-    n = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in BASE]
+    kinds = lambda spans: F.transform(spans, lambda s: s["kind"])
+    n = [(F.size(spans) - F.size(F.array_remove(kinds(spans), k))).cast("long").alias(f"n_{k}") for spans, of in (("base", BASE), ("added", ADDED)) for k in of]
+    n.append((F.size("base") + F.size("added")).cast("long").alias("n_spans"))
     return found.select("doc_id", *n, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"))
