@@ -5,8 +5,10 @@ commas; the points pass to the parent in full, to the grandparent by half and to
 ancestors by a third and so on, and each container's sum is discounted by its link
 density. The best container is taken (or the <article> or <main> around it), with those of
 its siblings that score well or are plain prose. Subtrees that are no article by their
-element, role, class or id - menus, headers and footers of the page, sidebars, notices,
-adverts, forms, comments - are left out.
+element or role - menus, headers and footers of the page, sidebars, forms - are left out, and
+so are those that their class or id calls so (adverts, notices, comments), unless that leaves
+out most of the page's prose: a name alone does not outweigh the text. Elements may be nested
+to any depth; the tree is read and scored in time linear in the page.
 
 Each page is a row of its own; pages are neither shuffled nor gathered.
 """
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,79 +56,141 @@ _CLOSES = {
     "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"},
 }
 _BARRIER = {"table", "ul", "ol", "dl", "td", "th", "article", "section", "div", "body", "main", "blockquote", "nav", "aside", "header", "footer", "form", "select"}
-MAX_DEPTH = 512
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_TEXT = _HEADINGS | {"p", "span", "em", "strong", "b", "i", "a", "code", "pre"}
+_RAW_END = {tag: re.compile(rf"</{tag}[\s/>]", re.I) for tag in RAW}
 
 
 class _Node:
-    __slots__ = ("tag", "up", "depth", "out", "good", "score", "chars", "linked", "links", "place")
+    __slots__ = ("tag", "up", "block", "out", "doubt", "good", "score", "chars", "linked", "links", "prose", "place")
 
-    def __init__(self, tag: str, up: _Node | None, out: bool, good: int, place: int):
-        self.tag, self.up, self.out, self.good, self.place = tag, up, out, good, place
-        self.depth = up.depth + 1 if up else 0
+    def __init__(self, tag: str, up: _Node | None, out: bool, doubt: bool, good: int, place: int):
+        self.tag, self.up, self.out, self.doubt, self.good, self.place = tag, up, out, doubt, good, place
+        self.block = up.block if up and tag in INLINE else self
         self.score = 0.0
-        self.chars = self.linked = self.links = 0
+        self.chars = self.linked = self.links = self.prose = 0
 
 
-def _judge(tag: str, attrs: str, up: _Node) -> tuple[bool, int]:
-    """Is the element outside any article; does its name speak for it."""
+def _named_outside(tag: str, value: str) -> bool:
+    """Does a class or id call its element something outside the article. Of a name of several
+    words all count, save for headings and paragraphs, where the name itself must be one word;
+    names that speak of other elements (has-sidebar, comments-open, overflow-hidden) do not."""
+    for token in value.split():
+        names = [x.lower() for x in _NAME.findall(token)]
+        if tag in _TEXT and len(names) > 1 or names and (names[0] in ("has", "no", "with", "without") or names[-1] in ("open", "closed", "enabled") or names[0] == "overflow"):
+            continue
+        if OUTSIDE.intersection(names) and (tag != "article" or not {"comment", "comments", "ad", "ads", "advert", "promo", "related"}.isdisjoint(names)):
+            return True
+    return False
+
+
+def _judge(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool, int]:
+    """Is the element outside any article for sure; by its name; does its name speak for it."""
     if tag in NEVER:
-        return True, 0
+        return True, False, 0
     if tag == "header":
-        return not _within(up, ("article", "main")), 0
-    good = 0
+        return not in_article, False, 0
+    good, doubt = 0, False
     if attrs:
         for m in _ATTR.finditer(attrs):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-                return True, 0
+                return True, False, 0
             if key == "role" and value.lower() in ROLES:
-                return True, 0
+                return True, False, 0
             if key in ("class", "id") and tag not in ("html", "body", "main"):
-                names = {x.lower() for x in _NAME.findall(value)}
-                if names & OUTSIDE and (tag != "article" or names & {"comment", "comments", "ad", "ads", "advert", "promo", "related"}):
-                    return True, 0
-                good |= bool(names & INSIDE)
+                doubt = doubt or _named_outside(tag, value)
+                good |= not INSIDE.isdisjoint(x.lower() for x in _NAME.findall(value))
             if key == "itemprop" and value.lower() == "articlebody":
                 good = 1
-    return False, good
+    return False, doubt, good
 
 
-def _within(node: _Node | None, tags: tuple[str, ...]) -> bool:
-    while node:
-        if node.tag in tags:
-            return True
-        node = node.up
-    return False
+class _Open:
+    """The open elements, with counts of their tags: all, those since the last element that
+    is not inline, and those since the last barrier, so that what is not open is not searched."""
+
+    def __init__(self, root: _Node):
+        self.stack, self.all = [root], Counter()
+        self.inline, self.barriers = [Counter()], [(0, Counter())]
+
+    def push(self, node: _Node) -> None:
+        tag = node.tag
+        self.stack.append(node)
+        self.all[tag] += 1
+        if tag in INLINE:
+            self.inline[-1][tag] += 1
+        else:
+            self.inline.append(Counter())
+        if tag in _BARRIER:
+            self.barriers.append((len(self.stack) - 1, Counter()))
+        else:
+            self.barriers[-1][1][tag] += 1
+
+    def pop(self) -> None:
+        tag = self.stack.pop().tag
+        self.all[tag] -= 1
+        if tag in INLINE:
+            self.inline[-1][tag] -= 1
+        else:
+            self.inline.pop()
+        if tag in _BARRIER:
+            self.barriers.pop()
+        else:
+            self.barriers[-1][1][tag] -= 1
+
+    def can_close(self, tag: str) -> bool:
+        """Would an end tag close an element: inline ones end within their block, paragraphs and
+        list items within their barrier."""
+        if tag in INLINE:
+            return self.inline[-1][tag] > 0
+        return self.barriers[-1][1][tag] > 0 if tag in ("p", "li") else self.all[tag] > 0
+
+    def pop_until(self, tags) -> None:
+        while self.stack[-1].tag not in tags:
+            self.pop()
+        self.pop()
+
+    def make_room(self, tag: str) -> None:
+        """Close what a start tag ends: an open paragraph, the item or cell before."""
+        shut = _CLOSES.get(tag, set())
+        while True:
+            at, since = self.barriers[-1]
+            here = [t for t in (*shut, "p") if since[t] > 0]
+            if here:
+                self.pop_until(here)
+                if not shut:
+                    return
+            elif self.stack[at].tag in shut and at:
+                while len(self.stack) > at:
+                    self.pop()
+            else:
+                return
 
 
 def _parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
-    """All nodes, and the blocks of text: (innermost block element, text, characters in links)."""
-    root = _Node("#", None, False, 0, 0)
-    nodes, blocks, stack = [root], [], [root]
+    """All nodes, parents first, and the blocks of text: (innermost block element, text,
+    characters in links)."""
+    root = _Node("#", None, False, False, 0, 0)
+    nodes, blocks, open_ = [root], [], _Open(root)
+    stack = open_.stack
     buffer: list[str] = []
     linked: list[str] = []
-    in_link, pos, size = 0, 0, len(page)
+    pos, size, lower = 0, len(page), None
 
     def flush() -> None:
         nonlocal buffer, linked
         if buffer:
             if text := " ".join(html.unescape("".join(buffer)).split()):
-                node = next(n for n in reversed(stack) if n.tag not in INLINE)
-                blocks.append((node, text, len(" ".join(html.unescape("".join(linked)).split())) if linked else 0))
+                blocks.append((stack[-1].block, text, len(" ".join(html.unescape("".join(linked)).split())) if linked else 0))
             buffer, linked = [], []
 
     def say(text: str) -> None:
         if text and not stack[-1].out:
             buffer.append(text)
-            if in_link:
+            if open_.all["a"]:
                 linked.append(text)
 
-    def pop_to(k: int) -> None:
-        nonlocal in_link
-        while len(stack) > k:
-            in_link -= stack.pop().tag == "a"
-
     while pos < size:
         m = _TAG.search(page, pos)
         if not m:
@@ -138,17 +203,13 @@ def _parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
             continue
         tag, attrs = tag.lower(), m[3] if m[2] else m[6]
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    if tag not in INLINE:
-                        flush()
-                    pop_to(k)
-                    break
-                if tag in INLINE and stack[k].tag not in INLINE or tag in ("p", "li") and stack[k].tag in _BARRIER:
-                    break
+            if open_.can_close(tag):
+                if tag not in INLINE:
+                    flush()
+                open_.pop_until((tag,))
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, pos)
+            end = _RAW_END[tag].search(page, pos)
             pos = size if not end else page.find(">", end.start()) + 1 or size
             continue
         if tag == "br" or tag == "hr" or tag in VOID:
@@ -159,40 +220,62 @@ def _parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
             continue
         if tag not in INLINE:
             flush()
-            shut = _CLOSES.get(tag, ())
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in shut or stack[k].tag == "p":
-                    pop_to(k)
-                    if not shut:
-                        break
-                elif stack[k].tag in _BARRIER and stack[k].tag not in shut:
-                    break
-        if len(stack) > MAX_DEPTH:  # deeper elements are read as if their tags were not there
-            continue
+            open_.make_room(tag)
         up = stack[-1]
-        out, good = (True, 0) if up.out else _judge(tag, attrs, up)
+        out, doubt, good = (True, False, 0) if up.out else _judge(tag, attrs, open_.all["article"] + open_.all["main"] > 0)
         if attrs.endswith("/") and tag in ("svg", "path"):
             continue
-        if tag == "a":
-            in_link += 1
-            for n in stack:
-                n.links += 1
-        node = _Node(tag, up, out, good, len(blocks))
+        node = _Node(tag, up, out, doubt, good, len(blocks))
+        node.links = tag == "a"
         nodes.append(node)
-        stack.append(node)
+        open_.push(node)
     flush()
     return nodes, blocks
 
 
+#: A page whose elements not in doubt hold less prose than this, and hardly any beside the others, is gutted.
+LEAST_PROSE = 140
+
+
+def _settle(nodes: list[_Node], blocks: list[tuple[_Node, str, int]]) -> None:
+    """Sum text and links up the tree, and decide on the elements whose name puts them in
+    doubt: they are outside with all they hold, unless they have hardly anything but them; then
+    the one with most prose is kept, if that is most of the page's and no article is elsewhere."""
+    sure, under, article = 0, set(), False
+    for node, text, linked in blocks:
+        node.chars += len(text)
+        node.linked += linked
+        node.prose += len(text) * (len(text) >= 25 and 2 * linked < len(text))
+    for n in reversed(nodes):
+        if n.up:
+            n.up.chars += n.chars
+            n.up.linked += n.linked
+            n.up.links += n.links
+            n.up.prose += n.prose
+    for n in nodes:
+        if n.doubt or n.up and id(n.up) in under:
+            under.add(id(n))
+            if not (n.up and id(n.up) in under):
+                sure -= n.prose
+        elif n.tag in ("article", "main") and n.chars:
+            article = True
+    total = nodes[0].prose
+    sure += total
+    gutted = not article and sure < LEAST_PROSE and 10 * sure < total
+    best = max((n for n in nodes if n.doubt), key=lambda n: (n.prose, -n.place), default=None) if gutted else None
+    kept = set()
+    while best and 2 * best.prose > total:
+        kept.add(id(best))
+        best = best.up
+    for n in nodes:
+        n.out = n.out or bool(n.up and n.up.out) or n.doubt and id(n) not in kept
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks in page order, joined by two line ends; "" if there are none."""
     nodes, blocks = _parse(page or "")
+    _settle(nodes, blocks)
     for node, text, linked in blocks:
-        n = node
-        while n:
-            n.chars += len(text)
-            n.linked += linked
-            n = n.up
         if len(text) >= 25 and node.tag not in _HEADINGS:
             points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text))
             n, share = (node.up if node.tag in ("p", "pre", "li", "td") and node.up else node), 1.0
@@ -253,8 +336,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per row of pages: id_col, url_col, text, n_chars (code points).
 
     Null and empty pages, and pages without text, give "". Unclosed or truncated markup is
-    read as far as it goes; elements nested deeper than MAX_DEPTH keep their text. Rows that repeat are extracted each; null ids and
-    urls are passed on; extra columns are ignored.
+    read as far as it goes. Rows that repeat are
+    extracted each; null ids and urls are passed on; extra columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
