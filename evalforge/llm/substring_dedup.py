@@ -14,9 +14,12 @@ computed from content-defined pieces instead:
 3. Of other anchors each different piece is opened once: its windows are grouped by their
    fingerprint, and the least document of each is handed back to all copies of the piece.
 
+Pieces and windows are told apart by fingerprints of 128 bits: two independent polynomial
+hashes of their words' 64-bit hashes.
+
 Scale: about one row of 24 bytes for 20 words is shuffled. Grouped minima are combined on
-the map side and handed back by plain joins, so a passage that a third of the documents
-share is no hot task. Texts are shuffled twice, to meet their pieces.
+the map side, written, and handed back by plain joins that AQE splits, so a passage that a
+third of the documents share is no hot task. Texts are shuffled twice, to meet their pieces.
 """
 
 from __future__ import annotations
@@ -36,8 +39,11 @@ from .ngram_join import pieces as text_runs
 WINDOW, GRAM = 50, 12
 #: Windows by anchor reach over so many grams; a piece has no more windows than that.
 REACH = WINDOW - GRAM + 1
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: The bases of the two fingerprints, odd; and their inverses modulo 2^64.
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
+#: Bits for a place beside a hash; longer runs are searched in parts.
+PLACE_BITS = 24
 
 
 class Windows:
@@ -49,31 +55,40 @@ class Windows:
         self.starts = np.concatenate([[0], np.cumsum(self.counts)])
         n = int(self.starts[-1])
         h = np.fromiter(map(cache.__getitem__, chain.from_iterable(words)), np.uint64, n)
-        powers = np.ones(n + 1, np.uint64)
-        powers[1:] = _BASE
-        self.up = np.multiply.accumulate(powers)
-        powers[1:] = _INVERSE
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(mix(h) * np.multiply.accumulate(powers)[:n])])
-
-    def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-        return mix((self.sums[start + length] - self.sums[start]) * self.up[start])
+        self.up, self.sums = [], []
+        for base, inverse in zip(_BASES, _INVERSES, strict=True):
+            powers = np.ones(n + 1, np.uint64)
+            powers[1:] = np.uint64(base)
+            self.up.append(np.multiply.accumulate(powers))
+            powers[1:] = np.uint64(inverse)
+            self.sums.append(np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(mix(h ^ np.uint64(base >> 7)) * np.multiply.accumulate(powers)[:n])]))
+
+    def of(self, start: np.ndarray, length: np.ndarray | int, which: int = 0) -> np.ndarray:
+        return mix((self.sums[which][start + length] - self.sums[which][start]) * self.up[which][start])
+
+    def anchors(self, grams: np.ndarray) -> np.ndarray:
+        """For each window the place of the leftmost gram with the least hash (its upper bits)."""
+        windows, low = len(grams) - REACH + 1, np.uint64(PLACE_BITS)
+        out, step = [], (1 << PLACE_BITS) - REACH
+        for at in range(0, windows, step):
+            part = grams[at : at + step + REACH - 1]
+            key = (part >> low << low) | np.arange(len(part), dtype=np.uint64)
+            blocks = np.concatenate([key, np.full(-len(key) % REACH, np.uint64(2**64 - 1))]).reshape(-1, REACH)
+            ahead = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+            behind = np.minimum.accumulate(blocks, axis=1).ravel()
+            n = len(part) - REACH + 1
+            least = np.minimum(ahead[:n], behind[REACH - 1 : REACH - 1 + n])
+            out.append((least & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64) + at)
+        return np.concatenate(out)
 
     def pieces(self) -> tuple[np.ndarray, ...]:
-        """(text, first window's word, windows, fingerprint of the anchor, of the piece)."""
+        """(text, first window's word, windows, fingerprint of the anchor, both of the piece)."""
         n = int(self.starts[-1])
         none = np.zeros(0, np.int64)
         if n < WINDOW:
-            return none, none, none, none.view(np.uint64), none.view(np.uint64)
+            return none, none, none, *[none.view(np.uint64)] * 3
         grams = self.of(np.arange(n - GRAM + 1), GRAM)
-        # Order by the upper 40 bits of the hash, then by place: the leftmost least gram.
-        key = (grams >> np.uint64(24) << np.uint64(24)) | np.arange(len(grams), dtype=np.uint64)
-        windows = n - WINDOW + 1
-        pad = -len(key) % REACH
-        blocks = np.concatenate([key, np.full(pad, np.uint64(2**64 - 1))]).reshape(-1, REACH)
-        ahead = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-        behind = np.minimum.accumulate(blocks, axis=1).ravel()
-        least = np.minimum(ahead[:windows], behind[REACH - 1 : REACH - 1 + windows])
-        anchor = (least & np.uint64((1 << 24) - 1)).astype(np.int64)
+        anchor, windows = self.anchors(grams), n - WINDOW + 1
         text = np.repeat(np.arange(len(self.counts)), self.counts)[:windows]
         inside = np.arange(windows) + WINDOW <= self.starts[text + 1]
         new = np.ones(windows, bool)
@@ -82,7 +97,7 @@ class Windows:
         size = np.diff(np.append(first, windows))
         keep = inside[first]
         first, size = first[keep], size[keep]
-        return text[first], first, size, grams[anchor[first]], self.of(first, size + WINDOW - 1)
+        return text[first], first, size, grams[anchor[first]], self.of(first, size + WINDOW - 1), self.of(first, size + WINDOW - 1, 1)
 
 
 def _texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:
@@ -95,11 +110,11 @@ def _find_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, prints = b.column("id"), b.column("print")
         for at, part in text_runs(_texts(b)):
             w = Windows(part, cache)
-            text, first, size, anchor, piece = w.pieces()
+            text, first, size, anchor, piece, other = w.pieces()
             rows = pa.array(text + at)
             yield pa.RecordBatch.from_arrays(
-                [ids.take(rows), prints.take(rows), pa.array((first - w.starts[text]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(piece.view(np.int64))],
-                ["id", "print", "start", "windows", "anchor", "piece"],
+                [ids.take(rows), prints.take(rows), pa.array((first - w.starts[text]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(piece.view(np.int64)), pa.array(other.view(np.int64))],
+                ["id", "print", "start", "windows", "anchor", "piece", "piece2"],
             )
 
 
@@ -109,20 +124,21 @@ def _open_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, opened = b.column("id"), b.column("opened")
         for at, part in text_runs(_texts(b)):
             w = Windows(part, cache)
-            row, start, size, piece = [], [], [], []
+            row, start, size, piece, other = [], [], [], [], []
             for i in range(len(part)):
                 for x in opened[at + i].as_py():
                     row.append(i)
                     start.append(x["start"])
                     size.append(x["windows"])
                     piece.append(x["piece"])
-            row, start, size, piece = (np.array(x, np.int64) for x in (row, start, size, piece))
+                    other.append(x["piece2"])
+            row, start, size, piece, other = (np.array(x, np.int64) for x in (row, start, size, piece, other))
             which = np.repeat(np.arange(len(row)), size)
             offset = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
-            prints = w.of(w.starts[row[which]] + start[which] + offset, WINDOW)
+            prints = [pa.array(w.of(w.starts[row[which]] + start[which] + offset, WINDOW, k).view(np.int64)) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(row[which] + at)), pa.array(piece[which]), pa.array(offset.astype(np.int32)), pa.array(prints.view(np.int64))],
-                ["id", "piece", "offset", "window"],
+                [ids.take(pa.array(row[which] + at)), pa.array(piece[which]), pa.array(other[which]), pa.array(offset.astype(np.int32)), *prints],
+                ["id", "piece", "piece2", "offset", "window", "window2"],
             )
 
 
@@ -149,32 +165,35 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, print, spans) of documents with windows to remove: an array of (start, mask),
     bit k of the mask telling that the window at word start + k starts in an earlier one."""
     kind = docs.schema["id"].dataType.simpleString()
-    p = scratch.save(docs.mapInArrow(_find_pieces, f"id {kind}, print long, start int, windows int, anchor long, piece long"), "pieces")
-    anchors = p.groupBy("anchor").agg(
-        F.min("id").alias("least"), F.max("id").alias("most"), F.min("piece").alias("p1"), F.max("piece").alias("p2")
-    )
-    anchors = anchors.filter("least < most").select("anchor", "least", (F.col("p1") != F.col("p2")).alias("mixed"))
-    met = scratch.save(p.join(anchors, "anchor").select("id", "print", "start", "windows", "piece", "least", "mixed"), "met")
-    scratch.drop(p)
+    p = scratch.save(docs.mapInArrow(_find_pieces, f"id {kind}, print long, start int, windows int, anchor long, piece long, piece2 long"), "pieces")
+    # What is handed back by a key that may be hot is written first, so that Spark can split the key.
+    ends = [f(c).alias(f.__name__ + c) for c in ("id", "piece", "piece2") for f in (F.min, F.max)]
+    anchors = p.groupBy("anchor").agg(*ends).filter("minid < maxid")
+    anchors = scratch.save(anchors.select("anchor", F.col("minid").alias("least"), F.expr("minpiece <> maxpiece OR minpiece2 <> maxpiece2").alias("mixed")), "anchors")
+    met = scratch.save(p.join(anchors, "anchor").select("id", "print", "start", "windows", "piece", "piece2", "least", "mixed"), "met")
+    scratch.drop(p, anchors)
     whole = met.filter("NOT mixed AND least < id").select(
         "id", "print", "start", (F.expr("shiftleft(1L, windows)") - F.lit(1)).alias("mask")
     )
 
     # Each different piece is opened in its least document.
-    different = met.filter("mixed AND id IS NOT NULL").groupBy("piece").agg(F.min(F.struct("id", "print", "start", "windows")).alias("m"))
+    different = met.filter("mixed AND id IS NOT NULL").groupBy("piece", "piece2").agg(F.min(F.struct("id", "print", "start", "windows")).alias("m"))
+    different = scratch.save(different, "different")
     opened = different.groupBy(F.col("m.id").alias("oid"), F.col("m.print").alias("oprint")).agg(
-        F.collect_list(F.struct(F.col("m.start").alias("start"), F.col("m.windows").alias("windows"), "piece")).alias("opened")
+        F.collect_list(F.struct(F.col("m.start").alias("start"), F.col("m.windows").alias("windows"), "piece", "piece2")).alias("opened")
     )
     at = (F.col("id") == F.col("oid")) & (F.col("print") == F.col("oprint"))
     windows = scratch.save(
-        docs.join(opened, at).select("id", "text", "opened").mapInArrow(_open_pieces, f"id {kind}, piece long, offset int, window long"), "windows"
+        docs.join(opened, at).select("id", "text", "opened").mapInArrow(_open_pieces, f"id {kind}, piece long, piece2 long, offset int, window long, window2 long"), "windows"
     )
-    first = windows.groupBy("window").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("window", "first")
-    firsts = windows.join(first, "window").groupBy("piece").agg(F.collect_set(F.struct("offset", "first")).alias("firsts"))
+    first = windows.groupBy("window", "window2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
+    first = scratch.save(first.select("window", "window2", "first"), "first")
+    firsts = windows.join(first, ["window", "window2"]).groupBy("piece", "piece2").agg(F.collect_set(F.struct("offset", "first")).alias("firsts"))
     # Windows that start in one different piece only still come before that piece's copies.
-    copies = met.filter("mixed").join(firsts, "piece", "left").join(
-        different.select("piece", F.col("m.id").alias("own")), "piece"
-    )
+    known = different.select("piece", "piece2", F.col("m.id").alias("own")).join(firsts, ["piece", "piece2"], "left")
+    known = scratch.save(known, "known")
+    scratch.drop(windows, first, different)
+    copies = met.filter("mixed").join(known, ["piece", "piece2"])
     early = F.aggregate(
         F.coalesce("firsts", F.array().cast("array<struct<offset:int,first:" + kind + ">>")), F.lit(0).cast("long"),
         lambda acc, x: acc.bitwiseOR(F.when(x["first"] < F.col("id"), F.pow(F.lit(2.0), x["offset"]).cast("long")).otherwise(F.lit(0).cast("long"))),
