@@ -142,9 +142,8 @@ def predict_languages(
     known = rows.filter(~held_out & F.col("lang").isNotNull() & (F.col("text") != ""))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row per language
     each = max(20, sample // max(1, len(counts)))
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, each / n))).otherwise(share)
+    shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, each / n))]) if counts else F.create_map(F.lit(""), F.lit(0.0))
+    share = F.coalesce(F.element_at(shares, F.col("lang")), F.lit(0.0))
     place = F.pmod(F.xxhash64("id", F.xxhash64("text")), F.lit(1 << 30)) / float(1 << 30)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

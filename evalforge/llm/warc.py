@@ -78,6 +78,12 @@ class Archive:
         store, path = fs.FileSystem.from_uri(uri)
         self.file = store.open_input_file(path)
 
+    def __enter__(self) -> Archive:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.file.close()
+
     def bytes_at(self, pos: int, n: int) -> bytes:
         self.file.seek(pos)
         return self.file.read(n)
@@ -187,12 +193,13 @@ def read(files: DataFrame, id_type: str = "bigint", split_bytes: int = SPLIT_BYT
         for b in batches:
             for path, start in zip(b.column("path").to_pylist(), b.column("start").to_pylist(), strict=True):
                 found, total = [], 0
-                for r in Archive(path).records(start, start + split_bytes):
-                    found.append(r)
-                    total += len(r["payload"] or b"")
-                    if total > 8 * CHUNK or len(found) >= 2000:
-                        yield batch(found)
-                        found, total = [], 0
+                with Archive(path) as archive:
+                    for r in archive.records(start, start + split_bytes):
+                        found.append(r)
+                        total += len(r["payload"] or b"")
+                        if total > 8 * CHUNK or len(found) >= 2000:
+                            yield batch(found)
+                            found, total = [], 0
                 if found:
                     yield batch(found)
 

@@ -77,6 +77,16 @@ def test_block_names_do_not_depend_on_block_size(docs):
     assert rows_of(a, "doc_id", "keep_id", "group_size") == rows_of(b, "doc_id", "keep_id", "group_size")
 
 
+def test_block_names_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "NAMES_PER_RANGE", 40)
+    df = spark.createDataFrame([(i, " ".join(words(i % 90, 30))) for i in range(300)], "doc_id long, text string")
+    a, b = (exact_dedup.block_identities(d, block_bytes=16) for d in (df.repartition(2), df.repartition(7)))
+    assert rows_of(a, "id", "level", "name") == rows_of(b, "id", "level", "name")
+    assert a.select("level", "name").distinct().count() == 90
+    names = exact_dedup._numbered(df.select(F.crc32("text").alias("c")).distinct(), "c", scratch=Scratch(spark, "t"))
+    assert sorted(r["name"] for r in names.collect()) == list(range(1, 91))
+
+
 def sets_of(n: int) -> dict[int, set]:
     out: dict[int, set] = {}
     for d in corpus():
@@ -185,6 +195,18 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("bits", [24, 7])
+def test_anchors_of_long_runs(bits, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(substring_dedup, "PLACE_BITS", bits)
+    w = substring_dedup.Windows([b" ".join(b"w%d" % (i * i % 97) for i in range(900))], substring_dedup.WordHashes())
+    grams = w.of(np.arange(900 - substring_dedup.GRAM + 1), substring_dedup.GRAM)
+    cut = [int(g) >> bits for g in grams]
+    want = [min(range(i, i + substring_dedup.REACH), key=lambda k: (cut[k], k)) for i in range(len(grams) - substring_dedup.REACH + 1)]
+    assert w.anchors(grams).tolist() == want
+
+
 def test_mixing(docs, empty, spark):
     got = mixing.mix(docs).collect()
     assert len(got) == len(corpus())
@@ -242,6 +264,36 @@ def test_html(spark):
     assert got[None][0] == "just text" and got[5][0] == "deep, text here"
 
 
+@pytest.mark.parametrize("depth", [5, 600, 5000])
+def test_html_of_any_depth(depth):
+    deep = lambda s: "<div>" * depth + s + "</div>" * depth
+    text = "<p>This, then, is the text of the article.</p>"
+    assert html_extract.main_text(deep("<nav>A menu, that, nobody, wants to read</nav>") + text) == "This, then, is the text of the article."
+    after = "<p>This comes, as it were, after the article.</p>"
+    assert html_extract.main_text(f"<article>{deep(text)}</article>{after}") == "This, then, is the text of the article."
+    assert html_extract.main_text(deep(f"<footer>{text}</footer>") + after) == "This comes, as it were, after the article."
+
+
+def test_html_names_do_not_outweigh_the_text():
+    long = "One, two, three, four and more words to read. " * 12
+    p = f"<p>{long}</p>"
+    for name in ("content has-sidebar", "no-sidebar", "overflow-hidden", "story comments-open", "sidebar"):
+        assert html_extract.main_text(f'<div class="{name}">{p}{p}</div>') == "\n\n".join([long.strip()] * 2)
+    inside = html_extract.main_text(f'<div class="post"><h2 class="section-header">Head</h2><p class="notice-text">{long}</p>{p}<div class="share-bar">Tell, all, your friends about this</div></div>')
+    assert inside == "\n\n".join(["Head", long.strip(), long.strip()])
+    assert html_extract.main_text(f'<div class="post">{p}</div><div id="comments">{p * 3}</div><div class="cookie-notice">{p}</div>') == long.strip()
+
+
+def test_html_is_linear_and_takes_empty_tables(spark):
+    import time
+
+    for page in ("<div>" * 60_000 + "x", "<b>" * 60_000 + "</i>" * 60_000, "<h1>" * 60_000 + "<p>" * 60_000, "<li>" * 60_000, "<ul><li>" * 60_000, "<b><div>" * 999 + "<i>" * 60_000 + "</b>" * 60_000, "<p>word, " * 100_000):
+        t = time.time()
+        html_extract.main_text(page)
+        assert time.time() - t < 20
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_warc(spark):
     pages = [(1, "http://a", "same"), (2, "http://b", "same"), (3, None, None), (4, "u", ""), (5, "u", "é" * 50_000), (6, "u", "other"), (None, "u", "same"), (6, "u", "other")]
     df = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, size int").repartition(2)
@@ -261,6 +313,20 @@ def test_warc(spark):
     assert warc.read(Scratch(spark, "t").save(warc.write(df.limit(0), scratch.path()))).count() == 0
 
 
+def test_warc_of_long_records(spark):
+    import random
+
+    noise = random.Random(4)
+    big = "".join(chr(noise.randrange(0x4E00, 0x9FFF)) for _ in range(1_200_000))  # beyond CHUNK even when packed
+    magic = "\x1f\x8b\x08 WARC/1.1 " * 3000
+    df = spark.createDataFrame([(1, "http://a", big), (2, "http://b", magic), (3, None, "<p>"), (4, "http://c", big)], "page_id long, url string, html string").coalesce(1)
+    got = {r["page_id"]: r for r in warc.round_trip(spark, df).collect()}
+    assert len(got) == 4 and all(r["intact"] for r in got.values())
+    assert got[1]["payload_bytes"] == len(big.encode()) and (got[1]["record_type"], got[1]["refers_to"]) == ("revisit", 4)
+    assert got[2]["payload_digest"] == base64.b32encode(hashlib.sha1(magic.encode()).digest()).decode()
+    assert warc.round_trip(spark, df.limit(0)).count() == 0
+
+
 def test_pii(spark, docs, empty):
     text = "é mail a.b@c.de.uk, x@y 1.2.3.4 999.1.1.1 then 4111 1111-1111 1111 and 4111111111111112 call +1 (555) 123-4567 password=f7c8b4419544ffc2cf end"
     df = spark.createDataFrame([(1, text, 0), (2, None, 0), (3, "", 0), (1, text, 0)], "doc_id long, text string, base int")
@@ -273,6 +339,52 @@ def test_pii(spark, docs, empty):
     assert pii.digests(docs).count() == len(corpus()) and pii.digests(empty).count() == 0
 
 
+def test_long_secrets_are_whole(spark):
+    long, bare = "a1B2" * 60, "x9Y_" * 40
+    rows = [(0, f'password = "{long}" and', 0), (1, f"see {bare} there", 0)] + [(2 + i, f"token={hashlib.md5(str(i).encode()).hexdigest()}", 0) for i in range(30)]
+    got = {r["doc_id"]: r for r in pii.digests(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()}
+    assert got[0]["spans"] == f"secret:12:{12 + len(long)}" and got[0]["n_secret"] == got[0]["n_spans"] == 1
+    found = pii.candidates(rows[1][1], [])
+    assert [f[:3] for f in found] == [(4, 4 + len(bare), "secret")]
+    assert all(got[2 + i]["n_secret"] == 1 for i in range(30))
+
+
+def test_votes_are_weighed_by_reliability():
+    """Made-up votes: three labelers are right nine times in ten, two guess; the posteriors find the truth."""
+    import random
+
+    random.seed(9)
+    counts: dict[str, list] = {}
+    for _ in range(6000):
+        truth = random.random() < 0.5
+        good = [2 * truth if random.random() < 0.9 else 2 - 2 * truth for _ in range(3)]
+        p = "secret:" + "".join(map(str, good + [random.choice((0, 1, 2)) for _ in range(2)])) + ":0000000"
+        counts.setdefault(p, [0, 0])[truth] += 1
+    patterns = sorted(counts)
+    belief = pii.reliabilities(patterns, __import__("numpy").array([float(sum(counts[p])) for p in patterns]))
+    right = sum(counts[p][int(b > 0.5)] for p, b in zip(patterns, belief, strict=True))
+    assert right >= 0.96 * 6000
+
+
+def test_cards_follow_the_pattern():
+    import random
+
+    random.seed(6)
+    card = re.compile(r"[0-9]([\x20-]?[0-9])+")
+    seen = 0
+    for _ in range(4000):
+        t = "".join(random.choice("0123456789" * 3 + " -a+") for _ in range(50))
+        want = []
+        for m in card.finditer(t):
+            d = [int(c) for c in m[0] if c.isdigit()]
+            twice = [sum(divmod(2 * x, 10)) if i % 2 else x for i, x in enumerate(reversed(d))]
+            if 12 <= len(d) <= 19 and sum(twice) % 10 == 0:
+                want.append((m.start(), m.end(), "card"))
+        seen += len(want)
+        assert [s for s in pii.base_spans(t) if s[2] == "card"] == want
+    assert seen > 50
+
+
 def test_base_spans_follow_the_patterns():
     import random
 
@@ -336,6 +448,47 @@ def test_toxicity_counts_each_gram(spark):
     assert max(abs(a[2] - b[2]) for a, b in zip(whole, joined, strict=True)) < 1e-4
 
 
+def test_toxicity_is_an_interpolated_kneser_ney(spark):
+    """The probabilities equal those of plain dictionaries, and those of each context sum to one."""
+    from collections import Counter, defaultdict
+    from math import exp
+
+    given = [("scum", 3, 1, 0, 0), ("scummy", 0, 2, 1, 0), ("sum", 0, 0, 4, 5), ("some", 1, 0, 9, 2), ("x", 0, 0, 0, 1), ("summer", 0, 0, 0, 0), ("ée", 0, 1, 1, 1)]
+    table = spark.createDataFrame([(*w, sum(w[1:])) for w in given], "word string, t0 long, t1 long, o0 long, o1 long, docs long")
+    scratch = Scratch(spark, "test-kn")
+    got = {r["e"]: r for r in toxicity.log_likelihoods(scratch.save(toxicity.gram_table(table)), scratch).collect()}
+    own, types, chars = defaultdict(Counter), defaultdict(Counter), Counter()
+    pick = {"r": (0, 1), "r0": (0,), "r1": (1,)}
+    for w, *counts in given:
+        p = "^" * 5 + w + "$"
+        for i in range(5, len(p)):
+            types[p[i - 3 : i]][p[i]] += 1
+            chars[p[i]] += 1
+            for name, halves in pick.items():
+                for k, cls in enumerate("to"):
+                    own[name, cls, p[i - 5 : i]][p[i]] += sum(counts[2 * k + h] for h in halves)
+    total = sum(chars.values()) + toxicity.CHARACTERS
+    one = lambda x: (chars[x] + 1) / total
+
+    def mixed(counts, x, below):
+        tot = sum(counts.values())
+        return (max(counts[x] - 0.75, 0) + 0.75 * sum(c > 0 for c in counts.values()) * below) / tot if tot else below
+
+    chance = lambda name, cls, ctx, x: mixed(own[name, cls, ctx], x, mixed(types[ctx[2:]], x, one(x)))
+    seen = 0
+    for w, *_ in given:
+        p, g = "^" * 5 + w + "$", toxicity._grams([w])
+        for j, e in enumerate(g["e"].tolist()):
+            ctx, x = p[j : j + 5], p[j + 5]
+            for name in pick:
+                for cls in "to":
+                    assert exp(got[e][f"ln_{name}{cls}"]) == pytest.approx(chance(name, cls, ctx, x))
+                    rest = (toxicity.CHARACTERS - len(chars)) * chance(name, cls, ctx, "~")
+                    assert sum(chance(name, cls, ctx, c) for c in chars) + rest == pytest.approx(1)
+                    seen += 1
+    assert seen > 150
+
+
 def test_ngram_join_rows_without_a_name_of_their_own(spark):
     """Texts that null or shared ids hold link like any other."""
     base = words(11, 150)
