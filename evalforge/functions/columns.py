@@ -39,10 +39,11 @@ def correlation(a: Column, b: Column) -> Column:
 
 
 def tied_rank(value: Column | str, keys: Sequence[str], descending: bool = False) -> Column:
-    """Average ranks of ties inside the keys' groups."""
+    """Average ranks of ties inside the keys' groups: halfway between the least rank of a tie
+    and the number of rows up to its end. One window, so one shuffle and one sort."""
     value = F.col(value) if isinstance(value, str) else value
-    order = value.desc() if descending else value.asc()
-    return F.rank().over(Window.partitionBy(*keys).orderBy(order)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / F.lit(2.0)
+    w = Window.partitionBy(*keys).orderBy(value.desc() if descending else value.asc())
+    return (F.rank().over(w) + F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))) / F.lit(2.0)
 
 
 def gap(internal: Column, external: Column, higher_better: bool) -> Column:

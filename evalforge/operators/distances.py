@@ -20,9 +20,11 @@ from evalforge.sources.scratch import materialise
 #: Most query rows that are sent to the tasks at once.
 MAX_QUERIES = 200_000
 _BLOCK = 256
+#: Cells of the cubes that distances without a matrix product are made of.
+_CUBE = 4_000_000
 
 
-def _block_distances(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+def block_distances(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     if metric in ("euclidean", "sqeuclidean"):
         d = np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T, 0)
         exact = np.argwhere(d < 1e-9)
@@ -32,12 +34,17 @@ def _block_distances(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     if metric == "cosine":
         n = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
         return 1 - np.divide(q @ x.T, n, out=np.zeros_like(n), where=n > 0)
+    if metric in ("cityblock", "jaccard"):
+        step = max(1, _CUBE // max(1, len(q) * q.shape[1]))
+        return np.concatenate([_cube_distances(metric, q, x[i : i + step]) for i in range(0, len(x), step)], axis=1)
+    raise ValueError(f"unknown distance {metric!r}")
+
+
+def _cube_distances(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     if metric == "cityblock":
         return np.abs(q[:, None, :] - x[None, :, :]).sum(2)
-    if metric == "jaccard":
-        low, high = np.minimum(q[:, None, :], x[None, :, :]).sum(2), np.maximum(q[:, None, :], x[None, :, :]).sum(2)
-        return 1 - np.divide(low, high, out=np.ones_like(low), where=high > 0)
-    raise ValueError(f"unknown distance {metric!r}")
+    low, high = np.minimum(q[:, None, :], x[None, :, :]).sum(2), np.maximum(q[:, None, :], x[None, :, :]).sum(2)
+    return 1 - np.divide(low, high, out=np.ones_like(low), where=high > 0)
 
 
 def k_nearest(queries: DataFrame, rows: DataFrame, k: int, metric: str = "euclidean", key: str = "vec_id", vector: str = "x") -> DataFrame:
@@ -66,11 +73,14 @@ def _k_nearest(queries: DataFrame, rows: DataFrame, k: int, metric: str, key: st
                 continue
             x, keys = np.array(b[vector].tolist(), float), b[key].to_numpy()
             for i in range(0, len(ids), _BLOCK):
-                d = _block_distances(metric, q[i : i + _BLOCK], x)
+                d = block_distances(metric, q[i : i + _BLOCK], x)
                 d[ids[i : i + _BLOCK, None] == keys[None, :]] = np.inf
-                take = np.argsort(d, axis=1, kind="stable")[:, : k + 1] if d.shape[1] > k else np.tile(np.arange(d.shape[1]), (len(d), 1))
-                r = np.repeat(np.arange(len(d)), take.shape[1])
-                best.append(pd.DataFrame({"query": ids[i : i + _BLOCK][r], key: keys[take.ravel()], "d": d[r, take.ravel()]}))
+                if d.shape[1] > k:  # all that are not farther than the k-th, for ties go by key
+                    r, take = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k])
+                else:
+                    r, take = (v.ravel() for v in np.indices(d.shape))
+                near = pd.DataFrame({"query": ids[i : i + _BLOCK][r], key: keys[take], "d": d[r, take]})
+                best.append(near.sort_values(["query", "d", key]).groupby("query").head(k))
             best = [pd.concat(best).sort_values(["query", "d", key]).groupby("query").head(k)]
         for out in best:
             yield out[np.isfinite(out["d"])]
@@ -154,39 +164,48 @@ def mmd_linear(df: DataFrame, side: str, vector: str = "x") -> DataFrame:
 
 
 def mean_kernel(queries: DataFrame, rows: DataFrame, kernel: str = "sqexp", vector: str = "x") -> float:
-    """Mean kernel value between a stated set of queries and all rows, in blocks."""
-    q = np.array(queries.select(vector).toPandas()[vector].tolist(), float)
-    if len(q) > MAX_QUERIES:
-        raise ValueError("too many query rows")
-    if not len(q):
+    """Mean kernel value between a stated set of queries and all rows, in blocks; queries are
+    sent in as many parts as their number asks for."""
+    n = queries.count()
+    parts = max(1, -(-n // MAX_QUERIES))
+    part = F.pmod(F.xxhash64(vector), F.lit(parts))
+    sums = [_kernel_sums(queries.filter(part == i) if parts > 1 else queries, rows, kernel, vector) for i in range(parts)]
+    if not n or not sums[0][1]:
         raise ValueError("an empty set has no mean kernel")
+    return sum(s for s, _ in sums) / (sums[0][1] * n)
+
+
+def _kernel_values(kernel: str, q: np.ndarray, x: np.ndarray, degree: int = 2, offset: float = 0.0) -> np.ndarray:
+    if kernel == "sqexp":
+        return np.exp(-block_distances("sqeuclidean", q, x) / 2)
+    if kernel == "linear":
+        return q @ x.T
+    if kernel == "polynomial":
+        return (q @ x.T + offset) ** degree
+    raise ValueError(f"unknown kernel {kernel!r}; known: linear, polynomial, sqexp")
+
+
+def _kernel_sums(queries: DataFrame, rows: DataFrame, kernel: str, vector: str) -> tuple[float, int]:
+    q = np.array(queries.select(vector).toPandas()[vector].tolist(), float)
     sent = rows.sparkSession.sparkContext.broadcast(q)
+    _kernel_values(kernel, np.zeros((1, 1)), np.zeros((1, 1)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, n = 0.0, 0
         for b in batches:
-            if not len(b):
-                continue
-            x = np.array(b[vector].tolist(), float)
-            for i in range(0, len(sent.value), _BLOCK):
-                part = sent.value[i : i + _BLOCK]
-                if kernel == "sqexp":
-                    total += np.exp(-_block_distances("sqeuclidean", part, x) / 2).sum()
-                elif kernel == "linear":
-                    total += (part @ x.T).sum()
-                else:
-                    raise ValueError(f"unknown kernel {kernel!r}")
-            n += len(x)
+            if len(b):
+                x = np.array(b[vector].tolist(), float)
+                total += sum(float(_kernel_values(kernel, sent.value[i : i + _BLOCK], x).sum()) for i in range(0, len(sent.value), _BLOCK))
+                n += len(x)
         yield pd.DataFrame({"s": [total], "n": [n]})
 
     r = rows.select(vector).mapInPandas(run, "s double, n long").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
-    if not r["n"]:
-        raise ValueError("an empty set has no mean kernel")
-    return r["s"] / (r["n"] * len(q))
+    return float(r["s"] or 0.0), int(r["n"] or 0)
 
 
 def mmd(a: DataFrame, b: DataFrame, kernel: str = "sqexp", vector: str = "x") -> float:
-    """Biased squared maximum mean discrepancy of two stated sets of bounded size."""
+    """Biased squared maximum mean discrepancy of two stated sets, by the linear, the
+    squared-exponential or the polynomial (x.y)^2 kernel."""
     return mean_kernel(a, a, kernel, vector) + mean_kernel(b, b, kernel, vector) - 2 * mean_kernel(a, b, kernel, vector)
 
 
@@ -198,31 +217,46 @@ def bounding_box_scores(train: DataFrame, rows: DataFrame, key: str = "vec_id",
     return places.groupBy(key).agg(F.avg(out.cast("double")).alias("score")).withColumn("in_domain", F.col("score") == 0)
 
 
-def knn_domain(
-    train: DataFrame, rows: DataFrame, k: int = 5, z: float = 1.5, metric: str = "cosine", key: str = "vec_id", vector: str = "x", calibrate: DataFrame | None = None
-) -> DataFrame:
+def knn_domain(train: DataFrame, rows: DataFrame, k: int = 5, z: float = 1.5, metric: str = "cosine", key: str = "vec_id", vector: str = "x") -> DataFrame:
     """Mean distance to the k nearest training rows, against mean + z standard deviations of
-    the leave-one-out scores of `calibrate`, training rows that by default are all of them.
-    `rows` and `calibrate` are query sets of checked size, met by all training rows."""
-    own = k_nearest(train if calibrate is None else calibrate, train, k, metric, key, vector).groupBy("query").agg(F.avg("d").alias("d"))
+    the leave-one-out scores of all training rows. Of n training rows, k is at most n - 1 for
+    these and n for others; a row that is itself a training row does not meet itself."""
+    train = materialise(train.select(key, vector))
+    n = train.count()
+    own = k_nearest(train, train, max(1, min(k, n - 1)), metric, key, vector).groupBy("query").agg(F.avg("d").alias("d"))
     limit = own.agg((F.avg("d") + z * F.coalesce(F.stddev_samp("d"), F.lit(float("nan")))).alias("limit"))
-    score = k_nearest(rows, train, k, metric, key, vector).groupBy("query").agg(F.avg("d").alias("score"))
-    return score.crossJoin(F.broadcast(limit)).select(F.col("query").alias(key), "score", (F.col("score") <= F.col("limit")).alias("in_domain"))
+    score = k_nearest(rows, train, max(1, min(k, n)), metric, key, vector).groupBy("query").agg(F.avg("d").alias("score"))
+    inside = (F.col("score") <= F.col("limit")) & ~F.isnan("limit")
+    return score.crossJoin(F.broadcast(limit)).select(F.col("query").alias(key), "score", inside.alias("in_domain"))  # one limit
+
+
+def tanimoto_domain(train_bits: DataFrame, bits: DataFrame, key: str, bit: str = "bit", z: float = 1.5) -> DataFrame:
+    """(key, score, in_domain): the largest Tanimoto similarity of each set of bits to another
+    training set, against mean - z standard deviations of the training sets' own, kept between
+    0 and 1. Sets are (key, bit) rows."""
+    own = nn_tanimoto(train_bits, train_bits, key, bit)
+    limit = own.agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.avg("similarity") - z * F.stddev_samp("similarity"))).alias("limit"))
+    score = nn_tanimoto(bits, train_bits, key, bit)
+    return score.crossJoin(F.broadcast(limit)).select(F.col("query").alias(key), F.col("similarity").alias("score"), (F.col("similarity") >= F.col("limit")).alias("in_domain"))  # one limit
 
 
 def leverage_domain(train: DataFrame, rows: DataFrame, key: str = "vec_id", vector: str = "x") -> DataFrame:
     """Hat values with an intercept, against 3 (p + 1) / n. The p x p inverse is made of the
-    tasks' summed products; hat values are JVM expressions."""
+    tasks' summed products and sent to the tasks."""
     one = train.select(F.concat(F.array(F.lit(1.0)), vector).alias(vector))
     p = one.select(F.size(vector)).first()[0]
     gram, n = scatter(one, vector, np.zeros(p))
     inverse = np.linalg.pinv(gram)
-    x = F.concat(F.array(F.lit(1.0)), F.col(vector))
-    table = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in inverse])
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v)
-    moved = F.transform(table, lambda row: total(F.zip_with(row, x, lambda a, b: a * b)))
-    hat = total(F.zip_with(moved, x, lambda a, b: a * b))
-    return rows.select(key, hat.alias("score")).withColumn("in_domain", F.col("score") <= 3 * p / n)
+    sent = rows.sparkSession.sparkContext.broadcast(inverse)
+
+    def hats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = np.array(b[vector].tolist(), float).reshape(len(b), -1)
+            x = np.column_stack([np.ones(len(x)), x]) if len(x) else np.zeros((0, p))
+            yield pd.DataFrame({key: b[key], "score": ((x @ sent.value) * x).sum(1)})
+
+    score = rows.select(key, vector).mapInPandas(hats, f"{key} {rows.schema[key].dataType.simpleString()}, score double")
+    return score.withColumn("in_domain", F.col("score") <= 3 * p / n)
 
 
 def knn_regression(train: DataFrame, rows: DataFrame, target: str, k: int, weighted: bool = True, metric: str = "euclidean", key: str = "vec_id", vector: str = "x") -> DataFrame:
@@ -240,6 +274,11 @@ def directed_hausdorff(queries: DataFrame, rows: DataFrame, metric: str = "eucli
     return nn_distance(queries, rows, metric, key, vector).agg(F.max("d").alias("hausdorff"))
 
 
+def hausdorff(a: DataFrame, b: DataFrame, metric: str = "euclidean", key: str = "vec_id", vector: str = "x") -> DataFrame:
+    """The larger of both directed distances; both sets are queries of the other."""
+    return directed_hausdorff(a, b, metric, key, vector).union(directed_hausdorff(b, a, metric, key, vector)).agg(F.max("hausdorff").alias("hausdorff"))
+
+
 def covariance_table(cov: np.ndarray, spark) -> DataFrame:
     """(i, j, v) of a matrix as long as a vector is wide."""
     p = len(cov)
@@ -259,6 +298,25 @@ def split_metrics(df: DataFrame, side: str, vector: str = "x") -> DataFrame:
     return v.agg(F.max("p").alias("n_features"), *aggs).withColumn("sparsity_gap", F.abs(F.col("share_train") - F.col("share_test")))
 
 
+def bit_split_metrics(bits: DataFrame, side: str, key: str, bit: str = "bit") -> DataFrame:
+    """One row of a split of sets of bits: sizes of both sides, mean and standard deviation of
+    the test sets' largest similarity to a training set, the Jensen-Shannon divergence of bit
+    frequencies, and the share of the test sets' bits that a training set has too."""
+    bits = materialise(bits.select(key, side, bit))
+    train, test = bits.filter(side), bits.filter(~F.col(side))
+    near = nn_tanimoto(test.select(key, bit), train.select(key, bit), key, bit)
+    near = near.agg(F.avg("similarity").alias("nn_mean"), F.stddev_samp("similarity").alias("nn_std"))
+    sizes = bits.select(key, side).distinct().agg(F.count_if(side).alias("n_train"), F.count_if(~F.col(side)).alias("n_test"))
+    f = bits.groupBy(bit).agg(F.count_if(side).alias("a"), F.count_if(~F.col(side)).alias("b")).crossJoin(F.broadcast(sizes))  # one row of sizes
+    p, q = F.col("a") / F.col("n_train"), F.col("b") / F.col("n_test")
+    term = lambda x: F.when(x > 0, 0.5 * x * F.ln(x / ((p + q) / 2))).otherwise(0.0)
+    f = f.agg(
+        F.max("n_train").alias("n_train"), F.max("n_test").alias("n_test"), F.sum(term(p) + term(q)).alias("js"),
+        (F.count_if((F.col("a") > 0) & (F.col("b") > 0)) / F.count_if(F.col("b") > 0)).alias("coverage"),
+    )
+    return f.crossJoin(F.broadcast(near))  # one row each
+
+
 def nn_tanimoto(query_bits: DataFrame, bits: DataFrame, key: str, bit: str = "bit") -> DataFrame:
     """(query, similarity): the largest Tanimoto similarity of each query's set of bits to
     another row's. Sets are (key, bit) rows; only rows that share a bit with a query meet."""

@@ -100,7 +100,8 @@ def top_k_enrichment(pred: DataFrame, keys: Sequence[str], shares: Sequence[floa
 
 
 def bedroc(pred: DataFrame, keys: Sequence[str], ties: Sequence[str], alpha: float = 20.0, active: float = 0.2) -> DataFrame:
-    """Boltzmann-enhanced discrimination of ROC; the active rows are the truly best share."""
+    """Boltzmann-enhanced discrimination of ROC; the active rows are the truly best share;
+    NaN if that is every row."""
     by = Window.partitionBy(*keys)
     tie = [F.col(c) for c in ties]
     r = pred.withColumns({
@@ -114,24 +115,30 @@ def bedroc(pred: DataFrame, keys: Sequence[str], ties: Sequence[str], alpha: flo
     )
     ra = F.col("na") / F.col("n")
     rie = F.col("s") / F.col("na") / ((1 / F.col("n")) * (1 - math.exp(-alpha)) / (F.exp(alpha / F.col("n")) - 1))
-    scale = ra * math.sinh(alpha / 2) / (math.cosh(alpha / 2) - F.cosh(alpha / 2 - alpha * ra))
-    return g.withColumn("bedroc", rie * scale + 1 / (1 - F.exp(alpha * (1 - ra)))).select(*keys, "n", "bedroc")
+    scale = F.try_divide(ra * math.sinh(alpha / 2), math.cosh(alpha / 2) - F.cosh(alpha / 2 - alpha * ra))
+    out = rie * scale + F.try_divide(F.lit(1.0), 1 - F.exp(alpha * (1 - ra)))
+    return g.withColumn("bedroc", F.coalesce(out, F.lit(NAN))).select(*keys, "n", "bedroc")
 
 
 def _inversions(values: np.ndarray) -> int:
-    """Pairs out of order, by bottom-up merging."""
-    total, width, v = 0, 1, values.copy()
-    while width < len(v):
-        for lo in range(0, len(v) - width, 2 * width):
-            a, b = v[lo : lo + width], v[lo + width : lo + 2 * width]
-            total += int((len(a) - np.searchsorted(a, b, "right")).sum())
-            v[lo : lo + 2 * width] = np.sort(v[lo : lo + 2 * width], kind="stable")
-        width *= 2
+    """Pairs out of order, by bottom-up merging: all runs of one width at once."""
+    r = np.unique(values, return_inverse=True)[1].astype(np.int64)
+    total, width, n = 0, 1, len(r)
+    while width < n:
+        run = np.arange(n) // (2 * width)
+        # Stable by run and value: a value of the right half has passed the larger ones of the left.
+        order = np.lexsort((r, run))
+        right = (order // width) % 2 == 1
+        lefts = np.cumsum(~right)
+        before = lefts - np.concatenate([[0], lefts])[run[order] * 2 * width]
+        total += int((np.minimum(width, n - run[order] * 2 * width) - before)[right].sum())
+        r, width = r[order], 2 * width
     return total
 
 
 def kendall(pred: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Kendall's tau-b by keys in O(n log n); a group is one fold's predictions of a model."""
+    """Kendall's tau-b by keys in O(n log n). A group is one fold's predictions of a model and
+    is counted in one task; its predictions must fit into that task's memory."""
 
     def pairs(counts: np.ndarray) -> float:
         return float((counts * (counts - 1) // 2).sum())
@@ -152,3 +159,13 @@ def kendall(pred: DataFrame, keys: Sequence[str]) -> DataFrame:
     kinds = ", ".join(f"`{k}` {pred.schema[k].dataType.simpleString()}" for k in keys)
     out = pred.select(*keys, "y_true", "y_pred").groupBy(*keys).applyInPandas(tau, f"{kinds}, n long, kendall double")
     return out.withColumn("kendall", F.coalesce("kendall", F.lit(NAN)))
+
+
+def fold_report(pred: DataFrame, keys: Sequence[str], ties: Sequence[str], shares: Sequence[float] = (0.05, 0.1, 0.2)) -> DataFrame:
+    """All metrics of a fold as one row by keys: those of fold_metrics, Kendall's tau-b, the
+    enrichment of the top shares and BEDROC; all NaN but n below 2 rows."""
+    out = fold_metrics(pred, keys)
+    for more in (kendall(pred, keys).drop("n"), top_k_enrichment(pred, keys, shares, ties), bedroc(pred, keys, ties).drop("n")):
+        out = out.join(more, list(keys))
+    names = ["kendall", *(f"ef{round(100 * k)}" for k in shares), "bedroc"]
+    return out.withColumns({c: F.when(F.col("n") < 2, F.lit(NAN)).otherwise(F.col(c)) for c in names})

@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """df, written once under spark.checkpoint.dir and read back. Only where that is unset,
-    as in tests on one machine, a temporary folder is used."""
+    """df, written once under spark.checkpoint.dir and read back. Only where that is unset and
+    everything runs in one local process, as in tests, a temporary folder is used."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    path = f"{(root or 'file://' + tempfile.mkdtemp(prefix='spark-shared-')).rstrip('/')}/table-{uuid.uuid4().hex}"
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    path = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
