@@ -2,33 +2,46 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+import math
+from collections.abc import Sequence
+
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Learners by name. Support vector regression has no Spark learner and is left out.
+#: Learners by name: parameters and seed to an estimator. Support vector regression has no
+#: Spark learner and is left out.
 LEARNERS = {
-    "gbt": lambda seed: GBTRegressor(maxIter=20, maxDepth=4, seed=seed),
-    "forest": lambda seed: RandomForestRegressor(numTrees=30, maxDepth=6, seed=seed),
-    "elasticnet": lambda seed: LinearRegression(regParam=0.01, elasticNetParam=0.5),
+    "gbt": lambda seed, maxIter=20, maxDepth=4, stepSize=0.1: GBTRegressor(maxIter=maxIter, maxDepth=maxDepth, stepSize=stepSize, seed=seed),
+    "forest": lambda seed, numTrees=30, maxDepth=6: RandomForestRegressor(numTrees=numTrees, maxDepth=maxDepth, seed=seed),
+    "elasticnet": lambda seed, regParam=0.01, elasticNetParam=0.5: LinearRegression(regParam=regParam, elasticNetParam=elasticNetParam),
+}
+#: What a search tries, in the order of a fixed shuffle.
+SPACES: dict[str, dict[str, Sequence]] = {
+    "gbt": {"maxIter": (10, 20, 40), "maxDepth": (3, 4, 6), "stepSize": (0.05, 0.1, 0.2)},
+    "forest": {"numTrees": (20, 30, 60), "maxDepth": (4, 6, 10)},
+    "elasticnet": {"regParam": (0.001, 0.01, 0.1, 1.0), "elasticNetParam": (0.0, 0.5, 1.0)},
 }
 
 
-def fit_predict(train: DataFrame, rows: DataFrame, learner: str, target: str = "y", vector: str = "x", seed: int = 42) -> DataFrame:
+def fit_predict(train: DataFrame, rows: DataFrame, learner: str, target: str = "y", vector: str = "x", seed: int = 42, **params) -> DataFrame:
     """rows with y_pred of the learner fitted on train."""
     if learner not in LEARNERS:
         raise ValueError(f"unknown learner {learner!r}; known: {', '.join(LEARNERS)}")
     v = lambda df: df.withColumn("__v", array_to_vector(vector))
-    model = LEARNERS[learner](seed).setFeaturesCol("__v").setLabelCol(target).setPredictionCol("y_pred").fit(v(train))
+    model = LEARNERS[learner](seed, **params).setFeaturesCol("__v").setLabelCol(target).setPredictionCol("y_pred").fit(v(train))
     return model.transform(v(rows)).drop("__v")
 
 
-def cross_validated_rms(df: DataFrame, fold: str, learner: str, target: str = "y", vector: str = "x", seed: int = 42) -> DataFrame:
+def cross_validated_rms(df: DataFrame, fold: str, learner: str, target: str = "y", vector: str = "x", seed: int = 42, **params) -> DataFrame:
     """(fold, rms) of a learner over the folds of a column."""
     out = None
     for (f,) in sorted(df.select(fold).distinct().collect()):
-        p = fit_predict(df.filter(F.col(fold) != f), df.filter(F.col(fold) == f), learner, target, vector, seed)
+        p = fit_predict(df.filter(F.col(fold) != f), df.filter(F.col(fold) == f), learner, target, vector, seed, **params)
         r = p.agg(F.lit(f).alias(fold), F.sqrt(F.avg(F.pow(F.col("y_pred") - F.col(target), 2))).alias("rms"))
         out = r if out is None else out.union(r)
     return out
@@ -41,3 +54,54 @@ def binary_quality(df: DataFrame, truth: str, predicted: str, *keys: str) -> Dat
     tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
     below = F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
     return g.withColumns({"accuracy": (tp + tn) / (tp + fp + fn + tn), "mcc": F.coalesce(F.try_divide(tp * tn - fp * fn, below), F.lit(0.0))})
+
+
+def train_runs(train: DataFrame, sets: dict[str, DataFrame], learner: str, runs: int, target: str = "y", vector: str = "x", seed: int = 42, **params) -> DataFrame:
+    """Predictions of several seeded runs for each named set, with `set` and `run`."""
+    out = None
+    for run in range(1, runs + 1):
+        for name, rows in sets.items():
+            p = fit_predict(train, rows, learner, target, vector, seed + run, **params).withColumns({"set": F.lit(name), "run": F.lit(run)})
+            out = p if out is None else out.unionByName(p)
+    return out
+
+
+def fit_classes(train: DataFrame, rows: DataFrame, target: str = "y", vector: str = "x", trees: int = 30, depth: int = 6, seed: int = 42) -> DataFrame:
+    """rows with the class y_pred (0 or 1) of a random forest fitted on train."""
+    v = lambda df: df.withColumn("__v", array_to_vector(vector))
+    t = v(train).withColumn("__y", F.col(target).cast("double"))
+    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featuresCol="__v", labelCol="__y", predictionCol="y_pred").fit(t)
+    return model.transform(v(rows)).drop("__v", "rawPrediction", "probability").withColumn("y_pred", F.col("y_pred").cast("int"))
+
+
+def candidates(learner: str, seed: int = 42) -> list[dict]:
+    """The parameter sets of a learner, shuffled by a hash of the seed."""
+    space = SPACES[learner]
+    sets = [dict(zip(space, values)) for values in itertools.product(*space.values())]
+    return sorted(sets, key=lambda p: hashlib.md5(f"{seed}|{learner}|{sorted(p.items())}".encode()).hexdigest())
+
+
+def select_champion(df: DataFrame, fold: str, learners: Sequence[str], budget: int = 20, target: str = "y", vector: str = "x", seed: int = 42, keep: Sequence[int] = (2, 1, 1), first: int = 5) -> list[dict]:
+    """Successive halving over learners. In each round every learner still in tries new parameter
+    sets, by the mean RMS over folds: `first` sets over two folds in the first round, then half
+    of what is left of the budget, then the rest, over all folds. The best `keep` learners of a
+    round, by the least RMS they have had, go on. A dictionary per learner: name, params, cv_rms,
+    round_eliminated (0 for the champion) and is_champion."""
+    folds = sorted(r[0] for r in df.select(fold).distinct().collect())
+    second = max(0, budget - first) // 2
+    plan = [(first, folds[:2]), (second, folds), (max(0, budget - first - second), folds)]
+    tried = {m: {"learner": m, "params": None, "cv_rms": math.inf, "round_eliminated": 0, "is_champion": False} for m in learners}
+    queue, active = {m: iter(candidates(m, seed)) for m in learners}, list(learners)
+    for number, ((trials, over), kept) in enumerate(zip(plan, keep, strict=True), 1):
+        part = df.filter(F.col(fold).isin(over))
+        for m in active:
+            for params in itertools.islice(queue[m], trials):
+                rms = cross_validated_rms(part, fold, m, target, vector, seed, **params).agg(F.avg("rms")).first()[0]
+                if rms < tried[m]["cv_rms"]:
+                    tried[m].update(params=params, cv_rms=rms)
+        active.sort(key=lambda m: (tried[m]["cv_rms"], m))
+        for m in active[kept:]:
+            tried[m]["round_eliminated"] = number
+        active = active[:kept]
+    tried[active[0]]["is_champion"] = True
+    return list(tried.values())

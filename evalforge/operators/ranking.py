@@ -66,20 +66,53 @@ def critical_difference(k: int, n: int, alpha: float = 0.05) -> float:
     return special.range_quantile(1 - alpha, k) / math.sqrt(2) * math.sqrt(k * (k + 1) / (6 * n))
 
 
-def nemenyi(df: DataFrame, block: str, group: str, value: str, alpha: float = 0.05) -> DataFrame:
-    """One row per pair of groups: average ranks, their difference, the critical difference
-    and whether it is passed. Pairs are of groups, of which there are few."""
-    ranks = average_ranks(complete_blocks(df, block, group, value), block, group, value)
+def nemenyi(df: DataFrame, block: str, group: str, value: str, alpha: float = 0.05, higher_better: bool = False, absolute: bool = False) -> DataFrame:
+    """One row per pair of groups: average ranks over the complete blocks, their difference,
+    the critical difference, whether it is passed, and the p value of the studentised range.
+    `absolute` ranks magnitudes, `higher_better` gives rank 1 to the largest value. With fewer
+    than two groups or complete blocks ranks and tests are NaN and nothing is significant."""
+    v = F.abs(F.col(value)) if absolute else F.col(value)
+    d = df.withColumn("__v", -v if higher_better else v)
+    ranks = average_ranks(complete_blocks(d, block, group, "__v"), block, group, "__v")
     head = ranks.agg(F.count(F.lit(1)).alias("k"), F.max("n_blocks").alias("n")).first()
     k, n = int(head["k"] or 0), int(head["n"] or 0)
     if k < 2 or n < 2:
-        cd = math.nan
+        names = df.select(F.col(group)).distinct()
+        ranks, cd, se = names.withColumn("avg_rank", F.lit(math.nan)), math.nan, math.nan
     else:
-        cd = critical_difference(k, n, alpha)
+        cd, se = critical_difference(k, n, alpha), math.sqrt(k * (k + 1) / (6 * n))
     a, b = (ranks.select(F.col(group).alias(group + s), F.col("avg_rank").alias("rank" + s)) for s in ("1", "2"))
     pairs = a.join(b, F.col(group + "1") < F.col(group + "2"))
-    d = F.abs(F.col("rank1") - F.col("rank2"))
-    return pairs.withColumns({"difference": d, "critical": F.lit(cd), "significant": d > F.lit(cd)})
+    gap = F.abs(F.col("rank1") - F.col("rank2"))
+    pairs = pairs.withColumns({"difference": gap, "critical": F.lit(cd), "significant": ~F.isnan(gap) & (gap > F.lit(cd)) if cd == cd else F.lit(False)})
+
+    def tails(batches):
+        for p in batches:  # a row for each pair of groups
+            q = p["difference"] / se * math.sqrt(2)
+            yield p.assign(p_value=[1.0 if not math.isfinite(x) else 1 - special.range_cdf(x, k) for x in q])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema)
+    out = pairs.mapInPandas(tails, f"{fields}, p_value double")
+    return out.withColumns({c: F.coalesce(c, F.lit(math.nan)) for c in ("rank1", "rank2", "difference", "critical")})  # pandas has no NaN beside null
+
+
+def nemenyi_after_iman(df: DataFrame, block: str, group: str, value: str, alpha: float = 0.05, run_anyway: bool = False) -> tuple[float, float, DataFrame | None]:
+    """Iman and Davenport's F and p, and the pairs of `nemenyi` if p is below alpha."""
+    r = friedman(df, block, group, value).first()
+    run = run_anyway or r["iman_p"] < alpha
+    return r["iman_f"], r["iman_p"], nemenyi(df, block, group, value, alpha) if run else None
+
+
+def bar_rows(spans: Sequence[tuple[float, float]], base: float = 1.0, step: float = 0.25) -> list[tuple[float, float, float]]:
+    """(low, high, height) of bars in the order given: each at the least height, base + i step,
+    where it touches none of those placed before."""
+    placed: list[tuple[float, float, float]] = []
+    for low, high in spans:
+        y = base
+        while any(max(p[0], low) <= min(p[1], high) + 1e-12 and abs(p[2] - y) < 1e-9 for p in placed):
+            y += step
+        placed.append((low, high, y))
+    return placed
 
 
 def homogeneous_spans(ranks: DataFrame, group: str, width: float, tolerance: float = 1e-9) -> DataFrame:
@@ -168,6 +201,87 @@ def anova(df: DataFrame, group: str, value: str) -> DataFrame:
     return s.select("k", "n", "between", "within", f.alias("f"))
 
 
+def pairs_to_matrix(pairs: DataFrame, a: str, b: str, value: str, mode: str = "antisymmetric", diagonal: float = 0.0, order: Sequence[str] = ()) -> DataFrame:
+    """Every cell (i, j, row, column, value) of the square of names: names of `order` first,
+    others by name. A pair's value stands at (b, a); its mirror has it negated, the same, or is
+    NaN (copy), as is any cell without a pair."""
+    if mode not in ("antisymmetric", "symmetric", "copy"):
+        raise ValueError(f"unknown mode {mode!r}; known: antisymmetric, copy, symmetric")
+    one = pairs.select(F.col(b).alias("row"), F.col(a).alias("column"), F.col(value).cast("double").alias("value"))
+    names = one.select("row").union(one.select("column")).distinct()
+    if order:
+        names = names.union(df_of(pairs, [(x,) for x in order], "row string")).distinct()
+    given = F.array(*[F.lit(x) for x in order]).cast("array<string>")
+    place = F.array_position(given, F.col("row"))
+    names = names.select("row", F.row_number().over(Window.orderBy(F.when(place == 0, 1).otherwise(0), place, "row")).alias("i"))  # a row for each name
+    cells = one
+    if mode != "copy":
+        cells = one.union(one.select(F.col("column").alias("row"), F.col("row").alias("column"), (-F.col("value") if mode == "antisymmetric" else F.col("value")).alias("value")))
+    grid = names.crossJoin(F.broadcast(names.select(F.col("row").alias("column"), F.col("i").alias("j"))))  # the matrix asked for
+    out = grid.join(cells, ["row", "column"], "left")
+    v = F.when(F.col("i") == F.col("j"), F.lit(float(diagonal))).otherwise(F.coalesce("value", F.lit(math.nan)))
+    return out.select("i", "j", "row", "column", v.alias("value"))
+
+
+def df_of(like: DataFrame, rows: list, schema: str) -> DataFrame:
+    return like.sparkSession.createDataFrame(rows, schema)
+
+
+VIEWS = ("performance", "credibility", "combined")
+
+
+def criteria_of_view(averages: DataFrame, view: str, group: str = "splitter") -> DataFrame:
+    """(dataset, group, criterion, metric, v, benefit) of the rows (dataset, group, metric, ips,
+    diff, higher_better): the external figure of each metric, its absolute gap as a cost, or both."""
+    if view not in VIEWS:
+        raise ValueError(f"unknown view {view!r}; known: {', '.join(VIEWS)}")
+    rows = lambda name, v, benefit: averages.select("dataset", group, F.concat(F.lit(name + ":"), "metric").alias("criterion"), "metric", v.alias("v"), benefit.alias("benefit"))
+    parts = []
+    if view != "credibility":
+        parts.append(rows("ips", F.col("ips"), F.col("higher_better")))
+    if view != "performance":
+        parts.append(rows("diff", F.abs(F.col("diff")), F.lit(False)))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def ranking_views(averages: DataFrame, view: str, weights: dict[str, float] | None = None, group: str = "splitter") -> DataFrame:
+    """(group, view, method, mean_rank, mean_score, n_datasets): TOPSIS and the ratio system
+    (MOORA) inside each data set over the view's criteria, averaged over data sets. Groups that
+    lack a criterion (null or NaN) in a data set, and data sets with fewer than two groups, are
+    left out. Weights are of metrics, equal by default."""
+    c = criteria_of_view(averages, view, group)
+    w = F.lit(1.0)
+    if weights is not None:
+        w = F.element_at(F.create_map(*[F.lit(x) for m, v in weights.items() for x in (m, float(v))]), F.col("metric"))
+    n_criteria = averages.select("metric").distinct().count() * (2 if view == "combined" else 1)  # a dozen metrics
+    c = c.withColumn("w", w).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    c = c.withColumn("have", F.count(F.lit(1)).over(Window.partitionBy("dataset", group))).filter(F.col("have") == n_criteria)
+    by, at = Window.partitionBy("dataset"), Window.partitionBy("dataset", "criterion")
+    c = c.withColumns({"rows": F.count(F.lit(1)).over(at), "norm": F.sqrt(F.sum(F.col("v") * F.col("v")).over(at)), "total": F.sum("w").over(Window.partitionBy("dataset", group))})
+    c = c.filter("rows > 1").withColumn("z", F.coalesce(F.try_divide(F.col("v"), F.col("norm")), F.lit(0.0)) * F.col("w") / F.col("total"))
+    high, low = F.max("z").over(at), F.min("z").over(at)
+    c = c.withColumns({"best": F.when(F.col("benefit"), high).otherwise(low), "worst": F.when(F.col("benefit"), low).otherwise(high)})
+    s = c.groupBy("dataset", group).agg(
+        F.sqrt(F.sum(F.pow(F.col("z") - F.col("best"), 2))).alias("up"), F.sqrt(F.sum(F.pow(F.col("z") - F.col("worst"), 2))).alias("down"),
+        F.sum(F.when(F.col("benefit"), F.col("z")).otherwise(-F.col("z"))).alias("MOORA"),
+    )
+    s = s.withColumn("TOPSIS", F.coalesce(F.try_divide(F.col("down"), F.col("up") + F.col("down")), F.lit(0.5)))
+    s = s.unpivot(["dataset", group], ["TOPSIS", "MOORA"], "method", "score")
+    s = s.withColumn("rank", tied_rank(F.round("score", 9), ["dataset", "method"], descending=True))
+    out = s.groupBy(group, "method").agg(F.avg("rank").alias("mean_rank"), F.avg("score").alias("mean_score"), F.count(F.lit(1)).alias("n_datasets"))
+    return out.select(group, F.lit(view).alias("view"), "method", "mean_rank", "mean_score", "n_datasets")
+
+
+def compare_rankings(a: DataFrame, b: DataFrame, group: str = "splitter", rank: str = "mean_rank", top: int = 3, bottom: int = 2) -> DataFrame:
+    """One row: Spearman's rho of two rankings of the same groups, and whether their first
+    `top` and last `bottom` groups are the same sets. Ties go by name."""
+    both = a.select(group, F.col(rank).alias("a")).join(b.select(group, F.col(rank).alias("b")), group)
+    rho = both.withColumns({"ra": tied_rank("a", []), "rb": tied_rank("b", [])}).agg(correlation(F.col("ra"), F.col("rb")).alias("rho"))  # one row a group
+    ends = lambda c, k, down: F.array_sort(F.transform(F.slice(F.sort_array(F.collect_list(F.struct((-F.col(c) if down else F.col(c)).alias("v"), group))), 1, k), lambda s: s[group]))
+    sets = both.agg((ends("a", top, False) == ends("b", top, False)).alias("top_same"), (ends("a", bottom, True) == ends("b", bottom, True)).alias("bottom_same"))
+    return rho.crossJoin(sets)  # one row each
+
+
 def long_pairs_to_matrix(pairs: DataFrame, a: str, b: str, value: str, antisymmetric: bool) -> DataFrame:
     """(row, column, value) with both triangles and the diagonal."""
     one = pairs.select(F.col(a).alias("row"), F.col(b).alias("column"), F.col(value).alias("value"))

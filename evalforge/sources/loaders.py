@@ -32,12 +32,13 @@ def _header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.csv(path, header=True).columns
 
 
-def descriptors(spark: SparkSession, path: str, like: Sequence[str] | None = None) -> DataFrame:
+def descriptors(spark: SparkSession, path: str, like: Sequence[str] | None = None, names: Sequence[str] | None = None) -> DataFrame:
     """(sample_id, y, features) of a wide descriptor file. With `like`, the feature columns
     of another file: columns that lack here are 0, others are dropped, order is kept.
-    The wide row becomes one array at once; thousands of columns go no further."""
+    The wide row becomes one array at once; thousands of columns go no further. `names` is the
+    file's header where it has been read already."""
     path = resolve_csv(spark, path)
-    names = _header(spark, path)
+    names = list(names) if names is not None else _header(spark, path)
     schema = T.StructType([T.StructField(c, T.StringType() if c == MOLECULE else T.DoubleType() if c == TARGET else T.IntegerType()) for c in names])
     wide = spark.read.csv(path, header=True, schema=schema)
     wanted = list(like) if like is not None else feature_names(names)
@@ -51,8 +52,8 @@ def feature_names(columns: Sequence[str]) -> list[str]:
 
 def train_and_test(spark: SparkSession, train: str, test: str) -> tuple[DataFrame, DataFrame]:
     """Both files on the training file's features."""
-    names = feature_names(_header(spark, resolve_csv(spark, train)))
-    return descriptors(spark, train), descriptors(spark, test, names)
+    header = _header(spark, resolve_csv(spark, train))
+    return descriptors(spark, train, names=header), descriptors(spark, test, feature_names(header))
 
 
 def rows_of_split(data: DataFrame, split: DataFrame, part: str, key: str = "sample_id", **fold) -> DataFrame:
@@ -63,6 +64,72 @@ def rows_of_split(data: DataFrame, split: DataFrame, part: str, key: str = "samp
     return data.join(chosen.select(key), key, "left_semi")
 
 
+def outer_subset(data: DataFrame, split: DataFrame, rep: int, fold: int, drawn: DataFrame | None = None, key: str = "sample_id") -> DataFrame:
+    """Train rows of an outer fold: those of a subsample drawn before (key, rep, fold), if there
+    is one for the fold, else all."""
+    if drawn is not None:
+        some = drawn.filter((F.col("rep") == rep) & (F.col("fold") == fold))
+        if not some.isEmpty():
+            return data.join(some.select(key), key, "left_semi")
+    return rows_of_split(data, split, "train", key, rep=rep, fold=fold)
+
+
+def each_split(outer: DataFrame, inner: DataFrame, key: str = "sample_id") -> DataFrame:
+    """(rep, fold, key, part, inner_part): rows of an outer fold with their part in the inner
+    split of the same repeat and fold; null outside it."""
+    i = inner.select("rep", "fold", key, F.col("part").alias("inner_part"))
+    return outer.select("rep", "fold", key, "part").join(i, ["rep", "fold", key], "left")
+
+
+def champion_meta(spark: SparkSession, paths: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The distinct rows of what is known of champions."""
+    return shards(spark, paths, columns).distinct()
+
+
+def metrics_table(spark: SparkSession, paths: dict[str, str], schema: str, expected: int) -> DataFrame:
+    """Metrics files of several algorithms with the column `algorithm`; files that lack are
+    skipped. `complete` tells whether a file has the expected number of rows."""
+    out = None
+    for name, path in paths.items():
+        if not exists(spark, path):
+            continue
+        df = spark.read.csv(path, header=True, schema=schema).withColumn("algorithm", F.lit(name))
+        out = df if out is None else out.unionByName(df)
+    if out is None:
+        return spark.createDataFrame([], schema).withColumns({"algorithm": F.lit(""), "complete": F.lit(False)})
+    n = out.groupBy("algorithm").agg(F.count(F.lit(1)).alias("__n"))  # a row for each file
+    return out.join(F.broadcast(n), "algorithm").withColumn("complete", F.col("__n") == expected).drop("__n")
+
+
+def assignments(spark: SparkSession, path: str) -> DataFrame:
+    """(sample_id, cluster) of a file of cluster assignments; clusters below 1 are an error."""
+    df = spark.read.csv(path, header=True, schema="sample_id string, cluster int")
+    ok = F.when(F.col("cluster") >= 1, F.col("cluster")).otherwise(F.raise_error(F.lit("clusters are numbered from 1")).cast("int"))
+    return df.select("sample_id", ok.alias("cluster"))
+
+
+def not_null(df: DataFrame, *columns: str) -> DataFrame:
+    """df, or an error at run time at the first null of a column."""
+    return df.withColumns({c: F.when(F.col(c).isNull(), F.raise_error(F.lit(f"null in {c}")).cast(df.schema[c].dataType)).otherwise(F.col(c)) for c in columns})
+
+
+def compacted(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Doubles of the columns as single precision, where the columns are there."""
+    kinds = dict(df.dtypes)
+    return df.withColumns({c: F.col(c).cast("float") for c in columns if kinds.get(c) == "double"})
+
+
+def prefixed(df: DataFrame, prefix: str, keys: Sequence[str]) -> DataFrame:
+    """df with the prefix before every column but the keys."""
+    return df.select(*keys, *[F.col(c).alias(prefix + c) for c in df.columns if c not in keys])
+
+
+def experiment_paths(root: str, dataset: str, splitter: str, ratio: float, rep: int, fold: int) -> dict[str, str]:
+    """Where the tables of one fold lie: folders of column=value, which Spark reads as columns."""
+    at = f"dataset={dataset}/splitter={splitter}/ratio={ratio}/rep={rep}/fold={fold}"
+    return {kind: f"{root.rstrip('/')}/{kind}/{at}" for kind in ("splits", "predictions", "domains", "metrics", "champions")}
+
+
 def load_fold(split: DataFrame, **fold) -> DataFrame:
     """The rows of one fold; an error if there are none."""
     for c, v in fold.items():
@@ -134,15 +201,16 @@ def dataset_names(files: DataFrame, disguised: bool = False) -> DataFrame:
     return files.select(name.alias("dataset")).filter("dataset <> ''").distinct().orderBy("dataset")
 
 
-def job_logs(spark: SparkSession, paths: Sequence[str] | str, splitters: Sequence[str]) -> DataFrame:
-    """Tab-separated job logs with the rule and splitter of their file names; of splitters
-    that end a name the longest counts."""
+def job_logs(spark: SparkSession, paths: Sequence[str] | str, splitters: Sequence[str], models: Sequence[str] = ()) -> DataFrame:
+    """Tab-separated job logs with the splitter and model of their file names; of splitters
+    that end a name (before its model, if it ends in one) the longest counts. Names without a
+    model are of all models (*)."""
     df = spark.read.csv(paths, sep="\t", header=True, inferSchema=True)
     name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.tsv$", 1)
-    found = F.lit(None).cast("string")
-    for s in sorted(splitters, key=len):
-        found = F.when(name.endswith(s), s).otherwise(found)
-    return df.withColumns({"key": name, "splitter": found})
+    longest = lambda of, names: F.coalesce(*[F.when(of.endswith(s), F.lit(s)) for s in sorted(names, key=len, reverse=True)], F.lit(None).cast("string"))
+    df = df.withColumn("key", name).withColumn("model", F.coalesce(longest(F.col("key"), models), F.lit("*")))
+    rest = F.rtrim(F.when(F.col("model") == "*", F.col("key")).otherwise(F.expr("substring(key, 1, length(key) - length(model))")), F.lit("._-"))
+    return df.withColumn("splitter", longest(rest, splitters))
 
 
 @dataclass(frozen=True)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalforge.operators.splits import repeated_folds
 from evalforge.sources.loaders import exists
 
 
@@ -37,3 +39,33 @@ def check_counts(df: DataFrame, keys: Sequence[str], expected: int) -> DataFrame
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def save_folds(folds: DataFrame, path: str, **meta) -> None:
+    """A table of folds (rep, fold, key) by repeat, and what is known of it as JSON beside it."""
+    spark = folds.sparkSession
+    write_results(folds, f"{path}/folds", ["rep"])
+    known = {"n_rows": folds.select("rep", "fold").count(), "n_folds": folds.select("rep", "fold").distinct().count(), **meta}
+    spark.createDataFrame([(json.dumps(known, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+
+
+def build_folds(data: DataFrame, path: str, key: str, k: int, repeats: int, seed: str = "42", **meta) -> DataFrame:
+    """Draw repeated folds of the data, save them, and read them back."""
+    save_folds(repeated_folds(data, key, k, repeats, seed), path, k=k, repeats=repeats, seed=seed, **meta)
+    return data.sparkSession.read.parquet(f"{path}/folds")
+
+
+def consolidate(spark: SparkSession, paths: Sequence[str], target: str, keys: Sequence[str], expected: int) -> tuple[list[str], list[str]]:
+    """Append to the target the tables that have every group of the keys in the expected number
+    of rows; tables that have not, or lack, are left alone. Returns both lists of paths."""
+    done, left = [], []
+    for p in paths:
+        if not exists(spark, p):
+            left.append(p)
+            continue
+        df = spark.read.parquet(p)
+        whole = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") != expected).isEmpty()
+        (done if whole else left).append(p)
+        if whole:
+            append_new(spark, df, target, df.columns)
+    return done, left
