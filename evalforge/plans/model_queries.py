@@ -9,7 +9,6 @@ from evalforge.operators import clustering, models
 from evalforge.plans.bindings import FEATURES, features, table
 from evalforge.plans.metric_queries import _R, rounded
 from evalforge.plans.registry import query
-from evalforge.sources.scratch import materialise
 from evalforge.streaming.incremental import windowed_coverage
 
 THRESHOLD = 0.9
@@ -23,16 +22,27 @@ def neighbour_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("vec_id").join(n, "vec_id", "left").select("vec_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query()
+_BUTINA = f"""WITH RECURSIVE {FEATURES}, e AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.x, b.x) AS d FROM feat a JOIN feat b ON a.vec_id <> b.vec_id),
+c AS (SELECT a AS vec_id, count(*) AS n, list(b) AS near FROM e WHERE d <= {THRESHOLD} GROUP BY a),
+o AS (SELECT vec_id, coalesce(near, []) AS near, row_number() OVER (ORDER BY coalesce(n, 0) DESC, vec_id) AS i FROM feat LEFT JOIN c USING (vec_id)),
+g AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS taken UNION ALL
+  SELECT g.i + 1, CASE WHEN len(list_intersect(o.near, g.taken)) = 0 THEN list_append(g.taken, o.vec_id) ELSE g.taken END FROM g JOIN o ON o.i = g.i + 1),
+f AS (SELECT taken FROM g ORDER BY i DESC LIMIT 1),
+r AS (SELECT vec_id, CASE WHEN list_contains(taken, vec_id) THEN vec_id ELSE list_filter(taken, lambda x: list_contains(near, x))[1] END AS centroid FROM o, f)"""
+
+
+@query(f"{_BUTINA} SELECT vec_id, centroid FROM r")
 def butina_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = features(spark, sf_dir)
-    return clustering.butina(f, materialise(clustering.neighbours(f, THRESHOLD)))
+    return clustering.butina(f, clustering.neighbours(f, THRESHOLD))
 
 
-@query()
+@query(f"""{_BUTINA}, z AS (SELECT *, count(*) OVER (PARTITION BY centroid) AS size FROM r),
+m AS (SELECT e.a AS vec_id, q.centroid, row_number() OVER (PARTITION BY e.a ORDER BY e.d, e.b) AS k FROM e JOIN z p ON p.vec_id = e.a AND p.size < 10 JOIN z q ON q.vec_id = e.b AND q.size >= 10)
+SELECT vec_id, coalesce(m.centroid, z.centroid) AS centroid FROM z LEFT JOIN m USING (vec_id) WHERE coalesce(k, 1) = 1""")
 def merged_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = features(spark, sf_dir)
-    return clustering.merge_small(clustering.butina(f, materialise(clustering.neighbours(f, THRESHOLD))), f, 10)
+    return clustering.merge_small(clustering.butina(f, clustering.neighbours(f, THRESHOLD)), f, 10)
 
 
 @query()

@@ -10,6 +10,7 @@ from evalforge.operators import distances, splits
 from evalforge.plans.bindings import FEATURES, features, table
 from evalforge.plans.metric_queries import _R, rounded
 from evalforge.plans.registry import query
+from evalforge.sources.scratch import materialise
 
 
 @query("""WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5('42|' || o_orderkey), o_orderkey) AS rank, count(*) OVER () AS n FROM orders)
@@ -111,7 +112,7 @@ b AS (SELECT DISTINCT doc_id, lang, ('0x' || substr(md5(unnest(w)), 1, 3))::INT
 
 def bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashed word fingerprints of documents: one row a set bit of 4096."""
-    w = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", "lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("w"))
+    w = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", "lang", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0))).alias("w"))
     return w.select("doc_id", "lang", F.conv(F.substring(F.md5("w"), 1, 3), 16, 10).cast("int").alias("bit")).distinct()
 
 
@@ -119,8 +120,8 @@ def bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 f AS (SELECT bit, count(*) FILTER (lang = 'en') / max(ne)::DOUBLE AS p, count(*) FILTER (lang <> 'en') / max(no)::DOUBLE AS q FROM b, n GROUP BY bit)
 SELECT {_R("sum(CASE WHEN p > 0 THEN 0.5 * p * ln(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN 0.5 * q * ln(q / ((p + q) / 2)) ELSE 0 END)", "js")} FROM f""")
 def bit_frequency_js(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = bits(spark, sf_dir)
-    sizes = b.groupBy("doc_id", "lang").agg(F.lit(1)).agg(F.count_if(F.col("lang") == "en").alias("ne"), F.count_if(F.col("lang") != "en").alias("no"))
+    b = materialise(bits(spark, sf_dir))
+    sizes = b.select("doc_id", "lang").distinct().agg(F.count_if(F.col("lang") == "en").alias("ne"), F.count_if(F.col("lang") != "en").alias("no"))
     f = b.groupBy("bit").agg(F.count_if(F.col("lang") == "en").alias("ce"), F.count_if(F.col("lang") != "en").alias("co")).crossJoin(F.broadcast(sizes))
     p, q = F.col("ce") / F.col("ne"), F.col("co") / F.col("no")
     term = lambda x: F.when(x > 0, 0.5 * x * F.ln(x / ((p + q) / 2))).otherwise(0.0)
@@ -150,7 +151,7 @@ def bounding_box_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {FEATURES}, t AS (SELECT vec_id, x FROM feat WHERE label < 5), q AS (SELECT vec_id, x FROM feat WHERE vec_id % 100 = 0),
-o AS (SELECT a.vec_id, 1 - list_cosine_similarity(a.x, b.x) AS d FROM t a, t b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+o AS (SELECT a.vec_id, 1 - list_cosine_similarity(a.x, b.x) AS d FROM t a, t b WHERE a.vec_id <> b.vec_id),
 ok AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d) AS r FROM o), os AS (SELECT vec_id, avg(d) AS d FROM ok WHERE r <= 3 GROUP BY vec_id),
 l AS (SELECT avg(d) + 1.5 * stddev_samp(d) AS lim FROM os), s AS (SELECT q.vec_id, 1 - list_cosine_similarity(q.x, t.x) AS d FROM q, t WHERE q.vec_id <> t.vec_id),
 sk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d) AS r FROM s)
@@ -158,7 +159,7 @@ SELECT vec_id, {_R("avg(d)", "score")}, avg(d) <= max(lim) AS in_domain FROM sk,
 def knn_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = features(spark, sf_dir)
     train, asked = f.filter("label < 5"), f.filter("vec_id % 100 = 0")
-    return rounded(distances.knn_domain(train, asked, k=3, calibrate=asked.filter("label < 5")))
+    return rounded(distances.knn_domain(train, asked, k=3))
 
 
 @query()
@@ -217,3 +218,41 @@ def annotated_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "lineitem").join(a, F.col("l_partkey") == F.col("p_partkey"), "left")
     inside = F.count_if(F.coalesce(F.col("score") <= 1.5, F.lit(False)))
     return rounded(p.groupBy("p_brand", "l_returnflag").agg(F.count(F.lit(1)).alias("n"), inside.alias("n_in"), F.avg("score").alias("score")))
+
+
+@query(f"""WITH {FEATURES}, a AS (SELECT vec_id, x FROM feat WHERE vec_id % 100 = 0), b AS (SELECT vec_id, x FROM feat WHERE vec_id % 100 = 50),
+d AS (SELECT a.vec_id AS i, b.vec_id AS j, list_distance(a.x, b.x) AS d FROM a, b), u AS (SELECT min(d) AS d FROM d GROUP BY i UNION ALL SELECT min(d) FROM d GROUP BY j)
+SELECT {_R("max(d)", "hausdorff")} FROM u""")
+def hausdorff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both directions between two stated sets of queries."""
+    f = features(spark, sf_dir)
+    return rounded(distances.hausdorff(f.filter("vec_id % 100 = 0"), f.filter("vec_id % 100 = 50")))
+
+
+_SIMILAR = """WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w, lang FROM documents WHERE text IS NOT NULL AND doc_id % 100 IN (0, 50)),
+b AS (SELECT DISTINCT doc_id, lang, ('0x' || substr(md5(unnest(w)), 1, 3))::INT AS bit FROM t), n AS (SELECT doc_id, lang, count(*) AS n FROM b GROUP BY ALL),
+s AS (SELECT x.doc_id AS i, y.doc_id AS j, count(*) AS c FROM b x JOIN b y ON x.bit = y.bit AND x.doc_id <> y.doc_id GROUP BY ALL),
+m AS (SELECT i, j, c / (p.n + q.n - c) AS s, p.doc_id % 100 = 0 AS ti, q.doc_id % 100 = 0 AS tj FROM s JOIN n p ON p.doc_id = i JOIN n q ON q.doc_id = j),
+k AS (SELECT doc_id, doc_id % 100 = 0 AS train, coalesce(max(s), 0) AS similarity FROM n LEFT JOIN m ON i = doc_id AND tj GROUP BY ALL)"""
+
+
+def asked_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bits of two stated sets: training sets (ids divisible by 100) and queries (50 beyond)."""
+    return materialise(bits(spark, sf_dir).filter("doc_id % 100 IN (0, 50)").withColumn("train", F.col("doc_id") % 100 == 0))
+
+
+@query(f"""{_SIMILAR}, l AS (SELECT greatest(0, least(1, avg(similarity) - 1.5 * stddev_samp(similarity))) AS lim FROM k WHERE train)
+SELECT doc_id, {_R("similarity", "score")}, similarity >= lim AS in_domain FROM k, l WHERE NOT train""")
+def tanimoto_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = asked_bits(spark, sf_dir)
+    return rounded(distances.tanimoto_domain(b.filter("train").select("doc_id", "bit"), b.filter("NOT train").select("doc_id", "bit"), "doc_id"))
+
+
+@query(f"""{_SIMILAR}, z AS (SELECT count(*) FILTER (doc_id % 100 = 0) AS n_train, count(*) FILTER (doc_id % 100 = 50) AS n_test FROM n),
+f AS (SELECT bit, count(*) FILTER (doc_id % 100 = 0) AS a, count(*) FILTER (doc_id % 100 = 50) AS c FROM b GROUP BY bit),
+g AS (SELECT a, c, a / n_train::DOUBLE AS p, c / n_test::DOUBLE AS q FROM f, z),
+j AS (SELECT sum(CASE WHEN p > 0 THEN 0.5 * p * ln(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN 0.5 * q * ln(q / ((p + q) / 2)) ELSE 0 END) AS js, count(*) FILTER (a > 0 AND c > 0) / count(*) FILTER (c > 0) AS coverage FROM g),
+v AS (SELECT avg(similarity) AS nn_mean, stddev_samp(similarity) AS nn_std FROM k WHERE NOT train)
+SELECT n_train, n_test, {_R("js")}, {_R("coverage")}, {_R("nn_mean")}, {_R("nn_std")} FROM z, j, v""")
+def bit_split_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(distances.bit_split_metrics(asked_bits(spark, sf_dir), "train", "doc_id"))
