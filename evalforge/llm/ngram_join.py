@@ -21,11 +21,12 @@ Scale: equal sets are collapsed before anything is indexed. A signature met by o
 dropped in the stage that receives it; rows of a signature that a task has seen in two sets
 already are known to be shared and are dealt at random, so that a signature which very many
 sets share is no hot key. Groups are not expanded to all pairs: in each bucket every set x is
-compared with one pivot p, the member that shares most signatures with others. Let dx be the
-number of elements in which x differs from p. Two sets x and y of the bucket differ in
-dx + dy - 2 o elements if these differences have o elements in common. So if dx + dy is small
-enough they link for sure, and else they link only if the differences overlap much: an exact
-prefix filter on the differences, those that p lacks first, finds such pairs.
+compared with one pivot p: the member that shares most signatures with others or, where that
+is like the best pivot of its own buckets, the latter, so that a family of near copies has few
+pivots. Let dx be the number of elements in which x differs from p. Two sets x and y of the
+bucket differ in dx + dy - 2 o elements if these differences have o elements in common. So if
+dx + dy is small enough they link for sure, and else they link only if the differences overlap
+much: an exact prefix filter on the differences, those that p lacks first, finds such pairs.
 """
 
 from __future__ import annotations
@@ -359,10 +360,23 @@ def similar_groups(
     # by a key that may be hot is written first, so that Spark can split the key.
     counts = scratch.save(shared.groupBy("sig").agg(F.count(F.lit(1)).alias("c")), "counts")
     score = scratch.save(shared.join(counts, "sig").groupBy("set").agg(F.sum("c").alias("score")), "score")
-    pivot = shared.join(score, "set").groupBy("sig").agg(F.max(F.struct("score", "set")).alias("p")).select("sig", F.col("p.set").alias("v"))
+    pivot = shared.join(score, "set").groupBy("sig").agg(F.max(F.struct("score", "set")).alias("p")).select("sig", F.col("p.set").alias("v"), "p.score")
     pivot = scratch.save(pivot, "pivots")
-    pairs = scratch.save(shared.join(pivot, "sig").filter(F.col("set") != F.col("v")).select(F.col("set").alias("u"), "v").distinct(), "pairs")
+    pairs = shared.join(pivot, "sig").filter(F.col("set") != F.col("v")).select(F.col("set").alias("u"), "v", "score").distinct()
+    pairs = scratch.save(pairs, "pairs")
     scratch.drop(shared, counts, score, pivot)
+
+    # A bucket may be compared with any set. Buckets of one family have many pivots: one that is
+    # like the best pivot it meets itself leaves its buckets to that.
+    ups = pairs.join(pairs.select(F.col("v").alias("u")).distinct(), "u", "left_semi").groupBy("u").agg(F.max(F.struct("score", "v")).alias("p"))
+    ups = scratch.save(ups.select("u", F.col("p.v").alias("v")), "best-pivots")
+    ups = scratch.save(_compared(ups, texts, n, per_cent).filter("3 * d <= su + sv").select("u", "v"), "ups")  # a similarity of one half
+    up = ups
+    for _ in range(2):
+        up = up.join(up.select(F.col("u").alias("v"), F.col("v").alias("w")), "v", "left").select("u", F.coalesce("w", "v").alias("v"))
+    up = scratch.save(up, "references")
+    led = pairs.join(small(up, up.select(F.col("u").alias("v"), F.col("v").alias("w"))), "v", "left").select("u", F.coalesce("w", "v").alias("v")).union(up)
+    pairs = scratch.save(led.filter("u <> v").distinct(), "pairs")
     stars = scratch.save(_compared(pairs, texts, n, per_cent), "stars")
 
     # Sets that differ so little from one pivot that they link without a comparison.
