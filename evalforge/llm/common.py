@@ -92,7 +92,7 @@ def keep_ids(docs: DataFrame, ids: DataFrame, id_col: str, max_bytes: int = BROA
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered up to a fixed number of words."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -54,7 +54,7 @@ KINDS = [(1, 0), *((h, k) for h in range(7) for k in range(1, 5) if comb(h + k,
 HOT_SETS, HOT_SIGNATURES = 16, 200_000
 
 
-def pieces(values: list, limit: int = 4 << 20) -> Iterator[tuple[int, list]]:
+def pieces(values: list, limit: int = 1 << 20) -> Iterator[tuple[int, list]]:
     """Runs of the values with their starts, of about `limit` bytes each."""
     start = total = 0
     for i, v in enumerate(values):
@@ -217,6 +217,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, n: int, per_cent: int) -> Data
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, pivot, of_pivot = WordHashes(), None, None
         for b in batches:
+            pa.default_memory_pool().release_unused()
             us, vs = b.column("u").to_pylist(), b.column("v").to_pylist()
             tu, tv = (b.column(c).cast(pa.binary()) for c in ("tu", "tv"))
             su, sv, d, linked, first = [], [], [], [], []
@@ -268,6 +269,7 @@ def similar_groups(
         def describe(batches: Iterator[pa.RecordBatch], seed: int = seed) -> Iterator[pa.RecordBatch]:
             cache = WordHashes()
             for b in batches:
+                pa.default_memory_pool().release_unused()
                 size, one, two = [], [], []
                 for _, part in pieces(_texts(b)):
                     for s in shingle_sets(part, n, cache):
@@ -303,7 +305,8 @@ def similar_groups(
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, hot = WordHashes(), np.zeros(0, np.uint64)
         for b in batches:
-            for _, part in pieces(_texts(b), 2 << 20):
+            pa.default_memory_pool().release_unused()
+            for _, part in pieces(_texts(b)):
                 found, seen = [], set()
                 for s in shingle_sets(part, n, cache):
                     if len(s) and (name := _set_id(s ^ np.uint64(seed))[0]) not in seen:

@@ -44,7 +44,7 @@ STRETCH = 16
 CURVE_ROWS = 10_000
 #: Counts by class and half of the labelled rows.
 COUNTS = ("t0", "t1", "o0", "o1")
-_WORDS_AT_ONCE = 50_000
+_WORDS_AT_ONCE = 20_000
 #: Ratios of an n-gram or word: by both halves of the labelled rows, by the first, by the second.
 RATIOS = {"r": (0, 1), "r0": (0,), "r1": (1,)}
 
@@ -97,7 +97,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 c[4] += 1
                 if slot is not None:
                     c[slot] += 1
-            if len(seen) > 200_000:
+            if len(seen) > 100_000:
                 yield flush()
     yield flush()
 
@@ -208,7 +208,7 @@ class Ratios(dict):
         self.head, self.column = head, column
 
     def learn(self, texts: list[list[str]]) -> None:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         new = list(set().union(*texts).difference(self))
         for i in range(0, len(new), _WORDS_AT_ONCE):
