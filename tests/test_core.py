@@ -471,3 +471,32 @@ def test_learners(spark):
     assert runs.count() == 2 * (80 + 5)
     c = models.fit_classes(df.filter("fold > 1"), df.filter("fold = 1"), "c")
     assert models.binary_quality(c, "c", "y_pred").first()["accuracy"] > 0.9
+
+
+def test_composites(spark):
+    from evalforge.operators import composites
+
+    rows = []
+    for i in range(12):
+        for model, err, champ in (("a", 0.1, True), ("b", 0.5, False), ("c", 0.3, False)):
+            for s in ("test", "ips"):
+                rows.append(("d", "r", 1, 1, s, i, model, champ, float(i), float(i) + err * (1 + i % 3), i % 4 != 0 if i < 11 else None, float(i)))
+    rows.append(("d", "r", 1, 1, "ips", 99, "a", True, None, 1.0, True, None))
+    spec = "dataset string, splitter string, rep int, fold int, `set` string, sample_id int, model string, is_champion boolean, y_true double, y_pred double, in_domain boolean, nn_dist_to_train double"
+    pred = spark.createDataFrame(rows, spec)
+    one = composites.ad_summary(pred.filter("model = 'a'"), ["sample_id"])
+    assert set(one) == {"fold_reports", "coverage", "metrics_by_domain", "metrics_in_domain", "distances"}
+    r = {x["set"]: x for x in one["fold_reports"].collect()}
+    assert r["ips"]["n"] == 12 and r["test"]["spearman"] == pytest.approx(1.0) and r["ips"]["algorithm"] == "r"
+    assert tuple(one["coverage"].select("n", "n_in").first()) == (13, 9)
+    assert {x["in_domain"]: x["n"] for x in one["metrics_by_domain"].collect()} == {True: 9, False: 3} and one["distances"].count() == 12
+    assert one["metrics_in_domain"].first()["n"] == 8
+    meta = spark.createDataFrame([("d", "r", 1, 1, m, m == "a", v) for m, v in (("a", 0.1), ("b", 0.2), ("a", 0.1))], "dataset string, splitter string, rep int, fold int, model string, is_champion boolean, cv_rms double")
+    two = composites.champion_summary(pred.filter("y_true IS NOT NULL"), meta)
+    assert [tuple(x) for x in two["champions"].collect()] == [("d", "r", 1, 1, "a", 0.1)]
+    assert two["fold_selection"].first()["hit"] and two["hit_rates"].first()["hit_rate"] == 1.0
+    assert {x["model"]: x["cv_rms"] for x in two["fold_metrics"].collect()} == {"a": 0.1, "b": 0.2, "c": None}
+    inside = [i for i in range(12) if i % 4 and i < 11]
+    size = math.sqrt(sum((1 + i % 3) ** 2 for i in inside) / len(inside))
+    assert two["ips_advantage"].first()["ips_adv_rmse"] == pytest.approx(0.2 * size)
+    assert two["selection_by_dataset"].first()["mean_advantage"] == pytest.approx(0.3 * math.sqrt(sum((1 + i % 3) ** 2 for i in range(12)) / 12))
