@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -33,6 +35,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Lists that collect the scratch tables made while temporary_tables is open.
+_collecting: list[list[Scratch]] = []
+
+
+@contextmanager
+def temporary_tables() -> Iterator[None]:
+    """Tables that operators write inside are removed at its end: for a result that has been
+    written by then."""
+    made: list[Scratch] = []
+    _collecting.append(made)
+    try:
+        yield
+    finally:
+        _collecting.remove(made)
+        for s in made:
+            s.remove()
+
+
 class Scratch:
     """Intermediate tables, written once to the shared folder and read back, so that
     lineage is cut, lost executors cost nothing and ids drawn in a task stay fixed."""
@@ -41,6 +61,13 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        for made in _collecting:
+            made.append(self)
+
+    def remove(self) -> None:
+        """All tables of this scratch."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def path(self, name: str = "t") -> str:
         self.n += 1
