@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from evalforge.llm import decontamination, exact_dedup, mixing, ngram_join, toxicity
-from evalforge.llm.common import Scratch, table
+from evalforge.llm.common import Scratch, table, temporary_tables
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +48,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage, all stages applied in turn."""
-    scratch = Scratch(spark, "pipeline")
+    """The rows of the last stage, all stages applied in turn. What a stage writes for itself is
+    removed once its result is written, and so is the result of the stage before."""
+    scratch, before = Scratch(spark, "pipeline"), None
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        with temporary_tables():
+            docs = scratch.save(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return docs
