@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalforge.operators import clustering, models
+from evalforge.operators import clustering, models, tpe
 from evalforge.plans.bindings import FEATURES, features, table
 from evalforge.plans.metric_queries import _R, rounded
 from evalforge.plans.registry import query
@@ -85,6 +85,31 @@ def forest_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.fit_predict(r.filter("fold > 1"), r.filter("fold = 1"), "forest").select("vec_id", "y", "y_pred"))
 
 
+@query()
+def tpe_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trials of an elastic net, four at a time."""
+    return tpe.as_table(spark, models.tpe_search(_regression(spark, sf_dir), "fold", "elasticnet", budget=12))
+
+
+@query()
+def champion_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learners by their rounds; the error of the champion refitted on the folds beyond the first."""
+    r = _regression(spark, sf_dir)
+    found = models.select_champion(r.filter("fold > 1").withColumn("inner", F.col("fold")), "inner", ("elasticnet", "forest"), budget=6, keep=(1, 1, 1), first=3)
+    top = next(x for x in found if x["is_champion"])
+    rms = models.refit(top, r.filter("fold > 1"), r.filter("fold = 1")).agg(F.sqrt(F.avg(F.pow(F.col("y_pred") - F.col("y"), 2)))).first()[0]
+    rows = [(x["learner"], x["trials"], x["cv_rms"], x["round_eliminated"], x["is_champion"], rms if x is top else None) for x in found]
+    return rounded(spark.createDataFrame(rows, "learner string, trials int, cv_rms double, round_eliminated int, is_champion boolean, held_out_rms double"))
+
+
+@query()
+def seeded_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of two runs of a forest on held-out rows and on the rows it was fitted on."""
+    r = _regression(spark, sf_dir)
+    p = models.train_runs(r.filter("fold > 1"), {"test": r.filter("fold = 1"), "train": r.filter("fold > 1")}, "forest", 2, numTrees=10)
+    return rounded(p.groupBy("set", "run").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.pow(F.col("y_pred") - F.col("y"), 2))).alias("rms")))
+
+
 @query(f"""SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n, count(*) FILTER (value <= 50) AS n_in, {_R("count(*) FILTER (value <= 50) / count(*)", "coverage")} FROM events GROUP BY ALL""")
 def windowed_coverage_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("in_domain", F.col("value") <= 50)
