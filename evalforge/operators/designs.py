@@ -1,148 +1,82 @@
 """Splits by design: Kennard-Stone and its relatives, OptiSim and dissimilarity selection,
-and splits by clusters.
-
-The selections are greedy: each pick depends on all before it. They run inside blocks of
-BLOCK_ROWS rows at most, dealt by a hash of the key, each block picking its share of the
-train rows: a table of one block is split as the plain method splits it, and a larger one
-as many random parts of it. No task holds more than a block and its distances.
-"""
+and splits by clusters. The selections are those of `selections`, over the whole table."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
-import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalforge.functions.columns import seeded
-from evalforge.operators import clustering, distances, splits
+from evalforge.operators import clustering, distances, selections, splits
+from evalforge.operators.selections import Geometry
 
-BLOCK_ROWS = 2000
 CUTOFF = 0.35
+#: Share of the train rows that the Morais variant exchanges.
+EXCHANGED = 0.1
+
+#: Name -> (distance of the features, rule, candidates of a step of OptiSim).
+METHODS: dict[str, tuple[str, str, int]] = {
+    "kennardstone": ("jaccard", "kennard_stone", 0),
+    "mdks": ("mahalanobis", "kennard_stone", 0),
+    "spxy-jaccard": ("jaccard", "kennard_stone", 0),
+    "spxy-euclidean": ("euclidean", "kennard_stone", 0),
+    "morais": ("euclidean", "morais", 0),
+    "optisim": ("jaccard", "optisim", 50),
+    "maximum_dissimilarity": ("jaccard", "optisim", 0),
+    "minimum_dissimilarity": ("jaccard", "optisim", 1),
+}
 
 
-def farthest_pair(d: np.ndarray) -> tuple[int, int]:
-    """The first pair i < j, by i and then j, of the largest distance."""
-    upper = np.where(np.arange(len(d))[:, None] < np.arange(len(d))[None, :], d, -1.0)
-    i, j = divmod(int(upper.argmax()), len(d))
-    return i, j
-
-
-def kennard_stone(d: np.ndarray, m: int) -> list[int]:
-    """m rows: the most distant pair, then always the row farthest from all chosen ones."""
-    if m <= 0 or not len(d):
-        return []
-    if len(d) == 1:
-        return [0]
-    chosen = list(farthest_pair(d))[:m]
-    near = d[chosen].min(0)
-    near[chosen] = -1.0
-    while len(chosen) < min(m, len(d)):
-        i = int(near.argmax())
-        chosen.append(i)
-        near = np.minimum(near, d[i])
-        near[i] = -1.0
-    return chosen
-
-
-def morais(d: np.ndarray, m: int, order: np.ndarray, share: float = 0.1) -> list[int]:
-    """Kennard-Stone, then a share of the chosen rows change places with rows left out, both
-    in the random order given."""
-    chosen = kennard_stone(d, m)
-    rest = sorted(set(range(len(d))) - set(chosen), key=lambda i: order[i])
-    swap = sorted(chosen, key=lambda i: order[i])[: min(int(share * len(chosen)), len(rest))]
-    return sorted((set(chosen) - set(swap)) | set(rest[: len(swap)]))
-
-
-def optisim(d: np.ndarray, m: int, order: np.ndarray, candidates: int, cutoff: float = CUTOFF) -> list[int]:
-    """From one row on, each step draws `candidates` rows (0: all) in the random order given
-    that are at least the cutoff from all chosen ones, and takes the one farthest from these;
-    the others wait for a later round. Rows too near are out for good; the end comes early
-    when none is left. One candidate is minimum, all are maximum dissimilarity selection."""
-    queue = np.argsort(order, kind="stable").tolist()
-    if m <= 0 or not queue:
-        return []
-    chosen = [queue.pop(0)]
-    near, waiting = d[chosen[0]].copy(), []
-    while len(chosen) < m:
-        drawn: list[int] = []
-        while len(drawn) < (candidates or len(d)):
-            if not queue:
-                if not waiting:
-                    break
-                queue, waiting = waiting, []
-            i = queue.pop(0)
-            if near[i] >= cutoff:
-                drawn.append(i)
-        if not drawn:
-            break
-        best = max(drawn, key=lambda i: near[i])
-        waiting += [i for i in drawn if i != best]
-        chosen.append(best)
-        near = np.minimum(near, d[best])
-    return chosen
-
-
-def _scaled(d: np.ndarray) -> np.ndarray:
-    return d / d.max() if d.size and d.max() > 0 else d
-
-
-#: Name -> (distance of the features, picks of m rows by distances and a random order).
-METHODS: dict[str, tuple[str, Callable[[np.ndarray, int, np.ndarray], list[int]]]] = {
-    "kennardstone": ("jaccard", lambda d, m, order: kennard_stone(d, m)),
-    "mdks": ("mahalanobis", lambda d, m, order: kennard_stone(d, m)),
-    "spxy-jaccard": ("jaccard", lambda d, m, order: kennard_stone(d, m)),
-    "spxy-euclidean": ("euclidean", lambda d, m, order: kennard_stone(d, m)),
-    "morais": ("euclidean", morais),
-    "optisim": ("jaccard", lambda d, m, order: optisim(d, m, order, 50)),
-    "maximum_dissimilarity": ("jaccard", lambda d, m, order: optisim(d, m, order, 0)),
-    "minimum_dissimilarity": ("jaccard", lambda d, m, order: optisim(d, m, order, 1)),
-}
+def geometry_of(df: DataFrame, method: str, key: str, vector: str, target: str | None, metric: str | None = None) -> Geometry:
+    """The distances of a method: whitened ones for mahalanobis; for SPXY those of features and of the target, each over the
+    largest in the table."""
+    metric = metric or METHODS[method][0]
+    g = Geometry("euclidean" if metric == "mahalanobis" else metric)
+    rows = df.select(F.col(vector).cast("array<double>").alias("x"))
+    if metric == "mahalanobis" and not rows.isEmpty():
+        s, n = distances.scatter(rows, "x", distances.mean_vector(rows, "x"))
+        cov = s / max(1, n - 1)
+        g.linear = np.linalg.pinv(np.linalg.cholesky(cov + np.eye(len(cov)) * 1e-9 * max(1.0, np.trace(cov)))).T
+    if method.startswith("spxy"):
+        far = selections.farthest_pair(df, g, key, vector)
+        low, high = df.agg(F.min(F.col(target).cast("double")), F.max(F.col(target).cast("double"))).first()
+        g.x_scale, g.y_scale = (far[2] if far else 0.0) or 1.0, ((high or 0.0) - (low or 0.0)) or 1.0
+    return g
+
+
+def picked(df: DataFrame, method: str, m: int, key: str = "vec_id", vector: str = "x", target: str | None = None, metric: str | None = None, seed: str = "42", cutoff: float = CUTOFF) -> DataFrame:
+    """(key): the rows that a method picks, m at most (OptiSim and dissimilarity selection may stop before)."""
+    _, rule, candidates = METHODS[method]
+    g = geometry_of(df, method, key, vector, target, metric)
+    y = target if method.startswith("spxy") else None
+    if rule == "optisim":
+        return selections.optisim(df, m, g, candidates, cutoff, seed, key, vector).select(key)
+    chosen = selections.kennard_stone(df, m, g, key, vector, y).select(key)
+    if rule == "kennard_stone":
+        return chosen
+    # Kennard-Stone, then a share of the rows chosen and as many left out change places, both in a random order.
+    n = df.count()
+    swaps = min(int(EXCHANGED * m), n - m)
+    rest = df.select(key).join(chosen, key, "left_anti")
+    stay = splits.shuffled_rank(chosen, key, seed).filter(F.col("rank") > swaps).select(key)
+    return stay.union(splits.shuffled_rank(rest, key, seed).filter(F.col("rank") <= swaps).select(key))
 
 
 def design_split(
-    df: DataFrame, method: str, frac: float, key: str = "vec_id", vector: str = "x", target: str | None = None, metric: str | None = None, seed: str = "42",
-    block_rows: int = BLOCK_ROWS,
+    df: DataFrame, method: str, frac: float, key: str = "vec_id", vector: str = "x", target: str | None = None, metric: str | None = None, seed: str = "42"
 ) -> DataFrame:
-    """df with `part`: the rows that the method picks, round(frac * n) of each block, are train
-    (OptiSim and dissimilarity selection may stop before), all others test. The SPXY methods
-    add the distances of features and of the target, each over its largest in the block."""
+    """df with `part`: the rows that the method picks, round(frac * n) of all (OptiSim and dissimilarity selection may
+    stop before), are train, all others test."""
     if method not in METHODS:
         raise ValueError(f"unknown design {method!r}; known: {', '.join(sorted(METHODS))}")
     if not 0 < frac < 1:
         raise ValueError("frac must lie between 0 and 1")
     if method.startswith("spxy") and target is None:
         raise ValueError(f"{method} needs a target")
-    own, pick = METHODS[method]
-    metric = metric or own
-    n = df.count()
-    blocks = max(1, -(-n // block_rows))
-    rows = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("x"), (F.col(target).cast("double") if target else F.lit(0.0)).alias("y"), seeded(seed, key).alias("h"))
-    whiten = None
-    if metric == "mahalanobis" and n > 1:
-        cov = distances.pooled_covariance(rows, rows.limit(0), "x")
-        whiten = np.linalg.pinv(np.linalg.cholesky(cov + np.eye(len(cov)) * 1e-9 * max(1.0, np.trace(cov)))).T
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k").reset_index(drop=True)
-        x = np.array(pdf["x"].tolist(), float)
-        x = x @ whiten if whiten is not None else x
-        d = distances.block_distances("euclidean" if metric == "mahalanobis" else metric, x, x)
-        if method.startswith("spxy"):
-            y = pdf["y"].to_numpy()
-            d = _scaled(d) + _scaled(np.abs(y[:, None] - y[None, :]))
-        train = np.zeros(len(pdf), bool)
-        train[pick(d, int(np.floor(frac * len(pdf) + 0.5)), pdf["h"].rank(method="first").to_numpy())] = True
-        return pd.DataFrame({"k": pdf["k"], "part": np.where(train, "train", "test")})
-
-    # Equal shares of the hash, so that no block is much larger than the others.
-    block = F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / 2.0**32 * blocks)
-    parts = rows.withColumn("b", block).groupBy("b").applyInPandas(choose, f"k {df.schema[key].dataType.simpleString()}, part string")
-    return df.join(parts.withColumnRenamed("k", key), key)
+    train = picked(df, method, int(np.floor(frac * df.count() + 0.5)), key, vector, target, metric, seed)
+    return df.join(train.withColumn("__t", F.lit("train")), key, "left").withColumn("part", F.coalesce("__t", F.lit("test"))).drop("__t")
 
 
 def clustered(df: DataFrame, algorithm: str, k: int = 10, key: str = "vec_id", vector: str = "x", seed: int = 42, cutoff: float = CUTOFF) -> DataFrame:
@@ -162,8 +96,10 @@ def clustered(df: DataFrame, algorithm: str, k: int = 10, key: str = "vec_id", v
     if name == "hac":
         return clustering.hac(df, k, key, vector)
     if name in ("butina", "sphere_exclusion"):
-        c = clustering.butina(df, clustering.neighbours(df, cutoff, key, vector, "jaccard"), key)
-        return df.join(c.withColumnRenamed("centroid", "cluster"), key)
+        near = clustering.neighbours(df, cutoff, key, vector, "jaccard")
+        if name == "butina":
+            return df.join(clustering.butina_reordered(df, near, key).select(key, "cluster"), key)
+        return df.join(clustering.butina(df, near, key).withColumnRenamed("centroid", "cluster"), key)
     raise ValueError(f"unknown algorithm {algorithm!r}; known: butina, hac, kmeans, kmedoids, sphere_exclusion, umap and umap- before any")
 
 

@@ -37,6 +37,23 @@ def butina_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.butina(f, clustering.neighbours(f, THRESHOLD))
 
 
+#: Wide enough for clusters of several rows.
+WIDE = 1.2
+
+
+@query(f"""WITH RECURSIVE {FEATURES}, c AS (SELECT a.vec_id, coalesce(list(b.vec_id) FILTER (b.vec_id IS NOT NULL), []) AS near
+  FROM feat a LEFT JOIN feat b ON a.vec_id <> b.vec_id AND list_distance(a.x, b.x) <= {WIDE} GROUP BY a.vec_id),
+g AS (SELECT 0 AS i, list(vec_id) AS free, NULL::BIGINT AS pick, []::BIGINT[] AS taken FROM feat UNION ALL
+  SELECT p.i + 1, list_filter(p.free, lambda v: v <> p.pick AND NOT list_contains(c.near, v)), p.pick, list_append(list_intersect(c.near, p.free), p.pick)
+  FROM (SELECT g.i, any_value(g.free) AS free, arg_min(c.vec_id, (-len(list_intersect(c.near, g.free)), c.vec_id)) AS pick
+    FROM g JOIN c ON list_contains(g.free, c.vec_id) GROUP BY g.i) p JOIN c ON c.vec_id = p.pick)
+SELECT unnest(taken) AS vec_id, pick AS centroid, i::BIGINT AS cluster FROM g WHERE i > 0""")
+def butina_reordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sphere clusters with counts that fall as rows are taken, numbered in the order of the rule."""
+    f = features(spark, sf_dir)
+    return clustering.butina_reordered(f, clustering.neighbours(f, WIDE))
+
+
 @query(f"""{_BUTINA}, z AS (SELECT *, count(*) OVER (PARTITION BY centroid) AS size FROM r),
 m AS (SELECT e.a AS vec_id, q.centroid, row_number() OVER (PARTITION BY e.a ORDER BY e.d, e.b) AS k FROM e JOIN z p ON p.vec_id = e.a AND p.size < 10 JOIN z q ON q.vec_id = e.b AND q.size >= 10)
 SELECT vec_id, coalesce(m.centroid, z.centroid) AS centroid FROM z LEFT JOIN m USING (vec_id) WHERE coalesce(k, 1) = 1""")
