@@ -116,6 +116,14 @@ def keep_ids(docs: DataFrame, ids: DataFrame, id_col: str, max_bytes: int = BROA
     return docs.join(small(ids, max_bytes=max_bytes), id_col, "left_semi").select(*docs.columns)
 
 
+def row_key(docs: DataFrame, id_col: str, scratch: Scratch) -> tuple[DataFrame, str]:
+    """docs and the name of a column that names its rows: id_col if no id is null or repeats, else `__row` of docs
+    saved with a number for each row. Decisions about rows are carried by it."""
+    if docs.groupBy(id_col).count().filter((F.col("count") > 1) | F.col(id_col).isNull()).isEmpty():
+        return docs, id_col
+    return scratch.save(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed"), "__row"
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered up to a fixed number of words."""
 

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, Scratch, drop_ids, small
+from .common import BROADCAST_BYTES, Scratch, drop_ids, row_key, small
 
 N = 5
 SHARE = 0.8
@@ -100,10 +100,12 @@ def contained_items(
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without the rows whose id contains an item; null ids stay."""
+    """docs without the rows that contain an item. Rows are judged each by itself, also where ids are null or
+    repeat; columns as given."""
     scratch = Scratch(docs.sparkSession, "decontaminated")
-    found = scratch.save(contained_items(docs, items, id_col, **options).select(id_col).dropna().distinct(), "found")
-    return drop_ids(docs, found, id_col)
+    rows, key = row_key(docs, id_col, scratch)
+    found = scratch.save(contained_items(rows, items, key, **options).select(key).distinct(), "found")
+    return drop_ids(rows, found, key).select(*docs.columns)
 
 
 def _sql_grams(table: str, key: str) -> str:

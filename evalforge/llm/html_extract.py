@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 _TAG = re.compile(
     r"<(?:!--.*?(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)(?:>|\Z)|[!?/][^>]*+(?:>|\Z))", re.S
 )
-_ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: Attributes one after the other, each with its value, so that no word of a value counts as an attribute.
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 _NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 # Fixed values of HTML and of common page vocabularies.
@@ -35,11 +36,11 @@ RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe",
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark",
-    "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+    "math", "mfrac", "mi", "mn", "mo", "mover", "mrow", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtext", "munder", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
 }
 NEVER = {
-    "head", "nav", "footer", "aside", "form", "menu", "button", "select", "input", "svg", "math", "canvas", "object", "embed", "audio", "video", "map",
-    "dialog", "fieldset", "option", "datalist", "address",
+    "head", "nav", "footer", "aside", "form", "menu", "button", "select", "input", "svg", "canvas", "object", "embed", "audio", "video", "map",
+    "dialog", "fieldset", "option", "datalist",
 }
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "tablist"}
 OUTSIDE = {
@@ -50,6 +51,14 @@ OUTSIDE = {
     "subscribe", "subscription", "signup", "signin", "login", "paywall", "search", "pagination", "pager", "toolbar", "copyright", "legal", "disclaimer",
     "hidden", "skip", "outbrain", "taboola", "tags", "taglist", "byline",
 }
+#: Words that say nothing of what an element holds.
+GENERIC = {
+    "area", "bar", "block", "bottom", "box", "button", "buttons", "card", "center", "col", "column", "container", "content", "div", "fixed", "global", "group", "head", "heading",
+    "holder", "id", "inner", "item", "items", "left", "link", "links", "list", "main", "message", "module", "outer", "page", "panel", "placeholder", "primary", "region", "right",
+    "row", "secondary", "section", "site", "slot", "sticky", "text", "thread", "title", "top", "unit", "wrap", "wrapper", "zone",
+}
+#: Words of OUTSIDE that articles are also about.
+AMBIGUOUS = {"alert", "banner", "header", "legal", "menu", "notice", "notices", "popular", "search", "skip", "social", "tags", "trending", "disclaimer", "copyright", "consent", "notification"}
 INSIDE = {"article", "body", "content", "entry", "main", "page", "post", "story", "text"}
 _CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -64,42 +73,50 @@ _RAW_END = {tag: re.compile(rf"</{tag}[\s/>]", re.I) for tag in RAW}
 class _Node:
     __slots__ = ("tag", "up", "block", "out", "doubt", "good", "score", "chars", "linked", "links", "prose", "place")
 
-    def __init__(self, tag: str, up: _Node | None, out: bool, doubt: bool, good: int, place: int):
+    def __init__(self, tag: str, up: _Node | None, out: bool, doubt: int, good: int, place: int):
         self.tag, self.up, self.out, self.doubt, self.good, self.place = tag, up, out, doubt, good, place
         self.block = up.block if up and tag in INLINE else self
         self.score = 0.0
         self.chars = self.linked = self.links = self.prose = 0
 
 
-def _named_outside(tag: str, value: str) -> bool:
-    """Does a class or id call its element something outside the article. Of a name of several
-    words all count, save for headings and paragraphs, where the name itself must be one word;
-    names that speak of other elements (has-sidebar, comments-open, overflow-hidden) do not."""
+#: What a name says of its element: nothing, perhaps outside, outside.
+CLEAR, WEAK, STRONG = 0, 1, 2
+
+
+def _named_outside(tag: str, value: str) -> int:
+    """Does a class or id call its element something outside the article. Of a name of several words all count, save for
+    headings and paragraphs, where the name itself must be one word; names that speak of
+    other elements (has-sidebar, comments-open, overflow-hidden) do not. A name is weak where another of its words
+    may be what the element is about (popular-science), or where the word is one that articles are about too."""
+    found = CLEAR
     for token in value.split():
         names = [x.lower() for x in _NAME.findall(token)]
         if tag in _TEXT and len(names) > 1 or names and (names[0] in ("has", "no", "with", "without") or names[-1] in ("open", "closed", "enabled") or names[0] == "overflow"):
             continue
-        if OUTSIDE.intersection(names) and (tag != "article" or not {"comment", "comments", "ad", "ads", "advert", "promo", "related"}.isdisjoint(names)):
-            return True
-    return False
+        called = OUTSIDE.intersection(names)
+        if called and (tag != "article" or not {"comment", "comments", "ad", "ads", "advert", "promo", "related"}.isdisjoint(names)):
+            other = [x for x in names if x not in OUTSIDE and x not in GENERIC and len(x) > 2]
+            found = max(found, WEAK if other or called <= AMBIGUOUS else STRONG)
+    return found
 
 
-def _judge(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool, int]:
-    """Is the element outside any article for sure; by its name; does its name speak for it."""
+def _judge(tag: str, attrs: str, in_article: bool) -> tuple[bool, int, int]:
+    """Is the element outside any article for sure; how surely by its name; does its name speak for it."""
     if tag in NEVER:
-        return True, False, 0
+        return True, CLEAR, 0
     if tag == "header":
-        return not in_article, False, 0
-    good, doubt = 0, False
+        return not in_article, CLEAR, 0
+    good, doubt = 0, CLEAR
     if attrs:
         for m in _ATTR.finditer(attrs):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-                return True, False, 0
+                return True, CLEAR, 0
             if key == "role" and value.lower() in ROLES:
-                return True, False, 0
+                return True, CLEAR, 0
             if key in ("class", "id") and tag not in ("html", "body", "main"):
-                doubt = doubt or _named_outside(tag, value)
+                doubt = max(doubt, _named_outside(tag, value))
                 good |= not INSIDE.isdisjoint(x.lower() for x in _NAME.findall(value))
             if key == "itemprop" and value.lower() == "articlebody":
                 good = 1
@@ -171,7 +188,7 @@ class _Open:
 def _parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
     """All nodes, parents first, and the blocks of text: (innermost block element, text,
     characters in links)."""
-    root = _Node("#", None, False, False, 0, 0)
+    root = _Node("#", None, False, CLEAR, 0, 0)
     nodes, blocks, open_ = [root], [], _Open(root)
     stack = open_.stack
     buffer: list[str] = []
@@ -222,7 +239,7 @@ def _parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
             flush()
             open_.make_room(tag)
         up = stack[-1]
-        out, doubt, good = (True, False, 0) if up.out else _judge(tag, attrs, open_.all["article"] + open_.all["main"] > 0)
+        out, doubt, good = (True, CLEAR, 0) if up.out else _judge(tag, attrs, open_.all["article"] + open_.all["main"] > 0)
         if attrs.endswith("/") and tag in ("svg", "path"):
             continue
         node = _Node(tag, up, out, doubt, good, len(blocks))
@@ -235,6 +252,10 @@ def _parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
 
 #: A page whose elements not in doubt hold less prose than this, and hardly any beside the others, is gutted.
 LEAST_PROSE = 140
+#: A weak name counts for nothing where its element has that much prose and at most this share of its text in links.
+MOST_LINKED = 0.3
+#: A list mostly of links is a menu unless a link has so many characters on average: then it is one of references.
+REFERENCE = 60
 
 
 def _settle(nodes: list[_Node], blocks: list[tuple[_Node, str, int]]) -> None:
@@ -252,6 +273,9 @@ def _settle(nodes: list[_Node], blocks: list[tuple[_Node, str, int]]) -> None:
             n.up.linked += n.linked
             n.up.links += n.links
             n.up.prose += n.prose
+    for n in nodes:
+        if n.doubt == WEAK and n.prose >= LEAST_PROSE and n.linked <= MOST_LINKED * n.chars:
+            n.doubt = CLEAR
     for n in nodes:
         if n.doubt or n.up and id(n.up) in under:
             under.add(id(n))
@@ -320,7 +344,7 @@ def main_text(page: str | None) -> str:
                 answer = verdict[id(n)]
                 break
             trail.append(id(n))
-            if n.tag in ("ul", "ol") and n.links > 1 and n.linked > 0.6 * max(1, n.chars):
+            if n.tag in ("ul", "ol") and n.links > 1 and n.linked > 0.6 * max(1, n.chars) and n.chars < REFERENCE * n.links:
                 break  # a menu
             if id(n) in also:
                 answer = True

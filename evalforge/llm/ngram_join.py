@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import M1, Scratch, WordHashes, drop_ids, keep_ids, mix, small
+from .common import M1, Scratch, WordHashes, drop_ids, keep_ids, mix, row_key, small
 from .graph import components
 
 #: A chance meeting of two sets costs about as much as so many signature rows.
@@ -419,11 +419,20 @@ def similar_groups(
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one document of each group: the one with the least id. Null ids stay."""
+    """docs with one row of each group: the one with the least id. Where ids are null or repeat, rows are linked
+    each by itself; a null id comes after all others, and one of rows that share the least id stays. Columns as given."""
     scratch = Scratch(docs.sparkSession, "one-per-group")
-    groups = scratch.save(similar_groups(docs, id_col, text_col, **options), "groups")
-    gone = groups.groupBy(id_col).agg(F.min(F.col("component_id")).alias("c")).filter(F.col("c") < F.col(id_col)).select(id_col)
-    return drop_ids(docs, gone, id_col)
+    rows, key = row_key(docs, id_col, scratch)
+    groups = scratch.save(similar_groups(rows, key, text_col, **options), "groups")
+    if key == id_col:
+        gone = groups.groupBy(key).agg(F.min(F.col("component_id")).alias("c")).filter(F.col("c") < F.col(key)).select(key)
+    else:
+        linked = groups.filter(F.col("component_id").isNotNull()).select(key, "component_id")
+        rank = F.struct(F.col(id_col).isNull().alias("unknown"), F.col(id_col).alias("id"), F.col(key).alias("row"))
+        ranked = scratch.save(linked.join(rows.select(key, id_col), key).select("component_id", rank.alias("r")), "ranked")
+        first = scratch.save(ranked.groupBy("component_id").agg(F.min("r").alias("first")), "first")
+        gone = ranked.join(small(first), "component_id").filter("r.row <> first.row").select(F.col("r.row").alias(key))
+    return drop_ids(rows, gone, key).select(*docs.columns)
 
 
 #: The contract of op5: word 3-grams, similarity 0.9. Quadratic in DuckDB, so it is for small tables.

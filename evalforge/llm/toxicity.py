@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M1, Scratch, drop_ids, mix, small
+from .common import M1, Scratch, drop_ids, mix, row_key, small
 
 ORDER, BACKOFF_ORDER = 6, 4
 #: Most n-grams whose ratios are sent to the tasks; the others are joined.
@@ -317,7 +317,8 @@ def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray
 
 
 def toxicity_scores(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_grams: int = MAX_GRAMS
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_grams: int = MAX_GRAMS,
+    key_col: str | None = None,
 ) -> DataFrame:
     """One row per row of docs: id_col, held_out, score (0 to 1), predicted (1 if score >= 0.5).
 
@@ -325,7 +326,8 @@ def toxicity_scores(
     learnt from. Null and empty texts get the score of a document without evidence. An id
     labelled twice counts as toxic if any label says so; null labels are none. Without
     labels of both classes the score is the share of toxic ones (0 if there are none).
-    Rows that repeat are scored alike; extra columns are ignored.
+    Rows that repeat are scored alike; extra columns are ignored. With key_col, a column that
+    names rows, the result is (key_col, score, predicted).
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
@@ -337,7 +339,8 @@ def toxicity_scores(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if not (by_class.get(0) and by_class.get(1)):
         base = float(by_class.get(1, 0) > 0)
-        return rows.select(F.col("id").alias(id_col), (rest == 0).alias("held_out"), F.lit(base).alias("score"), F.lit(int(base >= 0.5)).alias("predicted"))
+        found = [F.lit(base).alias("score"), F.lit(int(base >= 0.5)).alias("predicted")]
+        return docs.select(key_col, *found) if key_col else rows.select(F.col("id").alias(id_col), (rest == 0).alias("held_out"), *found)
 
     half = F.when(rest > 2, 1).otherwise(0)
     known = rows.join(small(lab), F.col("id") == F.col("lid"), "left")
@@ -378,18 +381,21 @@ def toxicity_scores(
     else:
         share = got["label"].map(lambda x: by_class[x] / max(1, (got["label"] == x).sum())).to_numpy()
         mean, scale, w = _curve(got[_FEATURES].to_numpy(), got["label"].to_numpy(float), share / share.mean())
-    out = _featured(rows.withColumn("label", F.lit(0)).withColumn("half", F.lit(0)), head, False, tail_words, scratch)
+    asked = docs.select(F.col(key_col or id_col).alias("id"), F.col(text_col).alias("text"))
+    out = _featured(asked.withColumn("label", F.lit(0)).withColumn("half", F.lit(0)), head, False, tail_words, scratch)
     z = F.lit(float(w[-1]))
     for k in range(len(_FEATURES)):
         z = z + (F.col(f"f{k}") - float(mean[k])) / float(scale[k]) * float(w[k])
-    return out.withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).select(
-        F.col("id").alias(id_col), (rest == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
-    )
+    score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+    held_out = [] if key_col else [(rest == 0).alias("held_out")]
+    return out.withColumn("score", score).select(F.col("id").alias(key_col or id_col), *held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without the rows predicted toxic; null ids stay."""
+    """docs without the rows predicted toxic, each judged by its own text, also where ids are null or repeat;
+    columns as given."""
     scratch = Scratch(docs.sparkSession, "keep-clean")
-    scores = toxicity_scores(docs, labels, id_col, **options)
-    bad = scratch.save(scores.filter("predicted = 1").select(id_col).dropna().distinct(), "toxic")
-    return drop_ids(docs, bad, id_col)
+    rows, key = row_key(docs, id_col, scratch)
+    scores = toxicity_scores(rows, labels, id_col, key_col=key, **options)
+    bad = scratch.save(scores.filter("predicted = 1").select(key), "toxic")
+    return drop_ids(rows, bad, key).select(*docs.columns)

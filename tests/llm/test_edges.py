@@ -23,6 +23,10 @@ def odd(spark, tmp_path_factory):
     rows = [(*r, 7, 1, "s", "h", 0.5, True) for r in corpus()]
     item = words(7, 60)[5:45]
     rows += [(900, " ".join(["before", *item, "after"]), None, None, None, "x", None, None, None, None, None, None, None, None)]
+    # Rows without an id and rows that share one: what holds for a row must not hold for the others.
+    rows += [(None, " ".join(["also", *item, "leaked"]), *[None] * 12), (900, " ".join(words(55, 40)), *[None] * 12)]
+    rows += [(None, " ".join([*words(177, 30), *["scummy"] * 4]), *[None] * 12), (None, " ".join(words(88, 80)), *[None] * 12), (None, " ".join(words(88, 80)[:79]), *[None] * 12)]
+    rows += [(1000, " ".join(words(99, 35)), *[None] * 12)]
     rows += [(None, None, None, None, None, None, None, None, None, None, None, None, None, None)] * 2
     bad = ["scummy", "idiotic", "trashy"]
     rows += [(1000 + i, " ".join(words(100 + i, 30) + ([bad[i % 3]] * 4 if i % 3 == 0 else [])), "en", "s0", 1, *["x"] * 3, 1, 1, "s", "h", 0.5, True) for i in range(120)]
@@ -32,13 +36,17 @@ def odd(spark, tmp_path_factory):
     spark.createDataFrame([(1, " ".join(item)), (2, None), (3, ""), (None, "nothing of the kind here at all")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     pages = [(1, "u", "<p>One, two, three and four words here.</p>"), (None, None, None), (1, "u", "<p>One, two, three and four words here.</p>"), (2, "", "")]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
+    turns = [(1, 0, "user", "Hi."), (1, 1, "assistant", None), (1, None, None, "x"), (None, None, None, None), (2, 0, "user", "Yes"), (2, 0, "user", "Yes")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    vectors = [(0, [1.0, 0.5]), (None, [1.0, 0.5]), (50, None), (3, [None, 1.0]), (50, [float("nan"), 0.0]), (7, [0.1, 0.2]), (7, [0.1, 0.2])]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{path}/embeddings.parquet")
     return str(path)
 
 
 @pytest.fixture(scope="module")
 def empty(spark, odd, tmp_path_factory):
     path = tmp_path_factory.mktemp("empty")
-    for t in ("documents", "labels", "benchmark", "pages"):
+    for t in ("documents", "labels", "benchmark", "pages", "conversations", "embeddings"):
         spark.read.parquet(f"{odd}/{t}.parquet").limit(0).write.parquet(f"{path}/{t}.parquet")
     return str(path)
 
@@ -61,8 +69,9 @@ def test_stages_on_odd_rows(spark, odd, empty, name):
     if name == "toxicity":
         gone = set(given) - set(got)
         bad = lambda g: "scummy" in g or "idiotic" in g or "trashy" in g
-        assert sum(map(bad, gone)) >= 36 and sum(not bad(g) for g in gone) <= 3, [g[:60] for g in gone if not bad(g)]  # of 40 and 108
+        assert sum(map(bad, gone)) >= 37 and sum(not bad(g) for g in gone) <= 3, [g[:60] for g in gone if not bad(g)]  # of 41 and 108
         assert len(got) == sum(g not in gone for g in given)  # repeated rows stay repeated
+        assert not any(g.startswith("(None,") and "scummy" in g for g in got) and any(g.startswith("(1000, 'w") for g in got)
         assert stage(spark, docs, empty).count() == len(given)  # without labels nothing goes
     elif name == "exact_dedup":
         best: dict[str, int | None] = {}
@@ -70,10 +79,11 @@ def test_stages_on_odd_rows(spark, odd, empty, name):
             best[t or ""] = max((x for x in (best.get(t or ""), i) if x is not None), default=None)
         assert sorted(str((r["doc_id"], r["text"] or "")) for r in out.collect()) == sorted(str((i, t)) for t, i in best.items())
     elif name == "decontamination":
-        assert set(given) - set(got) == {str((i, t)) for i, t in data if i is not None and holds(t)}
+        assert set(given) - set(got) == {str((i, t)) for i, t in data if holds(t)}
+        assert sum(g.startswith("(900,") for g in got) == sum(g.startswith("(900,") for g in given) - 1
         assert stage(spark, docs, empty).count() == len(given)
     elif name == "ngram_join":
-        assert sum(g.startswith("(None") for g in got) == sum(g.startswith("(None") for g in given)
+        assert got == sorted(str(x) for x in one_of_each(data))
     else:
         want = mixing.mix(docs).agg(F.sum("copies"), F.sum("taken")).first()
         assert len(got) == want[0] and sum(len(text_words(r["text"])) for r in out.collect()) == want[1]
@@ -85,6 +95,30 @@ def holds(text: str | None) -> bool:
     return 100 * len(g & grams(text)) >= 80 * len(g)
 
 
+def one_of_each(data: list[tuple]) -> list[tuple]:
+    """Rows that stay of groups linked by 0.8 of their word 5-grams: of each the least id, nulls last."""
+    sets = []
+    for _, t in data:
+        w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in text_words(t)]
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(data)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(data)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                root[find(a)] = find(b)
+    groups: dict[int, list[tuple]] = {}
+    for a, row in enumerate(data):
+        groups.setdefault(find(a), []).append(row)
+    return [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()]
+
+
 def test_run_is_its_stages_in_turn(spark, odd, empty):
     docs = spark.read.parquet(f"{odd}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:4]:
@@ -99,6 +133,9 @@ def test_run_is_its_stages_in_turn(spark, odd, empty):
 def test_queries_on_odd_and_empty_tables(spark, odd, empty, name):
     table = "pages" if name.startswith(("op1_", "op2_")) else "documents"
     got = queries.QUERIES[name](spark, odd)
-    if name != "op9_decontamination":
+    rows = {"op11_conversation_repair": 3, "op12_topk_join": 3, "op13_lexical_search": 20}
+    if name in rows:
+        assert 0 < got.count() <= rows[name]
+    elif name != "op9_decontamination":
         assert got.count() == spark.read.parquet(f"{odd}/{table}.parquet").count()
     assert queries.QUERIES[name](spark, empty).count() == 0
