@@ -67,6 +67,16 @@ def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.kmeans(features(spark, sf_dir), 10).select("vec_id", "cluster")
 
 
+@query()
+def linkage_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.hac(features(spark, sf_dir), 10, metric="euclidean").select("vec_id", "cluster")
+
+
+@query()
+def medoid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.kmedoids(features(spark, sf_dir), 5, metric="euclidean").select("vec_id", "cluster")
+
+
 @query()
 def maximin_design(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.maximin_design(features(spark, sf_dir), 50)

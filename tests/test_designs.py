@@ -137,8 +137,6 @@ def test_medoids_and_linkage(spark):
         for k, c in got.items():
             groups.setdefault(c, set()).add(k)
         assert set(groups) == {1, 2, 3} and sorted(map(sorted, groups.values())) == [[0, 1, 2], [3, 4, 5], [6, 7]]
-    d = np.array([[0, 1, 4, 5], [1, 0, 3, 6], [4, 3, 0, 2], [5, 6, 2, 0]], float)
-    assert clustering.average_linkage(d, 2).tolist() == [1, 1, 2, 2] and clustering.average_linkage(d, 1).tolist() == [1] * 4
     assert clustering.kmedoids(df.limit(0), 3).count() == 0
     members = clustering.cluster_members(clustering.hac(df, 3, metric="euclidean"), "cluster", "vec_id")
     assert [tuple(r) for r in members.filter("cluster = 1").orderBy("place").collect()] == [(1, 1, 0), (1, 2, 1), (1, 3, 2)]
