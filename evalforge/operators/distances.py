@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalforge.operators.task_sums import task_sums
 from evalforge.sources.scratch import materialise
 
 #: Most query rows that are sent to the tasks at once.
@@ -27,9 +28,11 @@ _CUBE = 4_000_000
 def block_distances(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     if metric in ("euclidean", "sqeuclidean"):
         d = np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T, 0)
-        exact = np.argwhere(d < 1e-9)
-        for i, j in exact:
-            d[i, j] = ((q[i] - x[j]) ** 2).sum()
+        i, j = np.nonzero(d < 1e-9)
+        step = max(1, _CUBE // max(1, q.shape[1]))
+        for at in range(0, len(i), step):
+            a, b = i[at : at + step], j[at : at + step]
+            d[a, b] = ((q[a] - x[b]) ** 2).sum(1)
         return np.sqrt(d) if metric == "euclidean" else d
     if metric == "cosine":
         n = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
@@ -113,19 +116,12 @@ def scatter(df: DataFrame, vector: str, center: np.ndarray) -> tuple[np.ndarray,
     """Sum of outer products of centred rows and their number: each task sums its own."""
     p = len(center)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, n = np.zeros((p, p)), 0
-        for b in batches:
-            if len(b):
-                x = np.array(b[vector].tolist(), float) - center
-                total += x.T @ x
-                n += len(b)
-        yield pd.DataFrame({"s": [total.ravel().tolist()], "n": [n]})
-
-    parts = df.select(vector).mapInPandas(run, "s array<double>, n long")
-    sums = parts.select("n", F.posexplode("s").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
-    got = sums.orderBy("pos").collect()  # p * p rows
-    return np.array([r["v"] for r in got]).reshape(p, p), int(got[0]["n"]) if got else 0
+    def made(b: pd.DataFrame) -> np.ndarray:
+        x = np.array(b[vector].tolist(), float) - center
+        return np.append((x.T @ x).ravel(), len(b))
+
+    s = task_sums(df.select(vector), made, p * p + 1)
+    return s[:-1].reshape(p, p), int(s[-1])
 
 
 def pooled_covariance(a: DataFrame, b: DataFrame, vector: str) -> np.ndarray:

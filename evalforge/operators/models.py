@@ -13,12 +13,11 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalforge.operators import tpe
+from evalforge.operators import svr, tpe
 from evalforge.operators.tpe import Dimension
 from evalforge.sources.scratch import materialise
 
-#: Learners by name: parameters and seed to an estimator. Support vector regression has no
-#: Spark learner and is left out.
+#: Learners by name: parameters and seed to an estimator. Support vector regression (svr) is this package's own.
 LEARNERS = {
     "gbt": lambda seed, maxIter=20, maxDepth=4, stepSize=0.1: GBTRegressor(maxIter=maxIter, maxDepth=maxDepth, stepSize=stepSize, seed=seed),
     "forest": lambda seed, numTrees=30, maxDepth=6: RandomForestRegressor(numTrees=numTrees, maxDepth=maxDepth, seed=seed),
@@ -29,6 +28,7 @@ DIMENSIONS: dict[str, dict[str, Dimension]] = {
     "gbt": {"maxIter": Dimension("integer", 10, 60), "maxDepth": Dimension("integer", 2, 8), "stepSize": Dimension("log", 0.02, 0.3)},
     "forest": {"numTrees": Dimension("integer", 10, 80), "maxDepth": Dimension("integer", 3, 12)},
     "elasticnet": {"regParam": Dimension("log", 1e-4, 10.0), "elasticNetParam": Dimension("uniform", 0.0, 1.0)},
+    "svr": {"cost": Dimension("log", 0.01, 100.0), "epsilon": Dimension("log", 0.01, 1.0), "gamma": Dimension("log", 1e-4, 1.0)},
 }
 #: The grid that searches are compared with, in the order of a fixed shuffle.
 SPACES: dict[str, dict[str, Sequence]] = {
@@ -40,8 +40,10 @@ SPACES: dict[str, dict[str, Sequence]] = {
 
 def fit_predict(train: DataFrame, rows: DataFrame, learner: str, target: str = "y", vector: str = "x", seed: int = 42, **params) -> DataFrame:
     """rows with y_pred of the learner fitted on train."""
+    if learner == "svr":
+        return svr.predict(svr.fit(train, target, vector, seed=seed, **params), rows, vector)
     if learner not in LEARNERS:
-        raise ValueError(f"unknown learner {learner!r}; known: {', '.join(LEARNERS)}")
+        raise ValueError(f"unknown learner {learner!r}; known: svr, {', '.join(LEARNERS)}")
     v = lambda df: df.withColumn("__v", array_to_vector(vector))
     model = LEARNERS[learner](seed, **params).setFeaturesCol("__v").setLabelCol(target).setPredictionCol("y_pred").fit(v(train))
     return model.transform(v(rows)).drop("__v")

@@ -129,6 +129,16 @@ def champion_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.createDataFrame(rows, "learner string, trials int, cv_rms double, round_eliminated int, is_champion boolean, held_out_rms double"))
 
 
+@query()
+def support_vector_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out error of support vector regression beside that of the mean of the rows it was fitted on."""
+    r = _regression(spark, sf_dir)
+    p = models.fit_predict(r.filter("fold > 1"), r.filter("fold = 1"), "svr", cost=0.5, epsilon=0.2, gamma=0.005)
+    mean = r.filter("fold > 1").agg(F.avg("y").alias("m"))
+    rms = lambda c: F.sqrt(F.avg(F.pow(c - F.col("y"), 2)))
+    return rounded(p.crossJoin(F.broadcast(mean)).agg(F.count("*").alias("n"), rms(F.col("y_pred")).alias("rms"), rms(F.col("m")).alias("rms_of_mean")))  # one mean
+
+
 @query()
 def seeded_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors of two runs of a forest on held-out rows and on the rows it was fitted on."""
