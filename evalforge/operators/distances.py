@@ -12,9 +12,10 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalforge.operators.splits import range_rank
 from evalforge.operators.task_sums import task_sums
 from evalforge.sources.scratch import materialise
 
@@ -313,11 +314,72 @@ def bit_split_metrics(bits: DataFrame, side: str, key: str, bit: str = "bit") ->
     return f.crossJoin(F.broadcast(near))  # one row each
 
 
+#: Similarities that are asked for one after the other; what is below the last is searched by each query's own bound.
+TANIMOTO_ROUNDS = (0.7, 0.4, 0.2)
+#: Rows that every query is compared with first, for a bound.
+TANIMOTO_SAMPLE = 128
+
+
+def bit_sets(bits: DataFrame, ranks: DataFrame, key: str, bit: str) -> DataFrame:
+    """(key, n, r): sets as arrays of their bits' ranks, rarest first."""
+    b = bits.select(key, bit).distinct().join(ranks, bit)
+    return b.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("n"), F.sort_array(F.collect_list("rank")).alias("r"))
+
+
+def tanimoto_candidates(queries: DataFrame, sets: DataFrame, least: Column, floor: float) -> DataFrame:
+    """(query, k) that may reach the similarity `least` of a query's row (n, r, best), which is at least floor: a pair that
+    shares two bits or more, and as many as the similarity asks for, shares one of the first bits of both in order of
+    rarity, and neither set is much larger than the other. The commonest bits come last and are not looked up."""
+    need = lambda t, n: F.greatest(F.lit(2), F.ceil(t * n - 1e-9)).cast("int")
+    first = lambda n, must: F.slice("r", F.lit(1), F.greatest(F.lit(0), n - must + 1))
+    q = queries.select("query", F.col("n").alias("nq"), least.alias("least"), F.explode(first(F.col("n"), need(least, F.col("n")))).alias("bit"))
+    s = sets.select("k", "n", F.explode(first(F.col("n"), need(F.lit(floor), F.col("n")))).alias("bit"))
+    fits = (F.col("n") >= F.col("least") * F.col("nq") - 1e-9) & (F.col("nq") >= F.col("least") * F.col("n") - 1e-9)
+    return q.join(s, "bit").filter(fits & (F.col("k") != F.col("query"))).select("query", "k").distinct()
+
+
 def nn_tanimoto(query_bits: DataFrame, bits: DataFrame, key: str, bit: str = "bit") -> DataFrame:
-    """(query, similarity): the largest Tanimoto similarity of each query's set of bits to
-    another row's. Sets are (key, bit) rows; only rows that share a bit with a query meet."""
-    size = lambda df: df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    q = query_bits.join(size(query_bits), key).select(F.col(key).alias("query"), bit, F.col("n").alias("nq"))
-    shared = bits.join(q, bit).filter(F.col(key) != F.col("query")).groupBy("query", key, "nq").agg(F.count(F.lit(1)).alias("both"))
-    s = shared.join(size(bits), key).groupBy("query").agg(F.max(F.col("both") / (F.col("nq") + F.col("n") - F.col("both"))).alias("similarity"))
-    return q.select("query").distinct().join(s, "query", "left").select("query", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+    """(query, similarity): the largest Tanimoto similarity of each query's set of bits to another row's; 0 if
+    none shares a bit. Sets are (key, bit) rows.
+
+    A pair that shares one bit has a similarity that follows from the sizes, so the smallest other sets of each bit
+    give a bound that is right for such pairs; a few rows that all queries are compared with give another. Pairs that share
+    more are searched by falling similarity through an index of each set's rarest bits, verified
+    exactly, and a query that has found one is not asked again.
+    """
+    own = materialise(bits.select(key, bit).distinct())
+    asked = materialise(query_bits.select(key, bit).distinct())
+    counts = own.groupBy(bit).agg(F.count(F.lit(1)).alias("c"))
+    ranks = materialise(range_rank(counts, F.asc("c"), F.asc(bit)).select(bit, F.col("rank").cast("long").alias("rank")))
+    sets = materialise(bit_sets(own, ranks, key, bit).withColumnRenamed(key, "k"))
+    extra = asked.join(ranks, bit, "left_anti").groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("more"))
+    held = bit_sets(asked, ranks, key, bit)
+    q = asked.select(key).distinct().join(held, key, "left").join(extra, key, "left")
+    # Bits that no row has count for the size only.
+    q = materialise(q.select(F.col(key).alias("query"), (F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n"), F.coalesce("r", F.array().cast("array<long>")).alias("r")))
+    # The two smallest sets of each bit: one of them is not the query's own.
+    least = sets.select(F.explode("r").alias("rank"), F.struct("n", "k").alias("s"))
+    least = least.withColumn("i", F.row_number().over(Window.partitionBy("rank").orderBy("s"))).filter("i <= 2").groupBy("rank").agg(F.sort_array(F.collect_list("s")).alias("ss"))
+    one = q.select("query", "n", F.explode("r").alias("rank")).join(least, "rank")
+    other = F.filter("ss", lambda s: s["k"] != F.col("query"))
+    one = one.withColumn("o", other).filter(F.size("o") > 0).groupBy("query").agg(F.max(1 / (F.col("n") + F.col("o")[0]["n"] - 1)).alias("bound"))
+    some = sets.orderBy(F.xxhash64("k"), "k").limit(TANIMOTO_SAMPLE).select(F.col("k").alias("sk"), F.col("r").alias("sr"))
+    shared = lambda a, b: F.size(F.array_intersect(a, b))
+    tanimoto = lambda both, a, b: both / (a + b - both)
+    # TANIMOTO_SAMPLE rows at most are sent to the queries.
+    drawn = q.join(F.broadcast(some.agg(F.collect_list(F.struct("sk", "sr")).alias("ss"))))
+    sims = F.transform(F.filter("ss", lambda s: s["sk"] != F.col("query")), lambda s: tanimoto(shared(F.col("r"), s["sr"]), F.col("n"), F.size(s["sr"])))
+    drawn = drawn.select("query", F.coalesce(F.array_max(sims), F.lit(0.0)).alias("seen"))
+    q = materialise(q.join(one, "query", "left").join(drawn, "query", "left").select("query", "n", "r", F.greatest(F.coalesce("bound", F.lit(0.0)), F.coalesce("seen", F.lit(0.0))).alias("best")))
+    # What lies at or above `searched` is known; below it a query asks for more than its best.
+    searched = 2.0
+    for t in (*TANIMOTO_ROUNDS, 0.0):
+        open_, searched = q.filter(F.col("best") < searched), t
+        if open_.isEmpty():
+            continue
+        floor = t or (open_.agg(F.min("best")).first()[0] or 0.0)
+        pairs = tanimoto_candidates(open_, sets, F.greatest(F.lit(t), "best"), floor)
+        met = pairs.join(open_.select("query", F.col("n").alias("nq"), F.col("r").alias("rq")), "query").join(sets, "k")
+        met = met.select("query", tanimoto(shared("rq", "r"), F.col("nq"), F.col("n")).alias("s")).groupBy("query").agg(F.max("s").alias("s"))
+        q = materialise(q.join(met, "query", "left").select("query", "n", "r", F.greatest("best", F.coalesce("s", F.lit(0.0))).alias("best")))
+    return q.select("query", F.col("best").alias("similarity"))

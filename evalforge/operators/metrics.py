@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalforge.functions.columns import NAN, correlation, tied_rank
+from evalforge.sources.scratch import materialise
 
 Y, P = F.col, "y_pred"
 
@@ -136,31 +138,98 @@ def _inversions(values: np.ndarray) -> int:
     return total
 
 
-def kendall(pred: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Kendall's tau-b by keys in O(n log n). A group is one fold's predictions of a model and
-    is counted in one task; its predictions must fit into that task's memory."""
+#: Rows of a group that one task counts.
+RANGE_ROWS = 200_000
+#: Ranges of a group at most.
+MAX_RANGES = 1000
 
-    def pairs(counts: np.ndarray) -> float:
-        return float((counts * (counts - 1) // 2).sum())
+
+def _pairs(counts: np.ndarray) -> float:
+    return float((counts * (counts - 1) // 2).sum())
+
+
+def _tau(n: int, tx: float, ty: float, txy: float, swaps: float) -> float:
+    """Tau-b from the pairs that are tied in either value and in both, and those out of order."""
+    all_ = n * (n - 1) / 2
+    below = math.sqrt((all_ - tx) * (all_ - ty))
+    return (all_ - tx - ty + txy - 2 * swaps) / below if below else NAN
+
+
+def kendall(pred: DataFrame, keys: Sequence[str], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Kendall's tau-b by keys, of groups of any size: those of at most range_rows rows are counted in
+    a task each, larger ones in ranges of both values."""
+    base = pred.select(*keys, F.col("y_true").alias("x"), F.col("y_pred").alias("y"))
+    big = materialise(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > range_rows))
 
     def tau(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf["y_true"].to_numpy(), pdf["y_pred"].to_numpy()
+        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
         n, out = len(x), NAN
         if n > 1:
-            order = np.lexsort((y, x))
-            swaps = _inversions(y[order])
-            tx, ty = pairs(np.unique(x, return_counts=True)[1]), pairs(np.unique(y, return_counts=True)[1])
-            txy = pairs(np.unique(np.column_stack([x, y]), axis=0, return_counts=True)[1])
-            all_ = n * (n - 1) / 2
-            below = math.sqrt((all_ - tx) * (all_ - ty))
-            out = (all_ - tx - ty + txy - 2 * swaps) / below if below else NAN
+            tx, ty = (_pairs(np.unique(v, return_counts=True)[1]) for v in (x, y))
+            txy = _pairs(np.unique(np.column_stack([x, y]), axis=0, return_counts=True)[1])
+            out = _tau(n, tx, ty, txy, _inversions(y[np.lexsort((y, x))]))
         return pdf.iloc[:1][list(keys)].assign(n=n, kendall=out)
 
     kinds = ", ".join(f"`{k}` {pred.schema[k].dataType.simpleString()}" for k in keys)
-    out = pred.select(*keys, "y_true", "y_pred").groupBy(*keys).applyInPandas(tau, f"{kinds}, n long, kendall double")
+    if big.isEmpty():
+        out = base.groupBy(*keys).applyInPandas(tau, f"{kinds}, n long, kendall double")
+    else:
+        named = big.select(*[F.col(k).alias(f"__{k}") for k in keys], F.lit(True).alias("__big"))
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+        small = base.join(named, same, "left_anti").groupBy(*keys).applyInPandas(tau, f"{kinds}, n long, kendall double")
+        out = small.union(_kendall_of_ranges(base.join(named, same, "left_semi"), big, keys, range_rows))
     return out.withColumn("kendall", F.coalesce("kendall", F.lit(NAN)))
 
 
+def _kendall_of_ranges(rows: DataFrame, sizes: DataFrame, keys: Sequence[str], range_rows: int) -> DataFrame:
+    """(keys, n, kendall) of large groups. Both values are cut at quantiles; a value at a cut is a range of its
+    own, in which nothing is out of order. Pairs out of order are those of one range of x, those of
+    one range of y but two of x, and those of two ranges of either, which follow from the ranges' counts."""
+    ranges = min(MAX_RANGES, -(-sizes.agg(F.max("n")).first()[0] // range_rows))
+    cuts = [i / ranges for i in range(1, ranges)]
+    edges = rows.groupBy(*keys).agg(*[F.array_distinct(F.percentile_approx(c, cuts, 20 * ranges)).alias(f"__{c}") for c in "xy"])
+    named = materialise(edges.select(*[F.col(k).alias(f"__{k}") for k in keys], *[F.col(f"__{c}").alias(f"__edges_{c}") for c in "xy"]))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    place = lambda c: (2 * F.size(F.filter(f"__edges_{c}", lambda e: e < F.col(c))) + F.array_contains(f"__edges_{c}", F.col(c)).cast("int")).cast("int")
+    dealt = materialise(rows.join(named, same).select(*keys, "x", "y", place("x").alias("bx"), place("y").alias("by")))
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def swaps(x: np.ndarray, y: np.ndarray) -> int:
+        return _inversions(y[np.lexsort((y, x))])
+
+    def of_x(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.iloc[:1][list(keys)].assign(swaps=float(swaps(pdf["x"].to_numpy(), pdf["y"].to_numpy())))
+
+    def of_y(pdf: pd.DataFrame) -> pd.DataFrame:
+        inside = sum(swaps(p["x"].to_numpy(), p["y"].to_numpy()) for _, p in pdf.groupby("bx"))
+        return pdf.iloc[:1][list(keys)].assign(swaps=float(swaps(pdf["x"].to_numpy(), pdf["y"].to_numpy()) - inside))
+
+    def between(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = np.zeros((pdf["bx"].max() + 2, pdf["by"].max() + 2))
+        c[pdf["bx"], pdf["by"]] = pdf["n"]
+        # after[i, j]: rows in ranges of x beyond i and of y before j.
+        after = c[::-1].cumsum(0)[::-1]
+        after = np.vstack([after[1:], np.zeros(c.shape[1])])
+        after = np.column_stack([np.zeros(len(c)), after.cumsum(1)[:, :-1]])
+        return pdf.iloc[:1][list(keys)].assign(swaps=float((c * after).sum()))
+
+    spec = f"{kinds}, swaps double"
+    cells = dealt.groupBy(*keys, "bx", "by").agg(F.count(F.lit(1)).alias("n"))  # 4 * MAX_RANGES ^ 2 a group at most
+    found = dealt.filter("bx % 2 = 0").groupBy(*keys, "bx").applyInPandas(of_x, spec)
+    found = found.union(dealt.filter("by % 2 = 0").groupBy(*keys, "by").applyInPandas(of_y, spec)).union(cells.groupBy(*keys).applyInPandas(between, spec))
+    parts = [found.groupBy(*keys).agg(F.sum("swaps").alias("swaps"))]
+    for name, by in (("tx", ["x"]), ("ty", ["y"]), ("txy", ["x", "y"])):
+        c = dealt.groupBy(*keys, *by).agg(F.count(F.lit(1)).cast("double").alias("c"))
+        parts.append(c.groupBy(*keys).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias(name)))
+    out = sizes
+    for p in parts:
+        p = p.select(*[F.col(k).alias(f"__{k}") for k in keys], p.columns[-1])
+        out = out.join(p, same).drop(*[f"__{k}" for k in keys])
+    all_ = F.col("n").cast("double") * (F.col("n") - 1) / 2
+    below = F.sqrt((all_ - F.col("tx")) * (all_ - F.col("ty")))
+    return out.select(*keys, "n", F.when(below > 0, (all_ - F.col("tx") - F.col("ty") + F.col("txy") - 2 * F.col("swaps")) / below).alias("kendall"))
+
+
 def fold_report(pred: DataFrame, keys: Sequence[str], ties: Sequence[str], shares: Sequence[float] = (0.05, 0.1, 0.2)) -> DataFrame:
     """All metrics of a fold as one row by keys: those of fold_metrics, Kendall's tau-b, the
     enrichment of the top shares and BEDROC; all NaN but n below 2 rows."""
