@@ -38,6 +38,7 @@ from math import ceil, comb, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,16 +55,16 @@ KINDS = [(1, 0), *((h, k) for h in range(7) for k in range(1, 5) if comb(h + k,
 HOT_SETS, HOT_SIGNATURES = 16, 200_000
 
 
-def pieces(values: list, limit: int = 1 << 20) -> Iterator[tuple[int, list]]:
-    """Runs of the values with their starts, of about `limit` bytes each."""
-    start = total = 0
-    for i, v in enumerate(values):
-        total += len(v or b"")
-        if total >= limit:
-            yield start, values[start : i + 1]
-            start, total = i + 1, 0
-    if start < len(values):
-        yield start, values[start:]
+def pieces(batch: pa.RecordBatch, limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes | None]]]:
+    """Runs of the batch's texts with their starts, of about `limit` bytes each: no more are Python objects at once."""
+    texts = batch.column("text").cast(pa.binary())
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        done = int(ends[start - 1]) if start else 0
+        stop = min(len(texts), int(np.searchsorted(ends, done + limit)) + 1)
+        yield start, texts.slice(start, stop - start).to_pylist()
+        start = stop
 
 
 def shingle_sets(texts: list[bytes | None], n: int, cache: WordHashes, seed: int = 0) -> list[np.ndarray]:
@@ -205,10 +206,6 @@ def _set_id(elements: np.ndarray) -> tuple[int, int]:
     return int(a.sum(dtype=np.uint64).astype(np.int64)), int(mix(a ^ M1).sum(dtype=np.uint64).astype(np.int64))
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
-    return batch.column("text").cast(pa.binary()).to_pylist()
-
-
 def _compared(pairs: DataFrame, texts: DataFrame, n: int, per_cent: int) -> DataFrame:
     """The pairs (u, v), with the sizes su and sv of their sets, the number d of elements in
     which they differ, whether they link, and the first of these elements: those that v
@@ -271,7 +268,7 @@ def similar_groups(
             for b in batches:
                 pa.default_memory_pool().release_unused()
                 size, one, two = [], [], []
-                for _, part in pieces(_texts(b)):
+                for _, part in pieces(b):
                     for s in shingle_sets(part, n, cache):
                         size.append(len(s))
                         x, y = _set_id(s ^ np.uint64(seed)) if len(s) else (None, None)
@@ -306,7 +303,7 @@ def similar_groups(
         cache, hot = WordHashes(), np.zeros(0, np.uint64)
         for b in batches:
             pa.default_memory_pool().release_unused()
-            for _, part in pieces(_texts(b)):
+            for _, part in pieces(b):
                 found, seen = [], set()
                 for s in shingle_sets(part, n, cache):
                     if len(s) and (name := _set_id(s ^ np.uint64(seed))[0]) not in seen:
@@ -333,7 +330,7 @@ def similar_groups(
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for b in batches:
-            for at, part in pieces(_texts(b)):
+            for at, part in pieces(b):
                 ids = [_set_id(s ^ np.uint64(seed))[0] if len(s) else None for s in shingle_sets(part, n, cache)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), b.column("text").slice(at, len(part))], ["set", "text"])
 

@@ -45,6 +45,9 @@ CURVE_ROWS = 10_000
 #: Counts by class and half of the labelled rows.
 COUNTS = ("t0", "t1", "o0", "o1")
 _WORDS_AT_ONCE = 20_000
+#: Rows whose texts a task turns into Python strings at once, and words that it remembers.
+_ROWS_AT_ONCE = 128
+_REMEMBERED = 60_000
 #: Ratios of an n-gram or word: by both halves of the labelled rows, by the first, by the second.
 RATIOS = {"r": (0, 1), "r0": (0,), "r1": (1,)}
 
@@ -79,6 +82,13 @@ def _grams(words: list[str]) -> dict[str, np.ndarray]:
     return out
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of a few rows, so that few texts are Python strings at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, _ROWS_AT_ONCE):
+            yield b.slice(i, _ROWS_AT_ONCE)
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of each class and half, and all documents, that hold a word, summed within the task."""
     seen: dict[str, list[int]] = {}
@@ -89,7 +99,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen.clear()
         return out
 
-    for b in batches:
+    for b in _slices(batches):
         for text, slot in zip(b.column("text").to_pylist(), b.column("slot").to_pylist(), strict=True):
             for w in set(_words(text)):
                 if (c := seen.get(w)) is None:
@@ -97,7 +107,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 c[4] += 1
                 if slot is not None:
                     c[slot] += 1
-            if len(seen) > 100_000:
+            if len(seen) > _REMEMBERED:
                 yield flush()
     yield flush()
 
@@ -208,7 +218,7 @@ class Ratios(dict):
         self.head, self.column = head, column
 
     def learn(self, texts: list[list[str]]) -> None:
-        if len(self) > 150_000:
+        if len(self) > _REMEMBERED:
             self.clear()
         new = list(set().union(*texts).difference(self))
         for i in range(0, len(new), _WORDS_AT_ONCE):
@@ -229,10 +239,9 @@ def _summed(rows: DataFrame, head, by_half: bool, finish: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [Ratios(head.value, c) for c in _COLUMNS]
         for b in batches:
-            texts, halves = b.column("text").to_pylist(), b.column("half").to_pylist()
             out, missing = [], []
-            for i in range(0, len(texts), 256):
-                part, which = list(map(_words, texts[i : i + 256])), [h if by_half else 2 for h in halves[i : i + 256]]
+            for piece in _slices(iter([b])):
+                part, which = list(map(_words, piece.column("text").to_pylist())), [h if by_half else 2 for h in piece.column("half").to_pylist()]
                 for k in set(which):
                     known[k].learn([t for t, h in zip(part, which, strict=True) if h == k])
                 for t, h in zip(part, which, strict=True):
