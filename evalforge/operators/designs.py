@@ -80,11 +80,11 @@ def design_split(
 
 
 def clustered(df: DataFrame, algorithm: str, k: int = 10, key: str = "vec_id", vector: str = "x", seed: int = 42, cutoff: float = CUTOFF) -> DataFrame:
-    """df with `cluster`, by the name of the algorithm. The prefix umap stands for a projection
-    to two principal components (no UMAP is at hand); umap alone is followed by k-means."""
+    """df with `cluster`, by the name of the algorithm. The prefix pca stands for a projection to two principal
+    components before it; pca alone is followed by k-means."""
     name = algorithm
-    if name.startswith("umap"):
-        name = name.removeprefix("umap").lstrip("-") or "kmeans"
+    if name.startswith("pca"):
+        name = name.removeprefix("pca").lstrip("-") or "kmeans"
         v = df.withColumn("__v", array_to_vector(F.col(vector).cast("array<double>")))
         v = PCA(k=2, inputCol="__v", outputCol="__p").fit(v).transform(v)
         low = clustered(v.select(key, vector_to_array("__p").alias("x")), name, k, key, "x", seed, cutoff).select(key, "cluster")
@@ -100,7 +100,7 @@ def clustered(df: DataFrame, algorithm: str, k: int = 10, key: str = "vec_id", v
         if name == "butina":
             return df.join(clustering.butina_reordered(df, near, key).select(key, "cluster"), key)
         return df.join(clustering.butina(df, near, key).withColumnRenamed("centroid", "cluster"), key)
-    raise ValueError(f"unknown algorithm {algorithm!r}; known: butina, hac, kmeans, kmedoids, sphere_exclusion, umap and umap- before any")
+    raise ValueError(f"unknown algorithm {algorithm!r}; known: butina, hac, kmeans, kmedoids, pca, sphere_exclusion and pca- before any")
 
 
 def cluster_splitter(df: DataFrame, mode: str, frac: float, key: str = "vec_id", cluster: str = "cluster", seed: str = "42") -> DataFrame:
@@ -134,7 +134,7 @@ REGISTRY = {
     **{m: _by_design(m) for m in METHODS},
     **{f"{a}_{m}": _by_clusters(a, m) for a in ("kmeans", "kmedoids", "hac") for m in ("stratified", "shuffle")},
     "butina": _by_clusters("butina", "shuffle", 0.2),
-    "umap": _by_clusters("umap", "shuffle"),
+    "pca": _by_clusters("pca", "shuffle"),
 }
 
 
