@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalforge.operators import metrics, selection
+from evalforge.operators import distances, metrics, selection
 
 FOLD = ("dataset", "splitter", "rep", "fold")
 
@@ -34,6 +34,26 @@ def ad_summary(pred: DataFrame, ties: Sequence[str], distance: str = "nn_dist_to
     return out
 
 
+def normalised(pred: DataFrame, sample: str = "sample_id", keys: Sequence[str] = ()) -> DataFrame:
+    """One row a sample and model: as they are if a column says which is the champion (one model a fold was chosen), else
+    the means over runs, every model counting as its own champion."""
+    by = [*keys, sample, "model"]
+    truth, guess = F.min("y_true").alias("y_true"), F.avg("y_pred").alias("y_pred")
+    if "is_champion" in pred.columns:
+        return pred.groupBy(*by, "is_champion").agg(truth, guess)
+    return pred.groupBy(*by).agg(truth, guess).withColumn("is_champion", F.lit(True))
+
+
+def annotated(pred: DataFrame, train: DataFrame, asked: DataFrame, sample: str = "sample_id", keys: Sequence[str] = (), k: int = 5, z: float = 1.5, key: str = "vec_id", vector: str = "x") -> DataFrame:
+    """Predictions, normalised, with ad_score and in_domain (mean cosine distance to the k nearest training rows
+    against the training rows' own) and nn_dist_to_train (the least distance to one) of their sample's row of
+    `asked`. Predictions of samples without a row keep nulls."""
+    domain = distances.knn_domain(train, asked, k, z, "cosine", key, vector).withColumnRenamed("score", "ad_score")
+    near = distances.nn_distance(asked, train, "euclidean", key, vector).select(F.col("query").alias(key), F.col("d").alias("nn_dist_to_train"))
+    known = domain.join(near, key).withColumnRenamed(key, sample)
+    return normalised(pred, sample, keys).join(known, sample, "left")
+
+
 def champion_summary(pred: DataFrame, meta: DataFrame) -> dict[str, DataFrame]:
     """Of predictions with model and is_champion, and what is known of the models (dataset,
     splitter, rep, fold, model, is_champion, cv_rms): the champions, how much better the champion

@@ -7,6 +7,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -190,6 +191,50 @@ def tukey_hsd(df: DataFrame, group: str, value: str, alpha: float = 0.05) -> Dat
     return df.sparkSession.createDataFrame(out, "group1 string, group2 string, difference double, low double, high double, p_value double, p_corrected double")
 
 
+def tukey_by(df: DataFrame, by: Sequence[str], group: str, value: str, alpha: float = 0.05, intervals: bool = True) -> DataFrame:
+    """Tukey's comparisons of all pairs of groups, for each of the keys `by` (such as a metric): (by, group1, group2, difference,
+    statistic, low, high, p_corrected). Values that are null or no number are left out, and so are keys with fewer
+    than two groups or no repeated value. Without `intervals` the last three are left out. One pass of sums; pairs are of
+    groups, not of rows."""
+    v = F.when(~F.isnan(value), F.col(value))
+    g = df.groupBy(*by, group).agg(F.count(v).alias("n"), F.avg(v).alias("m"), F.coalesce(F.var_samp(v), F.lit(0.0)).alias("v")).filter("n > 0")
+    w = Window.partitionBy(*by)
+    g = g.withColumns({"k": F.count(F.lit(1)).over(w), "free": F.sum("n").over(w) - F.count(F.lit(1)).over(w), "within": F.sum((F.col("n") - 1) * F.col("v")).over(w)})
+    g = g.filter("k > 1 AND free > 0").withColumn("mse", F.col("within") / F.col("free"))
+    a = g.select(*by, F.col(group).alias("group1"), F.col("n").alias("n1"), F.col("m").alias("m1"), "k", "free", "mse")
+    b = g.select(*by, F.col(group).alias("group2"), F.col("n").alias("n2"), F.col("m").alias("m2"))
+    p = a.join(b, list(by)).filter("group1 < group2")
+    p = p.withColumns({"difference": F.col("m2") - F.col("m1"), "se": F.sqrt(F.col("mse") / 2 * (1 / F.col("n1") + 1 / F.col("n2")))})
+    p = p.withColumn("statistic", F.when(F.col("se") > 0, F.abs("difference") / F.col("se")).otherwise(F.lit(math.inf)))
+    if not intervals:
+        return p.select(*by, "group1", "group2", "difference", "statistic")
+    p = p.select(*by, "group1", "group2", "difference", "statistic", "se", "k", "free")
+
+    def tails(batches):
+        critical: dict[tuple, float] = {}
+        for x in batches:
+            for k, free in set(zip(x["k"], x["free"], strict=True)) - critical.keys():
+                critical[k, free] = special.range_quantile(1 - alpha, int(k), float(free))
+            reach = np.array([critical[c] for c in zip(x["k"], x["free"], strict=True)]) * x["se"]
+            tail = [0.0 if math.isinf(q) else 1 - special.range_cdf(q, int(k), float(f)) for q, k, f in zip(x["statistic"], x["k"], x["free"], strict=True)]
+            yield x.drop(columns=["se", "k", "free"]).assign(low=x["difference"] - reach, high=x["difference"] + reach, p_corrected=tail)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in p.schema if f.name not in ("se", "k", "free"))
+    return p.mapInPandas(tails, f"{fields}, low double, high double, p_corrected double")
+
+
+def metric_ranks(averages: DataFrame, group: str = "splitter") -> DataFrame:
+    """(target, metric, group, avg_rank, n_blocks) of rows (dataset, group, metric, ips, diff, higher_better): the average rank of
+    each group over the data sets that have all groups, by the external figure (target benchmark) and by the
+    magnitude of the gap (target gap)."""
+    fine = lambda c: F.when(~F.isnan(c), c)
+    rows = lambda target, v: averages.select(F.lit(target).alias("target"), "metric", "dataset", group, fine(v).alias("v"))
+    u = rows("benchmark", F.when(F.col("higher_better"), -F.col("ips")).otherwise(F.col("ips"))).unionByName(rows("gap", F.abs("diff"))).filter("v IS NOT NULL")
+    groups = u.groupBy("target", "metric").agg(F.countDistinct(group).alias("k"))
+    full = u.groupBy("target", "metric", "dataset").agg(F.countDistinct(group).alias("c")).join(groups, ["target", "metric"]).filter("c = k")
+    return average_ranks(u.join(full.select("target", "metric", "dataset"), ["target", "metric", "dataset"], "left_semi"), "dataset", group, "v", "target", "metric").drop("rank_sum")
+
+
 def anova(df: DataFrame, group: str, value: str) -> DataFrame:
     """One-way analysis of variance from sums of squares of one pass per group."""
     g = df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.coalesce(F.var_samp(value), F.lit(0.0)).alias("v"))

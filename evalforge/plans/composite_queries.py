@@ -12,6 +12,7 @@ from evalforge.plans.bindings import PREDICTIONS, TIES, predictions, table
 from evalforge.plans.metric_queries import _LONG, _R, _SUMMARY, GROUP, long, rounded, summary
 from evalforge.plans.registry import ORACLES, query
 from evalforge.plans.summary_queries import CONTEST
+from evalforge.sources.scratch import materialise
 
 #: Metrics of a fold report and whether more of them is better.
 METRICS = {
@@ -42,11 +43,12 @@ ag AS (SELECT *, CASE WHEN higher_better THEN test - ips ELSE ips - test END AS
 
 
 def averages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(dataset, splitter, metric, ips, test, higher_better, diff) of the fold reports."""
+    """(dataset, splitter, metric, ips, test, higher_better, diff) of the fold reports, written once for all
+    that reads them."""
     u = fold_report(spark, sf_dir).unpivot([*GROUP], list(METRICS), "metric", "v")
     w = u.groupBy("dataset", "splitter", "metric").agg(*[F.max(F.when(F.col("set") == s, F.col("v"))).alias(s) for s in ("ips", "test")])
     up = F.col("metric").isin([m for m, better in METRICS.items() if better])
-    return w.withColumns({"higher_better": up, "diff": F.when(up, F.col("test") - F.col("ips")).otherwise(F.col("ips") - F.col("test"))})
+    return materialise(w.withColumns({"higher_better": up, "diff": F.when(up, F.col("test") - F.col("ips")).otherwise(F.col("ips") - F.col("test"))}))
 
 
 @query(f"WITH {_AVERAGES} SELECT dataset, splitter, metric, ips, test, higher_better, round(diff, 6) + 0.0 AS diff FROM ag")

@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from evalforge.plans import design_queries, metric_queries, model_queries, ranking_queries, shift_queries, summary_queries, composite_queries  # noqa: E402, F401
+from evalforge.plans import design_queries, metric_queries, model_queries, ranking_queries, shift_queries, summary_queries, composite_queries, experiment_queries  # noqa: E402, F401
