@@ -63,7 +63,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_cop
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", key_cols: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs: id_col, size, source_size, target, copies, taken, key_cols.
+    """One row per row of docs: id_col, size, source_size, target, taken, copies, key_cols.
 
     Null or empty texts have size 0 and take 0 words; null is a source of its own. A
     total of 0 gives targets and takes of 0. Repeated ids are rows like any other, in an
@@ -104,7 +104,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("source"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
     copies = (F.floor(place * each + offset) - F.floor((place - 1) * each + offset)).cast("long")
     return ranked.withColumn("copies", F.least(F.lit(MAX_COPIES), copies)).select(
-        F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *key_cols
+        F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *key_cols
     )
 
 

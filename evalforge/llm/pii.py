@@ -249,4 +249,5 @@ def digests(docs: DataFrame) -> DataFrame:
     kinds = lambda spans: F.transform(spans, lambda s: s["kind"])
     n = [(F.size(spans) - F.size(F.array_remove(kinds(spans), k))).cast("long").alias(f"n_{k}") for spans, of in (("base", BASE), ("added", ADDED)) for k in of]
     n.append((F.size("base") + F.size("added")).cast("long").alias("n_spans"))
-    return found.select("doc_id", *n, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"))
+    base, more = n[: len(BASE)], n[len(BASE) :]
+    return found.select("doc_id", *base, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"), *more)
