@@ -3,12 +3,14 @@ shared folder, size-checked broadcasts, and the byte-level word rules."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,6 +126,27 @@ def row_key(docs: DataFrame, id_col: str, scratch: Scratch) -> tuple[DataFrame,
     return scratch.save(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed"), "__row"
 
 
+def release_memory() -> None:
+    """Give memory that a Python worker no longer uses back to the machine: workers live on between tasks, and what
+    one stage needed would count beside what the next one needs."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow, with its memory released after every batch and at the end."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(batches):
+            yield out
+            del out
+            pa.default_memory_pool().release_unused()
+        release_memory()
+
+    return whole
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered up to a fixed number of words."""
 

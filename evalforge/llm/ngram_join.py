@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import M1, Scratch, WordHashes, drop_ids, keep_ids, mix, row_key, small
+from .common import M1, Scratch, WordHashes, drop_ids, keep_ids, mix, released, row_key, small
 from .graph import components
 
 #: A chance meeting of two sets costs about as much as so many signature rows.
@@ -241,7 +241,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, n: int, per_cent: int) -> Data
 
     t = lambda k: texts.select(F.col("set").alias(k), F.col("text").alias("t" + k))
     joined = pairs.join(t("u"), "u").join(t("v"), "v").select("u", "v", "tu", "tv")
-    return joined.mapInArrow(compare, "u long, v long, su long, sv long, d long, linked boolean, first array<long>")
+    return joined.mapInArrow(released(compare), "u long, v long, su long, sv long, d long, linked boolean, first array<long>")
 
 
 def similar_groups(
@@ -277,7 +277,7 @@ def similar_groups(
                 yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(x, pa.int64()) for x in (size, one, two))], ["id", "size", "set", "check"])
 
         id_type = docs.schema["id"].dataType.simpleString()
-        meta = scratch.save(docs.mapInArrow(describe, f"id {id_type}, size long, set long, check long"), "meta")
+        meta = scratch.save(docs.mapInArrow(released(describe), f"id {id_type}, size long, set long, check long"), "meta")
         # An id names a text if all its rows have one set; sets without such an id are named
         # by their digest alone.
         of_id = meta.filter("id IS NOT NULL").groupBy("id").agg(F.min("set").alias("a"), F.max("set").alias("b"), F.max(F.col("size") == 0).alias("empty"))
@@ -338,11 +338,11 @@ def similar_groups(
     copies = keyed.filter("key IS NOT NULL").join(sets.select("set", F.col("key").alias("of_set")), "set").filter("key <> of_set").select("id").distinct()
     named = drop_ids(docs.filter("id IS NOT NULL"), scratch.save(copies.union(unclear).distinct(), "copies"), "id")
     nameless = scratch.save(sets.filter("key IS NULL").select("set"), "nameless")
-    unnamed = docs.filter("id IS NULL").union(keep_ids(docs, unclear, "id")).mapInArrow(digest, "set long, text string")
+    unnamed = docs.filter("id IS NULL").union(keep_ids(docs, unclear, "id")).mapInArrow(released(digest), "set long, text string")
     unnamed = scratch.save(unnamed.join(small(nameless), "set", "left_semi").dropDuplicates(["set"]), "unnamed")
     rows = named.select("text").union(unnamed.select("text"))
     by_sig = Window.partitionBy("sig", "salt").orderBy("set")
-    signed = rows.mapInArrow(index, "sig long, set long, mark int, salt int")
+    signed = rows.mapInArrow(released(index), "sig long, set long, mark int, salt int")
     signed = signed.withColumn("before", F.lag("set").over(by_sig)).withColumn("after", F.lead("set").over(by_sig))
     met = scratch.save(signed.filter("salt > 0 OR before <> set OR after <> set").select("sig", "set", "mark"), "met")
     # Sets that share fewer signatures of a band than any partner there would need.

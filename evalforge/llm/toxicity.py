@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M1, Scratch, drop_ids, mix, row_key, small
+from .common import M1, Scratch, drop_ids, mix, released, row_key, small
 
 ORDER, BACKOFF_ORDER = 6, 4
 #: Most n-grams whose ratios are sent to the tasks; the others are joined.
@@ -140,7 +140,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def gram_table(words: DataFrame) -> DataFrame:
     """The counts of every 6-gram of a table of words (word, COUNTS, docs)."""
     spec = ", ".join(f"{c} long" for c in (*COUNTS, "docs"))
-    grams = words.mapInArrow(_count_grams, f"e long, {', '.join(f'{k} long' for k in _KEYS)}, {spec}, n long")
+    grams = words.mapInArrow(released(_count_grams), f"e long, {', '.join(f'{k} long' for k in _KEYS)}, {spec}, n long")
     # A word of punctuation alone has one 6-gram, which no word counts.
     none = {k: int(v[0]) for k, v in _grams([""]).items() if k != "word"} | dict.fromkeys((*COUNTS, "n"), 0) | {"docs": 1 << 40}
     grams = grams.union(words.sparkSession.createDataFrame([tuple(none[c] for c in grams.columns)], grams.schema))
@@ -263,7 +263,7 @@ def _summed(rows: DataFrame, head, by_half: bool, finish: bool) -> DataFrame:
     names = _FEATURES if finish else ["which", "size", "sums", "missing"]
     more = ", ".join(f"{f} double" for f in _FEATURES) if finish else "which int, size int, sums array<double>, missing array<struct<stretch: int, word: string>>"
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "label", "half", "text").mapInArrow(run, f"id {kind}, label int, {more}")
+    return rows.select("id", "label", "half", "text").mapInArrow(released(run), f"id {kind}, label int, {more}")
 
 
 def _tail_words(words: DataFrame, tail: DataFrame, head) -> DataFrame:
@@ -281,7 +281,7 @@ def _tail_words(words: DataFrame, tail: DataFrame, head) -> DataFrame:
                 [pa.array([given[j] for j in lost], pa.string()), pa.array(g["e"][~held]), *map(pa.array, own.T.copy())], ["word", "e", *(f"h{r}" for r in RATIOS)]
             )
 
-    rows = words.select("word").mapInArrow(run, "word string, e long, " + ", ".join(f"h{r} double" for r in RATIOS))
+    rows = words.select("word").mapInArrow(released(run), "word string, e long, " + ", ".join(f"h{r} double" for r in RATIOS))
     return rows.join(tail.drop("docs"), "e").groupBy("word").agg(*[F.sum(F.col(r) + F.col(f"h{r}")).alias(r) for r in RATIOS])
 
 
@@ -307,7 +307,7 @@ def _featured(rows: DataFrame, head, by_half: bool, tail_words: DataFrame | None
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), *cols], ["id", "label", *_FEATURES])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return whole.mapInArrow(run, f"id {kind}, label int, " + ", ".join(f"{f} double" for f in _FEATURES))
+    return whole.mapInArrow(released(run), f"id {kind}, label int, " + ", ".join(f"{f} double" for f in _FEATURES))
 
 
 def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -356,7 +356,7 @@ def toxicity_scores(
     known = known.withColumn("half", half)
     slot = F.when(F.col("label").isNotNull(), F.when(F.col("label") == 1, 0).otherwise(2) + F.col("half"))
     spec = ", ".join(f"{c} long" for c in (*COUNTS, "docs"))
-    words = known.select("text", slot.alias("slot")).mapInArrow(_count_words, f"word string, {spec}")
+    words = known.select("text", slot.alias("slot")).mapInArrow(released(_count_words), f"word string, {spec}")
     words = words.withColumn("word", F.btrim("word", F.lit(EDGES))).filter("word <> ''")
     words = scratch.save(words.groupBy("word").agg(*[F.sum(c).alias(c) for c in (*COUNTS, "docs")]), "words")
     grams = scratch.save(gram_table(words), "grams")
