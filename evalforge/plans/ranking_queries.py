@@ -54,6 +54,13 @@ def friedman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ranking.friedman(means(spark, sf_dir), "dataset", "splitter", "perf").select("n", "k", "q"))
 
 
+@query(f"""{_FRIEDMAN}, q AS (SELECT max(n) AS n, count(*) AS k, 12 * sum(s * s) / (max(n) * count(*) * (count(*) + 1)) - 3 * max(n) * (count(*) + 1) AS q FROM g)
+SELECT n, k::INT AS k, {_R("(n - 1) * q / (n * (k - 1) - q)", "iman_f")} FROM q""")
+def iman_davenport(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Iman and Davenport's statistic; its p value is in friedman_tests."""
+    return rounded(ranking.friedman(means(spark, sf_dir), "dataset", "splitter", "perf").select("n", "k", "iman_f"))
+
+
 @query()
 def friedman_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.friedman(means(spark, sf_dir), "dataset", "splitter", "perf")
