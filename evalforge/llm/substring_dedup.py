@@ -108,7 +108,7 @@ def _find_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = WordHashes()
     for b in batches:
         ids, prints = b.column("id"), b.column("print")
-        for at, part in text_runs(_texts(b)):
+        for at, part in text_runs(b):
             w = Windows(part, cache)
             text, first, size, anchor, piece, other = w.pieces()
             rows = pa.array(text + at)
@@ -122,7 +122,7 @@ def _open_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = WordHashes()
     for b in batches:
         ids, opened = b.column("id"), b.column("opened")
-        for at, part in text_runs(_texts(b)):
+        for at, part in text_runs(b):
             w = Windows(part, cache)
             row, start, size, piece, other = [], [], [], [], []
             for i in range(len(part)):

@@ -8,6 +8,7 @@ import hashlib
 import itertools
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,6 +196,15 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_pieces_do_not_depend_on_runs_of_texts(monkeypatch):
+    texts = [" ".join(f"w{i * j % 89}" for i in range(70 * j)) for j in range(1, 9)] + [None, ""]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(10)), "print": list(range(10)), "text": pa.array(texts, pa.string())})
+    want = [r for b in substring_dedup._find_pieces(iter([batch])) for r in b.to_pylist()]
+    monkeypatch.setattr(substring_dedup, "text_runs", lambda b: ngram_join.pieces(b, 1000))
+    got = list(substring_dedup._find_pieces(iter([batch])))
+    assert len(got) > 3 and [r for b in got for r in b.to_pylist()] == want and len(want) > 8
+
+
 @pytest.mark.parametrize("bits", [24, 7])
 def test_anchors_of_long_runs(bits, monkeypatch):
     import numpy as np
