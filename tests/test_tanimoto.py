@@ -43,3 +43,22 @@ def test_a_bit_of_all_rows_is_not_looked_up(spark):
     assert len(got) == 400 and all(r["similarity"] == pytest.approx(1 / 7) for r in got)
     assert distances.nn_tanimoto(df.limit(0), df, "k").count() == 0
     assert distances.nn_tanimoto(df.filter("k = 1"), df.filter("k = 1"), "k").first()["similarity"] == 0
+
+
+@pytest.mark.parametrize("bits, turns", [(40, 1000), (40, 1)])
+def test_turns_and_index_equal_all_pairs(spark, monkeypatch, bits, turns):
+    monkeypatch.setattr(distances, "TANIMOTO_BITS", bits)
+    monkeypatch.setattr(distances, "TANIMOTO_TURNS", turns)
+    draw = random.Random(4)
+    rows = {i: {0} | {int(40 * draw.random() ** 2) for _ in range(draw.choice([1, 4, 9]))} for i in range(60)} | {99: {777}}
+    got = {r["query"]: r["similarity"] for r in distances.nn_tanimoto(table(spark, rows), table(spark, rows), "k").collect()}
+    assert got == pytest.approx(nearest(rows, rows))
+
+
+def test_no_pair_is_written(spark, monkeypatch):
+    """120 sets that share 30 common bits: what is written has a row a set or query, not one a pair."""
+    written = []
+    monkeypatch.setattr(distances, "materialise", lambda df: written.append(df.count()) or df)
+    rows = {i: set(range(30)) | {100 + i, 300 + i} for i in range(120)}
+    got = distances.nn_tanimoto(table(spark, rows), table(spark, rows), "k").collect()
+    assert len(got) == 120 and all(r["similarity"] == pytest.approx(30 / 34) for r in got) and max(written) <= 120
