@@ -192,9 +192,20 @@ def _inner(rows: pd.DataFrame, geometry: Geometry) -> Callable[[int], np.ndarray
     return lambda i: geometry.between(x[i : i + 1], y[i : i + 1], x, y)[0]
 
 
+def _leading(state: DataFrame, n: int) -> pd.DataFrame:
+    """The first n rows by falling near, then key. Every task offers n rows to the driver, so these are without their vectors;
+    only the rows that lead of all are sent whole."""
+    first = state.select("near", "k").orderBy(F.desc("near"), "k").limit(n).toPandas()
+    if not len(first):
+        return state.limit(0).toPandas()
+    near, k = F.lit(float(first["near"].iloc[-1])), F.lit(first["k"].tolist()[-1])
+    rows = state.filter((F.col("near") > near) | (F.col("near") == near) & (F.col("k") <= k)).toPandas()
+    return rows.sort_values(["near", "k"], ascending=[False, True]).iloc[:n].reset_index(drop=True)
+
+
 def _farthest_batch(geometry: Geometry, size: int, cutoff: float | None = None) -> Callable:
     def batch(state: DataFrame, wanted: int, _: int) -> tuple[pd.DataFrame, list[int]]:
-        rows = state.orderBy(F.desc("near"), "k").limit(size + 1).toPandas()
+        rows = _leading(state, size + 1)
         out = (rows["near"].iloc[-1], rows["k"].iloc[-1]) if len(rows) > size else None
         rows = rows.iloc[:size].reset_index(drop=True)
         near, keys, far, chosen = rows["near"].to_numpy().copy(), rows["k"].to_numpy(), _inner(rows, geometry), []

@@ -147,3 +147,15 @@ def test_a_design_does_not_depend_on_partitions(spark, monkeypatch):
     df, _ = table(spark, 300, 3)
     a, b = (sorted(map(tuple, clustering.maximin_design(d, 5).collect())) for d in (df.repartition(2), df.repartition(7)))
     assert a == b and len(a) == 5
+
+
+def test_leading_rows_by_distance_and_key(spark):
+    """Each task offers its leading rows without their vectors; the rows that lead are those of the plain order."""
+    from pyspark.sql import functions as F
+
+    data = [(i, [float(i), 1.0], 0.0, float("inf") if i > 95 else float(i % 5)) for i in range(100)]
+    state = spark.createDataFrame(data, "k long, x array<double>, y double, near double").repartition(6)
+    for n in (1, 3, 30, 200):
+        got = selections._leading(state, n)
+        assert got["k"].tolist() == [r["k"] for r in state.orderBy(F.desc("near"), "k").limit(n).collect()] and "x" in got
+    assert len(selections._leading(state.limit(0), 3)) == 0
