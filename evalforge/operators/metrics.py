@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalforge.functions.columns import NAN, correlation, tied_rank
@@ -55,19 +56,31 @@ def layer1_long(summary: DataFrame, keys: Sequence[str]) -> DataFrame:
     ))
 
 
-def fold_metrics(pred: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """n, rmse, mae, medae, r2, Pearson and Spearman by keys; all NaN but n below 2 rows.
-    The ranks of Spearman are windows inside a group."""
-    r = pred.withColumns({"rt": tied_rank("y_true", keys), "rp": tied_rank("y_pred", keys)})
-    e = F.abs(F.col("y_pred") - F.col("y_true"))
+def fold_metrics(pred: DataFrame, keys: Sequence[str], group_rows: int | None = None) -> DataFrame:
+    """n, rmse, mae, medae, r2, Pearson and Spearman by keys; all NaN but n below 2 rows. What needs an order comes
+    from `ordered_metrics`, the rest from one aggregate."""
+    rows, plain = _plain_metrics(pred, keys, ())
+    return _known(_matched(plain, ordered_metrics(rows, plain, keys, ("medae", "spearman"), group_rows=group_rows), keys), keys)
+
+
+_PLAIN = ("rmse", "mae", "medae", "r2", "pearson", "spearman")
+
+
+def _plain_metrics(pred: DataFrame, keys: Sequence[str], ties: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The columns asked for, and n, rmse, mae, r2 and Pearson by keys, both written once."""
+    rows = materialise(pred.select(*dict.fromkeys([*keys, "y_true", "y_pred", *ties])))
     rmse, r2, mae, _ = error_aggregates()
-    out = r.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), rmse, mae, F.median(e).alias("medae"), r2,
-        correlation(F.col("y_true"), F.col("y_pred")).alias("pearson"), correlation(F.col("rt"), F.col("rp")).alias("spearman"),
-    )
-    for c in ("rmse", "mae", "medae", "r2", "pearson", "spearman"):
-        out = out.withColumn(c, F.when(F.col("n") < 2, F.lit(NAN)).otherwise(F.col(c)))
-    return out
+    return rows, materialise(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), rmse, mae, r2, correlation(F.col("y_true"), F.col("y_pred")).alias("pearson")))
+
+
+def _matched(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join by keys, nulls being values; the columns of left come first, then the others of right."""
+    named = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    return left.join(named, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]), how).drop(*[f"__{k}" for k in keys])
+
+
+def _known(df: DataFrame, keys: Sequence[str], more: Sequence[str] = ()) -> DataFrame:
+    return df.select(*keys, "n", *[F.when(F.col("n") < 2, F.lit(NAN)).otherwise(F.col(c)).alias(c) for c in (*_PLAIN, *more)])
 
 
 def performance_metrics(pred: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -97,13 +110,26 @@ def top_k_enrichment(pred: DataFrame, keys: Sequence[str], shares: Sequence[floa
         top = F.greatest(F.lit(1), F.bround(F.col("n") * k).cast("int"))
         hits = F.count_if((F.col("rt") <= top) & (F.col("rp") <= top))
         n_top, n = F.max(top), F.max("n")
-        aggs.append(((hits / n_top) / (n_top / n)).alias(f"ef{round(100 * k)}"))
+        aggs.append(((hits / n_top) / (n_top / n)).alias(_share(k)))
     return r.groupBy(*keys).agg(*aggs)
 
 
-def bedroc(pred: DataFrame, keys: Sequence[str], ties: Sequence[str], alpha: float = 20.0, active: float = 0.2) -> DataFrame:
+def _share(k: float) -> str:
+    return f"ef{round(100 * k)}"
+
+
+#: BEDROC's weight of early places, and the share of rows that are active.
+ALPHA, ACTIVE = 20.0, 0.2
+
+
+def bedroc(pred: DataFrame, keys: Sequence[str], ties: Sequence[str], alpha: float = ALPHA, active: float = ACTIVE) -> DataFrame:
     """Boltzmann-enhanced discrimination of ROC; the active rows are the truly best share;
     NaN if that is every row."""
+    return _bedroc_sums(pred, keys, ties, alpha, active).withColumn("bedroc", _bedroc_of(alpha)).select(*keys, "n", "bedroc")
+
+
+def _bedroc_sums(pred: DataFrame, keys: Sequence[str], ties: Sequence[str], alpha: float, active: float) -> DataFrame:
+    """Rows, active rows and the sum of the active rows' weights, by keys."""
     by = Window.partitionBy(*keys)
     tie = [F.col(c) for c in ties]
     r = pred.withColumns({
@@ -111,33 +137,219 @@ def bedroc(pred: DataFrame, keys: Sequence[str], ties: Sequence[str], alpha: flo
         "rt": F.row_number().over(by.orderBy(F.col("y_true").desc(), *tie)),
         "rp": F.row_number().over(by.orderBy(F.col("y_pred").desc(), *tie)),
     }).withColumn("na", F.greatest(F.lit(1), F.bround(F.col("n") * active)))
-    g = r.groupBy(*keys).agg(
+    return r.groupBy(*keys).agg(
         F.max("n").alias("n"), F.max("na").alias("na"),
         F.sum(F.when(F.col("rt") <= F.col("na"), F.exp(-alpha * F.col("rp") / F.col("n"))).otherwise(0.0)).alias("s"),
     )
+
+
+def _bedroc_of(alpha: float) -> Column:
+    """From the columns of _bedroc_sums."""
     ra = F.col("na") / F.col("n")
     rie = F.col("s") / F.col("na") / ((1 / F.col("n")) * (1 - math.exp(-alpha)) / (F.exp(alpha / F.col("n")) - 1))
     scale = F.try_divide(ra * math.sinh(alpha / 2), math.cosh(alpha / 2) - F.cosh(alpha / 2 - alpha * ra))
-    out = rie * scale + F.try_divide(F.lit(1.0), 1 - F.exp(alpha * (1 - ra)))
-    return g.withColumn("bedroc", F.coalesce(out, F.lit(NAN))).select(*keys, "n", "bedroc")
+    return F.coalesce(rie * scale + F.try_divide(F.lit(1.0), 1 - F.exp(alpha * (1 - ra))), F.lit(NAN))
 
 
 def _inversions(values: np.ndarray) -> int:
-    """Pairs out of order, by bottom-up merging: all runs of one width at once."""
-    r = np.unique(values, return_inverse=True)[1].astype(np.int64)
-    total, width, n = 0, 1, len(r)
-    while width < n:
-        run = np.arange(n) // (2 * width)
-        # Stable by run and value: a value of the right half has passed the larger ones of the left.
-        order = np.lexsort((r, run))
-        right = (order // width) % 2 == 1
-        lefts = np.cumsum(~right)
-        before = lefts - np.concatenate([[0], lefts])[run[order] * 2 * width]
-        total += int((np.minimum(width, n - run[order] * 2 * width) - before)[right].sum())
-        r, width = r[order], 2 * width
+    """Pairs out of order."""
+    r = np.unique(values, return_inverse=True)[1]
+    return int(_inversions_by(r, np.zeros(len(r), np.int64), 1)[0])
+
+
+def _inversions_by(r: np.ndarray, seg: np.ndarray, segs: int) -> np.ndarray:
+    """Pairs out of order in each segment of rows; r are ranks from 0, all those of a segment beyond those of the one before.
+    Rows are parted by one bit of r after another: of rows whose higher bits agree, a 1 before a 0 is out of order."""
+    total, n = np.zeros(segs), len(r)
+    at = np.arange(n)
+    for bit in range(int(r.max()).bit_length() - 1 if n else -1, -1, -1):
+        up = r >> (bit + 1)
+        starts = np.flatnonzero(np.concatenate([[True], up[1:] != up[:-1]]))
+        sizes = np.diff(np.append(starts, n))
+        first = np.repeat(starts, sizes)
+        one = (r >> bit & 1).astype(bool)
+        zeros = np.concatenate([[0], np.cumsum(~one)])
+        zeros_before = zeros[:-1] - zeros[first]
+        ones_before = at - first - zeros_before
+        total += np.bincount(seg[~one], ones_before[~one], segs)
+        to = first + np.where(one, np.repeat(zeros[starts + sizes] - zeros[starts], sizes) + ones_before, zeros_before)
+        moved = np.empty_like(r), np.empty_like(seg)
+        moved[0][to], moved[1][to] = r, seg
+        r, seg = moved
     return total
 
 
+#: Rows of a group whose orders one task makes; those of larger groups are made by windows, whose sorts go to disk.
+GROUP_ROWS = 1_000_000
+#: Rows of a task on average, and rows of small groups that are taken at once.
+_TASK_ROWS, _AT_ONCE = 250_000, 100_000
+
+
+def _column(c: pa.ChunkedArray) -> list[np.ndarray]:
+    """Values and, where some are null, which are not: keys of an order with nulls first, the last key first."""
+    some = c.is_valid().to_numpy()
+    if some.all():
+        v = c.to_numpy()
+        return [v if v.dtype.kind != "O" else np.unique(v, return_inverse=True)[1]]
+    v = c.drop_null().to_numpy()
+    codes = np.zeros(len(c), np.int64)
+    codes[some] = np.unique(v, return_inverse=True)[1]
+    return [codes, some]
+
+
+def _order(*keys: np.ndarray) -> np.ndarray:
+    """Rows in the order of the keys, the first of them first."""
+    keys = [k for k in keys if len(k) and (k.dtype.kind == "f" or (k != k[0]).any())]
+    return np.lexsort(keys[::-1]) if keys else None
+
+
+def _dense(keys: list[np.ndarray], seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Dense ranks from 0 of rows by segment and keys (the last key first), and rows of each rank."""
+    order = _order(seg, *keys[::-1])
+    order = np.arange(len(seg)) if order is None else order
+    new = np.zeros(len(seg), bool)
+    new[:1] = True
+    for k in (seg, *keys):
+        v = k[order]
+        differ = v[1:] != v[:-1]
+        if v.dtype.kind == "f":
+            differ &= ~(np.isnan(v[1:]) & np.isnan(v[:-1]))
+        new[1:] |= differ
+    rank = np.empty(len(seg), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return rank, np.bincount(rank)
+
+
+def _segments(t: pa.Table, keys: Sequence[str]) -> tuple[pa.Table, np.ndarray]:
+    """The rows, those of a group side by side, and the number of each row's group."""
+    code, size = np.zeros(t.num_rows, np.int64), 1
+    for k in keys:
+        c = t.column(k).combine_chunks().dictionary_encode("encode").indices.to_numpy().astype(np.int64)
+        if size * (int(c.max()) + 1) >= 1 << 62:
+            values, code = np.unique(code, return_inverse=True)
+            size = len(values)
+        code, size = code * (c.max() + 1) + c, size * (int(c.max()) + 1)
+    new = np.concatenate([[True], code[1:] != code[:-1]])
+    if new.sum() > len(np.unique(code[new])):  # groups of one hash
+        order = np.argsort(code, kind="stable")
+        t, code = t.take(order), code[order]
+        new = np.concatenate([[True], code[1:] != code[:-1]])
+    return t, np.cumsum(new) - 1
+
+
+def _ordered(t: pa.Table, keys: Sequence[str], ties: Sequence[str], names: Sequence[str], shares: Sequence[float]) -> pa.RecordBatch:
+    """keys and names of the groups of a table, all at once."""
+    t, seg = _segments(t, keys)
+    starts = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
+    n = np.diff(np.append(starts, len(seg)))
+    segs, out = len(n), {}
+    y = {c: t.column(c) for c in ("y_true", "y_pred")}
+    if "medae" in names:
+        e = [v.to_numpy() for v in y.values()]
+        some = (y["y_true"].is_valid().to_numpy() & y["y_pred"].is_valid().to_numpy()).astype(bool)
+        e, s = np.abs(e[1] - e[0])[some].astype(float), seg[some]
+        e = e[np.lexsort((e, s)) if segs > 1 else np.argsort(e)]
+        m = np.bincount(s, minlength=segs)
+        ends = np.cumsum(m)
+        has = np.flatnonzero(m)
+        low, high = (e[(ends - m + k)[has]] for k in ((m - 1) // 2, m // 2))
+        medae = np.full(segs, None, object)
+        medae[has] = 0.5 * low + 0.5 * high
+        out["medae"] = pa.array(medae, pa.float64(), from_pandas=False)
+    (ct, nt), (cp, np_) = (_dense(_column(c), seg) for c in y.values())
+    if "spearman" in names:
+        a, b = (np.cumsum(m)[c] - (m[c] - 1) / 2 - starts[seg] - (n[seg] + 1) / 2 for c, m in ((ct, nt), (cp, np_)))
+        sab, saa, sbb = (np.bincount(seg, v, segs) for v in (a * b, a * a, b * b))
+        with np.errstate(all="ignore"):
+            out["spearman"] = pa.array(np.where((saa > 0) & (sbb > 0), sab / (np.sqrt(saa) * np.sqrt(sbb)), NAN))
+    if "kendall" in names:
+        # Nulls count as not a number.
+        x, p = (c if c.null_count == 0 else pa.chunked_array([c.combine_chunks().cast(pa.float64()).fill_null(NAN)]) for c in y.values())
+        (kt, mt), (kp, mp) = (r if c is o else _dense(_column(c), seg) for c, o, r in zip((x, p), y.values(), ((ct, nt), (cp, np_)), strict=True))
+        order = np.argsort(kt * len(mp) + kp, kind="stable")
+        swaps = _inversions_by(kp[order], seg[order], segs)
+        tied = lambda at, m: np.bincount(seg[at], m * (m - 1.0) / 2, segs)
+        pair = kt[order] * len(mp) + kp[order]
+        heads = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        one = lambda k: np.unique(k, return_index=True)[1]
+        tx, ty, txy = tied(one(kt), mt), tied(one(kp), mp), tied(order[heads], np.diff(np.append(heads, len(pair))))
+        out["kendall"] = pa.array([_tau(int(k), *v) if k > 1 else NAN for k, *v in zip(n, tx, ty, txy, swaps, strict=True)], pa.float64())
+    if "s" in names:
+        # The place of each row by the ties, and by a value from the largest one with the ties.
+        by = [k for c in ties for k in _column(t.column(c))[::-1]]
+        order = _order(*by)
+        place = np.arange(len(seg))
+        if order is not None:
+            place = np.empty(len(seg), np.int64)
+            place[order] = np.arange(len(seg))
+        rank = []
+        for c in (ct, cp):
+            low, high = np.minimum.reduceat(c, starts), np.maximum.reduceat(c, starts)
+            order = np.argsort(((low + high)[seg] - c) * len(seg) + place)
+            r = np.empty(len(seg), np.int64)
+            r[order] = np.arange(len(seg))
+            rank.append(r - starts[seg] + 1)
+        rt, rp = rank
+        for k in shares:
+            top = np.maximum(1, np.rint(n * k).astype(np.int64))
+            hits = np.bincount(seg[(rt <= top[seg]) & (rp <= top[seg])], minlength=segs)
+            out[_share(k)] = pa.array((hits / top) / (top / n))
+        na = np.maximum(1.0, np.rint(n * ACTIVE))
+        out["na"] = pa.array(na)
+        out["s"] = pa.array(np.bincount(seg, np.where(rt <= na[seg], np.exp(-ALPHA * rp / n[seg]), 0.0), segs))
+    heads = t.select(list(keys)).take(starts)
+    return pa.RecordBatch.from_arrays([*[heads.column(k).combine_chunks() for k in keys], *[out[c] for c in names]], [*keys, *names])
+
+
+def ordered_metrics(
+    rows: DataFrame, sizes: DataFrame, keys: Sequence[str], names: Sequence[str], ties: Sequence[str] = (), shares: Sequence[float] = (), group_rows: int | None = None
+) -> DataFrame:
+    """keys and those of `names` that need an order of each group's rows: medae, spearman, kendall; with s and na of
+    _bedroc_sums also the enrichment of the top shares. sizes: (keys, n) of all groups.
+
+    Rows are shuffled once, by the hash of the keys, and a task takes whole groups at a time, many small ones
+    together. Groups beyond GROUP_ROWS rows are never in one piece: windows and ranges order them."""
+    limit = GROUP_ROWS if group_rows is None else group_rows
+    names = [*names, *map(_share, shares)]
+    sized = sizes.agg(F.sum("n"), F.max("n")).first()
+    big = sizes.filter(F.col("n") > limit).select(*keys)
+    whole = rows if (sized[1] or 0) <= limit else _matched(rows, F.broadcast(big), keys, "left_anti")  # a row for `limit` rows of the input
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    exact = {c: F.col(c).cast("double") for c in ("y_true", "y_pred") if kinds[c].startswith("decimal")}
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-(sized[0] or 0) // _TASK_ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            h = b.column("__hash").to_numpy()
+            if held and sum(x.num_rows for x in held) >= _AT_ONCE and h[-1] != (last := held[-1].column("__hash")[-1].as_py()):
+                cut = int(np.searchsorted(h, last, "right"))
+                yield _ordered(pa.Table.from_batches([*held, b.slice(0, cut)]), keys, ties, names, shares)
+                held, b = [], b.slice(cut)
+            if b.num_rows:
+                held.append(b)
+        if held:
+            yield _ordered(pa.Table.from_batches(held), keys, ties, names, shares)
+
+    dealt = whole.withColumns(exact).withColumn("__hash", F.xxhash64(*keys)).repartition(parts, "__hash").sortWithinPartitions("__hash")
+    out = dealt.mapInArrow(run, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], *[f"{c} double" for c in names]]))
+    if whole is rows:
+        return out
+    r = materialise(_matched(rows, F.broadcast(big), keys, "left_semi"))
+    parts = [kendall(r, keys).drop("n")] if "kendall" in names else []
+    if "medae" in names or "spearman" in names:
+        by = Window.partitionBy(*keys)
+        e = F.abs(F.col("y_pred") - F.col("y_true"))
+        w = r.select(*keys, tied_rank("y_true", keys).alias("rt"), tied_rank("y_pred", keys).alias("rp"), e.alias("e"))
+        w = w.withColumns({"place": F.row_number().over(by.orderBy(F.asc_nulls_last("e"))), "m": F.count("e").over(by)})
+        # The middle one of an odd number of rows, or the two of an even one.
+        middle = F.when((2 * F.col("place") >= F.col("m")) & (2 * F.col("place") <= F.col("m") + 2), F.col("e"))
+        parts.append(w.groupBy(*keys).agg(F.avg(middle).alias("medae"), correlation(F.col("rt"), F.col("rp")).alias("spearman")))
+    if "s" in names:
+        parts += [top_k_enrichment(r, keys, shares, ties), _bedroc_sums(r, keys, ties, ALPHA, ACTIVE).drop("n")]
+    return out.union(reduce(lambda a, b: _matched(a, b, keys), parts).select(*keys, *[F.col(c).cast("double") for c in names]))
+
+
 #: Rows of a group that one task counts.
 RANGE_ROWS = 200_000
 #: Ranges of a group at most.
@@ -162,11 +374,11 @@ def kendall(pred: DataFrame, keys: Sequence[str], range_rows: int = RANGE_ROWS)
     big = materialise(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > range_rows))
 
     def tau(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
+        x, y = (np.unique(pdf[c].to_numpy(), return_inverse=True)[1] for c in "xy")
         n, out = len(x), NAN
         if n > 1:
             tx, ty = (_pairs(np.unique(v, return_counts=True)[1]) for v in (x, y))
-            txy = _pairs(np.unique(np.column_stack([x, y]), axis=0, return_counts=True)[1])
+            txy = _pairs(np.unique(x * n + y, return_counts=True)[1])
             out = _tau(n, tx, ty, txy, _inversions(y[np.lexsort((y, x))]))
         return pdf.iloc[:1][list(keys)].assign(n=n, kendall=out)
 
@@ -230,11 +442,10 @@ def _kendall_of_ranges(rows: DataFrame, sizes: DataFrame, keys: Sequence[str], r
     return out.select(*keys, "n", F.when(below > 0, (all_ - F.col("tx") - F.col("ty") + F.col("txy") - 2 * F.col("swaps")) / below).alias("kendall"))
 
 
-def fold_report(pred: DataFrame, keys: Sequence[str], ties: Sequence[str], shares: Sequence[float] = (0.05, 0.1, 0.2)) -> DataFrame:
+def fold_report(pred: DataFrame, keys: Sequence[str], ties: Sequence[str], shares: Sequence[float] = (0.05, 0.1, 0.2), group_rows: int | None = None) -> DataFrame:
     """All metrics of a fold as one row by keys: those of fold_metrics, Kendall's tau-b, the
-    enrichment of the top shares and BEDROC; all NaN but n below 2 rows."""
-    out = fold_metrics(pred, keys)
-    for more in (kendall(pred, keys).drop("n"), top_k_enrichment(pred, keys, shares, ties), bedroc(pred, keys, ties).drop("n")):
-        out = out.join(more, list(keys))
-    names = ["kendall", *(f"ef{round(100 * k)}" for k in shares), "bedroc"]
-    return out.withColumns({c: F.when(F.col("n") < 2, F.lit(NAN)).otherwise(F.col(c)) for c in names})
+    enrichment of the top shares and BEDROC; all NaN but n below 2 rows. Groups with a null key are left out."""
+    rows, plain = _plain_metrics(pred.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])), keys, ties)
+    more = ordered_metrics(rows, plain, keys, ("medae", "spearman", "kendall", "s", "na"), ties, shares, group_rows)
+    out = _matched(plain, more, keys).withColumn("bedroc", _bedroc_of(ALPHA))
+    return _known(out, keys, ["kendall", *map(_share, shares), "bedroc"])
