@@ -60,17 +60,17 @@ def fold_metrics(pred: DataFrame, keys: Sequence[str], group_rows: int | None =
     """n, rmse, mae, medae, r2, Pearson and Spearman by keys; all NaN but n below 2 rows. What needs an order comes
     from `ordered_metrics`, the rest from one aggregate."""
     rows, plain = _plain_metrics(pred, keys, ())
-    return _known(_matched(plain, ordered_metrics(rows, plain, keys, ("medae", "spearman"), group_rows=group_rows), keys), keys)
+    return _known(_matched(plain, ordered_metrics(rows, plain, keys, ("mae", "medae", "spearman"), group_rows=group_rows), keys), keys)
 
 
 _PLAIN = ("rmse", "mae", "medae", "r2", "pearson", "spearman")
 
 
 def _plain_metrics(pred: DataFrame, keys: Sequence[str], ties: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """The columns asked for, and n, rmse, mae, r2 and Pearson by keys, both written once."""
+    """The columns asked for, and n, rmse, r2 and Pearson by keys, both written once."""
     rows = materialise(pred.select(*dict.fromkeys([*keys, "y_true", "y_pred", *ties])))
-    rmse, r2, mae, _ = error_aggregates()
-    return rows, materialise(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), rmse, mae, r2, correlation(F.col("y_true"), F.col("y_pred")).alias("pearson")))
+    rmse, r2, *_ = error_aggregates()
+    return rows, materialise(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), rmse, r2, correlation(F.col("y_true"), F.col("y_pred")).alias("pearson")))
 
 
 def _matched(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -244,19 +244,25 @@ def _ordered(t: pa.Table, keys: Sequence[str], ties: Sequence[str], names: Seque
     n = np.diff(np.append(starts, len(seg)))
     segs, out = len(n), {}
     y = {c: t.column(c) for c in ("y_true", "y_pred")}
+    (ct, nt), (cp, np_) = (_dense(_column(c), seg) for c in y.values())
     if "medae" in names:
         e = [v.to_numpy() for v in y.values()]
+        e = np.abs(e[1] - e[0]).astype(float)
         some = (y["y_true"].is_valid().to_numpy() & y["y_pred"].is_valid().to_numpy()).astype(bool)
-        e, s = np.abs(e[1] - e[0])[some].astype(float), seg[some]
+        # Sums of decimal fractions meet halves of the last place: rows are added by prediction, so that they agree between runs.
+        by = np.argsort(cp * len(nt) + ct, kind="stable")
+        by = by[some[by]]
+        m = np.bincount(seg[by], minlength=segs)
+        mean = np.bincount(seg[by], e[by], segs) / np.maximum(m, 1)
+        out["mae"] = pa.array(mean, pa.float64(), mask=m == 0, from_pandas=False)
+        e, s = e[some], seg[some]
         e = e[np.lexsort((e, s)) if segs > 1 else np.argsort(e)]
-        m = np.bincount(s, minlength=segs)
         ends = np.cumsum(m)
         has = np.flatnonzero(m)
         low, high = (e[(ends - m + k)[has]] for k in ((m - 1) // 2, m // 2))
         medae = np.full(segs, None, object)
         medae[has] = 0.5 * low + 0.5 * high
         out["medae"] = pa.array(medae, pa.float64(), from_pandas=False)
-    (ct, nt), (cp, np_) = (_dense(_column(c), seg) for c in y.values())
     if "spearman" in names:
         a, b = (np.cumsum(m)[c] - (m[c] - 1) / 2 - starts[seg] - (n[seg] + 1) / 2 for c, m in ((ct, nt), (cp, np_)))
         sab, saa, sbb = (np.bincount(seg, v, segs) for v in (a * b, a * a, b * b))
@@ -304,7 +310,7 @@ def _ordered(t: pa.Table, keys: Sequence[str], ties: Sequence[str], names: Seque
 def ordered_metrics(
     rows: DataFrame, sizes: DataFrame, keys: Sequence[str], names: Sequence[str], ties: Sequence[str] = (), shares: Sequence[float] = (), group_rows: int | None = None
 ) -> DataFrame:
-    """keys and those of `names` that need an order of each group's rows: medae, spearman, kendall; with s and na of
+    """keys and those of `names` that need an order of each group's rows: mae with medae, spearman, kendall; with s and na of
     _bedroc_sums also the enrichment of the top shares. sizes: (keys, n) of all groups.
 
     Rows are shuffled once, by the hash of the keys, and a task takes whole groups at a time, many small ones
@@ -344,7 +350,7 @@ def ordered_metrics(
         w = w.withColumns({"place": F.row_number().over(by.orderBy(F.asc_nulls_last("e"))), "m": F.count("e").over(by)})
         # The middle one of an odd number of rows, or the two of an even one.
         middle = F.when((2 * F.col("place") >= F.col("m")) & (2 * F.col("place") <= F.col("m") + 2), F.col("e"))
-        parts.append(w.groupBy(*keys).agg(F.avg(middle).alias("medae"), correlation(F.col("rt"), F.col("rp")).alias("spearman")))
+        parts.append(w.groupBy(*keys).agg(F.avg("e").alias("mae"), F.avg(middle).alias("medae"), correlation(F.col("rt"), F.col("rp")).alias("spearman")))
     if "s" in names:
         parts += [top_k_enrichment(r, keys, shares, ties), _bedroc_sums(r, keys, ties, ALPHA, ACTIVE).drop("n")]
     return out.union(reduce(lambda a, b: _matched(a, b, keys), parts).select(*keys, *[F.col(c).cast("double") for c in names]))
@@ -446,6 +452,6 @@ def fold_report(pred: DataFrame, keys: Sequence[str], ties: Sequence[str], share
     """All metrics of a fold as one row by keys: those of fold_metrics, Kendall's tau-b, the
     enrichment of the top shares and BEDROC; all NaN but n below 2 rows. Groups with a null key are left out."""
     rows, plain = _plain_metrics(pred.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])), keys, ties)
-    more = ordered_metrics(rows, plain, keys, ("medae", "spearman", "kendall", "s", "na"), ties, shares, group_rows)
+    more = ordered_metrics(rows, plain, keys, ("mae", "medae", "spearman", "kendall", "s", "na"), ties, shares, group_rows)
     out = _matched(plain, more, keys).withColumn("bedroc", _bedroc_of(ALPHA))
     return _known(out, keys, ["kendall", *map(_share, shares), "bedroc"])
