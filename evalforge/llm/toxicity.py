@@ -25,6 +25,7 @@ hold such words: none of these n-grams is in many documents.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,9 +61,10 @@ def _words(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def _grams(words: list[str]) -> dict[str, np.ndarray]:
+def _grams(words: list[str], whole: bool = False) -> dict[str, np.ndarray]:
     """For every character of the words and their ends: the word's place in the list, and
-    the 64-bit keys of its context and of context with character, of both orders, and itself."""
+    the 64-bit keys of its context and of context with character, of both orders, and itself.
+    whole: only the place and the key of the longer context with the character."""
     pad = ORDER - 1
     codes = np.frombuffer("".join("^" * pad + w + "$" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sizes = np.array([len(w) for w in words], np.int64) + 1
@@ -71,12 +73,13 @@ def _grams(words: list[str]) -> dict[str, np.ndarray]:
     out = {"word": word}
     key = lambda h: mix(h).view(np.int64)
     x = codes[at]
-    for order, name in ((BACKOFF_ORDER, "b"), (ORDER, "")):
+    for order, name in ((BACKOFF_ORDER, "b"), (ORDER, ""))[whole:]:
         # A polynomial in the characters, most recent first, is scrambled once.
         h = codes[at - 1]
         for k in range(2, order):
             h = h * M1 + codes[at - k]
-        out["c" + name] = key(h * M1 + np.uint64(order))
+        if not whole:
+            out["c" + name] = key(h * M1 + np.uint64(order))
         out["e" + name] = key((h * M1 + x + np.uint64(1 << 32)) * M1 + np.uint64(order))
     out["x"] = x.view(np.int64)
     return out
@@ -91,23 +94,23 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of each class and half, and all documents, that hold a word, summed within the task."""
-    seen: dict[str, list[int]] = {}
+    docs: Counter[str] = Counter()
+    of_slot: list[Counter[str]] = [Counter() for _ in COUNTS]
 
     def flush() -> pa.RecordBatch:
-        cols = list(zip(*seen.values())) if seen else [()] * 5
-        out = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), *(pa.array(c, pa.int64()) for c in cols)], ["word", *COUNTS, "docs"])
-        seen.clear()
+        cols = [pa.array([c.get(w, 0) for w in docs], pa.int64()) for c in of_slot]
+        out = pa.RecordBatch.from_arrays([pa.array(docs.keys(), pa.string()), *cols, pa.array(docs.values(), pa.int64())], ["word", *COUNTS, "docs"])
+        for c in (docs, *of_slot):
+            c.clear()
         return out
 
     for b in _slices(batches):
         for text, slot in zip(b.column("text").to_pylist(), b.column("slot").to_pylist(), strict=True):
-            for w in set(_words(text)):
-                if (c := seen.get(w)) is None:
-                    c = seen[w] = [0, 0, 0, 0, 0]
-                c[4] += 1
-                if slot is not None:
-                    c[slot] += 1
-            if len(seen) > _REMEMBERED:
+            words = set(_words(text))
+            docs.update(words)
+            if slot is not None:
+                of_slot[slot].update(words)
+            if len(docs) > _REMEMBERED:
                 yield flush()
     yield flush()
 
@@ -192,10 +195,11 @@ class Head:
 
     def positions(self, words: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
         """The words' 6-grams, their ratios (0 for those not held), and which are held."""
-        g = _grams(words)
-        at = np.minimum(np.searchsorted(self.keys, g["e"]), len(self.keys) - 1)
-        held = self.keys[at] == g["e"]
-        return g, np.where(held[:, None], self.values[at], 0), held
+        g = _grams(words, True)
+        e, place = np.unique(g["e"], return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, e), len(self.keys) - 1)
+        held = self.keys[at] == e
+        return g, np.where(held[:, None], self.values[at], 0)[place], held[place]
 
     def ratios(self, words: list[str], column: int) -> np.ndarray:
         """The words' ratios, not a number for those with a 6-gram that is not held."""
@@ -212,18 +216,26 @@ def _features(sums: np.ndarray, n: int) -> list[float]:
 
 
 class Ratios(dict):
-    """Remembered ratios of words for one choice of halves; bounded."""
+    """Remembered ratios of words for one choice of halves; bounded. Words not met while half of the bound was
+    filled are forgotten."""
 
     def __init__(self, head: Head, column: int):
-        self.head, self.column = head, column
+        self.head, self.column, self.before = head, column, {}
 
     def learn(self, texts: list[list[str]]) -> None:
-        if len(self) > _REMEMBERED:
+        if len(self) > _REMEMBERED // 2:
+            self.before = dict(self)
             self.clear()
-        new = list(set().union(*texts).difference(self))
+        new = set().union(*texts).difference(self)
+        known = new.intersection(self.before)
+        self.update((w, self.before[w]) for w in known)
+        new = list(new.difference(known))
         for i in range(0, len(new), _WORDS_AT_ONCE):
             part = new[i : i + _WORDS_AT_ONCE]
-            self.update(zip(part, self.head.ratios([w.strip(EDGES) for w in part], self.column).tolist(), strict=True))
+            bare = [w.strip(EDGES) for w in part]
+            distinct = list(set(bare))
+            ratios = dict(zip(distinct, self.head.ratios(distinct, self.column).tolist(), strict=True))
+            self.update(zip(part, map(ratios.__getitem__, bare), strict=True))
 
 
 #: The column of RATIOS for rows of each half, by the model of the other half; last, by both.
