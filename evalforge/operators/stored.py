@@ -164,3 +164,33 @@ def counts(held: Stored, threshold: float, metric: str) -> DataFrame:
 
     added = lambda p: pd.DataFrame({"g": p["g"].iloc[:1], "n": [np.sum(np.stack(p["n"].tolist()), axis=0)]})
     return held.each(run, "g long, n array<long>").groupBy("g").applyInPandas(added, "g long, n array<long>")
+
+
+def numbers(held: Stored, threshold: float, metric: str) -> DataFrame:
+    """(k, n) of the rows that have other rows at most the threshold away."""
+    files = held.files
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for g, n in zip(p["g"], p["n"], strict=True):
+                some = np.flatnonzero(n)
+                yield pd.DataFrame({"k": read(files[g], "k")["k"].to_pandas().to_numpy()[some], "n": n[some]})
+
+    return counts(held, threshold, metric).mapInPandas(run, f"k {held.kind}, n long")
+
+
+def pairs(held: Stored, threshold: float, metric: str) -> DataFrame:
+    """(a, b), one way round, of rows of different keys at most the threshold apart."""
+    files = held.files
+
+    def run(g: int) -> Iterator[pd.DataFrame]:
+        t = read(files[g], "k", "x")
+        k, x = t["k"].to_pandas().to_numpy(), points(t["x"])
+        for o in met(g, len(files)):
+            u = t if o == g else read(files[o], "k", "x")
+            l, y = u["k"].to_pandas().to_numpy(), points(u["x"])
+            for at, to in near(metric, threshold, x, y):
+                one = (k[at] != l[to]) & ((o != g) | (at < to))
+                yield pd.DataFrame({"a": k[at[one]], "b": l[to[one]]})
+
+    return held.each(run, f"a {held.kind}, b {held.kind}")

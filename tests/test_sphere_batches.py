@@ -72,3 +72,19 @@ def test_products_decide_only_what_is_sure(scale, shift):
     got = {(int(a), int(b)) for at, to in stored.near("euclidean", threshold, x, y) for a, b in zip(at, to, strict=True)}
     want = {(i, j) for i in range(60) for j in range(90) if stored.row_distances("euclidean", x[i : i + 1], y[j : j + 1])[0] <= threshold}
     assert got == want
+
+
+@pytest.mark.parametrize("metric, threshold", [("euclidean", 1.5), ("jaccard", 0.31)])
+def test_overlapping_cells_send_no_rows_to_blocks(spark, monkeypatch, metric, threshold):
+    """Where each row would visit many cells, tasks read the rows; where cells lie apart, they are dealt to blocks."""
+    small(monkeypatch)
+    monkeypatch.setattr(clustering, "ROWS_PER_BLOCK", 10)
+    x, near = graph(metric, 7, threshold)
+    df = vectors(spark, x.tolist()).repartition(3)
+    dealt, own = [], clustering._dealt
+    monkeypatch.setattr(clustering, "_dealt", lambda *a: dealt.append(1) or own(*a))
+    for sent, times in ((1, 0), (1000, 2)):
+        monkeypatch.setattr(clustering, "SENT", sent)
+        assert {r["vec_id"]: r["n"] for r in clustering.neighbour_numbers(df, threshold, metric=metric).collect()} == {i: len(o) for i, o in near.items() if o}
+        assert sorted(map(tuple, clustering.neighbours(df, threshold, metric=metric).collect())) == sorted((i, j) for i in near for j in near[i])
+        assert len(dealt) == times
