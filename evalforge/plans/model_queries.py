@@ -33,8 +33,7 @@ r AS (SELECT vec_id, CASE WHEN list_contains(taken, vec_id) THEN vec_id ELSE lis
 
 @query(f"{_BUTINA} SELECT vec_id, centroid FROM r")
 def butina_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = features(spark, sf_dir)
-    return clustering.butina(f, clustering.neighbours(f, THRESHOLD))
+    return clustering.sphere_clusters(features(spark, sf_dir), THRESHOLD)
 
 
 #: Wide enough for clusters of several rows.
@@ -58,7 +57,7 @@ m AS (SELECT e.a AS vec_id, q.centroid, row_number() OVER (PARTITION BY e.a ORDE
 SELECT vec_id, coalesce(m.centroid, z.centroid) AS centroid FROM z LEFT JOIN m USING (vec_id) WHERE coalesce(k, 1) = 1""")
 def merged_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = features(spark, sf_dir)
-    return clustering.merge_small(clustering.butina(f, clustering.neighbours(f, THRESHOLD)), f, 10)
+    return clustering.merge_small(clustering.sphere_clusters(f, THRESHOLD), f, 10)
 
 
 @query()

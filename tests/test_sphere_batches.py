@@ -88,3 +88,18 @@ def test_overlapping_cells_send_no_rows_to_blocks(spark, monkeypatch, metric, th
         assert {r["vec_id"]: r["n"] for r in clustering.neighbour_numbers(df, threshold, metric=metric).collect()} == {i: len(o) for i, o in near.items() if o}
         assert sorted(map(tuple, clustering.neighbours(df, threshold, metric=metric).collect())) == sorted((i, j) for i in near for j in near[i])
         assert len(dealt) == times
+
+
+@pytest.mark.parametrize("metric, threshold, leaders", [("euclidean", 1.5, 8192), ("euclidean", 1.0, 9), ("cityblock", 1.0, 9), ("jaccard", 0.31, 30)])
+def test_fixed_counts_equal_the_rule_and_write_no_pairs(spark, monkeypatch, metric, threshold, leaders):
+    small(monkeypatch)
+    monkeypatch.setattr(spheres, "LEADERS", leaders)
+    monkeypatch.setattr(spheres, "TILE", 4)
+    monkeypatch.setattr(clustering, "neighbours", None)
+    x, near = graph(metric, 8, threshold)
+    want: dict = {}
+    for c in sorted(near, key=lambda i: (-len(near[i]), i)):
+        if c not in want:
+            want |= {i: c for i in (c, *near[c]) if i not in want}
+    got = clustering.sphere_clusters(vectors(spark, x.tolist()).repartition(3), threshold, metric=metric)
+    assert {r["vec_id"]: r["centroid"] for r in got.collect()} == want
