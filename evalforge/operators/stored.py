@@ -194,3 +194,51 @@ def pairs(held: Stored, threshold: float, metric: str) -> DataFrame:
                 yield pd.DataFrame({"a": k[at[one]], "b": l[to[one]]})
 
     return held.each(run, f"a {held.kind}, b {held.kind}")
+
+
+def nearest(queries: DataFrame, held: Stored, metric: str = "euclidean") -> DataFrame:
+    """(k, to): for each of the queries (k, x) the key of the nearest row, other than itself, ties by key; none where no distance is
+    finite. A task holds its queries and reads all rows a file at a time, so that a name for each query leaves it."""
+    files, kind = held.files, held.kind
+
+    def answer(k: np.ndarray, x: np.ndarray) -> pd.DataFrame:
+        best, to = np.full(len(x), np.inf), np.empty(len(x), k.dtype)
+        for name in files:
+            t = read(name, "k", "x")
+            l, y = t["k"].to_pandas().to_numpy(), points(t["x"])
+            halves = Halves(x, y, 1.0) if metric == "euclidean" else None
+            asked = pd.Index(l).isin(k).any()
+            for i in range(0, len(x), ROWS_AT_ONCE):
+                part = slice(i, i + ROWS_AT_ONCE)
+                s = -block_distances(metric, x[part], y) if halves is None else halves.of(i, i + ROWS_AT_ONCE)
+                doubt = 1e-7 if halves is None else 2 * halves.doubt
+                if asked:
+                    s[k[part, None] == l[None, :]] = -np.inf
+                with np.errstate(all="ignore"):
+                    least = -best[part] if halves is None else -best[part] ** 2 / 2
+                    at, o = np.divmod(np.flatnonzero(~(s < (np.fmax(np.fmax.reduce(s, axis=1), least) - doubt)[:, None])), len(y))
+                at += i
+                other = k[at] != l[o]
+                at, o = at[other], o[other]
+                for j in range(0, len(at), step := max(1, DISTANCE_VALUES // max(1, x.shape[1]))):
+                    a, b = at[j : j + step], o[j : j + step]
+                    with np.errstate(all="ignore"):
+                        d = row_distances(metric, x[a], y[b])
+                    order = np.lexsort((l[b], d, a))
+                    a, b, d = a[order], b[order], d[order]
+                    lead = np.flatnonzero(np.diff(a, prepend=-1))
+                    a, b, d = a[lead], l[b[lead]], d[lead]
+                    better = d < best[a]
+                    same = np.flatnonzero((d == best[a]) & np.isfinite(d))
+                    better[same] = b[same] < to[a[same]]
+                    best[a[better]], to[a[better]] = d[better], b[better]
+        some = np.isfinite(best)
+        return pd.DataFrame({"k": k[some], "to": to[some]})
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            if b.num_rows:
+                out = answer(b.column("k").to_pandas().to_numpy(), points(b.column("x")))
+                yield pa.RecordBatch.from_arrays([pa.Array.from_pandas(out[c], type=b.column("k").type) for c in ("k", "to")], ["k", "to"])
+
+    return queries.select("k", "x").mapInArrow(run, f"k {kind}, to {kind}")

@@ -103,3 +103,25 @@ def test_fixed_counts_equal_the_rule_and_write_no_pairs(spark, monkeypatch, metr
             want |= {i: c for i in (c, *near[c]) if i not in want}
     got = clustering.sphere_clusters(vectors(spark, x.tolist()).repartition(3), threshold, metric=metric)
     assert {r["vec_id"]: r["centroid"] for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cityblock", "jaccard"])
+def test_nearest_rows_leave_tasks_one_a_query(spark, monkeypatch, metric):
+    """Ties go by key, also across files; a query does not meet itself."""
+    small(monkeypatch)
+    x, _ = graph(metric, 9, 1.0)
+    df = vectors(spark, x.tolist())
+    held, asked = stored.store(df, "vec_id", "x"), df.selectExpr("vec_id AS k", "x").repartition(3)
+    d = np.array([[stored.row_distances(metric, x[i : i + 1], x[j : j + 1])[0] if i != j else np.inf for j in range(len(x))] for i in range(len(x))])
+    found = stored.nearest(asked, held, metric).collect()
+    assert len(found) == len(x) and {r["k"]: r["to"] for r in found} == dict(enumerate(d.argmin(1).tolist()))
+    assert stored.nearest(asked, stored.store(df.limit(0), "vec_id", "x"), metric).count() == 0
+
+
+def test_merged_rows_send_no_query_to_all_tasks(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", None)
+    x = np.concatenate([np.zeros((12, 2)), np.full((11, 2), 9.0), [[1.0, 0], [4.5, 4.5], [8.0, 9]]])
+    df = vectors(spark, x.tolist())
+    near = spark.createDataFrame([(i, 0 if i < 12 else 12 if i < 23 else i) for i in range(26)], "vec_id long, centroid long")
+    got = {r["vec_id"]: r["centroid"] for r in clustering.merge_small(near, df, 10).collect()}
+    assert got == {i: 0 if i < 12 or i in (23, 24) else 12 for i in range(26)}
